@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import lstrip, strip
+from evalspark.functions.text import bind, lstrip, strip
 
 INVALID = "[invalid]"
 NUMBER_ANSWER = r"#### (\-?[0-9\.\,]+)"
@@ -286,31 +286,52 @@ def final_letter(text: Column, n_choices: Column, need_close: Column | bool = Fa
     in a marked bare letter. Greek and LaTeX letters count as Latin ones.
     """
     need = F.lit(need_close) if isinstance(need_close, bool) else need_close
-    events = F.regexp_extract_all(text, F.lit(_EVENTS), F.lit(0))
-    cut = _fold_events(events, need)["cut"]
-    pieces = F.split(text, _EVENTS, -1)
-    kept = F.concat(F.flatten(F.transform(F.slice(events, F.lit(1), F.greatest(cut, F.lit(0))), lambda e, i: F.array(F.element_at(pieces, i + 1), e))),
-                    F.array(F.element_at(pieces, F.greatest(cut, F.lit(0)) + 1)))
-    current = strip(F.when(cut >= 0, F.array_join(kept, "")).otherwise(text))
-
-    tags = F.regexp_extract_all(current, F.lit(_TAGS), F.lit(0))
-    state = _fold_events(tags, F.lit(False))
-    open_or_bad = (F.size(state["stack"]) > 0) | state["bad"] | (need & ~state["closed"])
+    return bind(text, lambda t: bind(_before_next_question(t, need), lambda c: bind(_after_thinking(c, need), lambda b: _terminal_letter(b, n_choices))))
+
+
+def _before_next_question(text: Column, need: Column) -> Column:
+    """The text up to the first question line outside thinking."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(_EVENTS), F.lit(0)).alias("events"), F.split(text, _EVENTS, -1).alias("pieces"))
+
+    def cut(p: Column, at: Column) -> Column:
+        kept = F.transform(F.slice(p["events"], F.lit(1), at), lambda e, i: F.concat(F.element_at(p["pieces"], i + 1), e))
+        return F.concat(F.array_join(kept, ""), F.element_at(p["pieces"], at + 1))
+
+    return strip(bind(parts, lambda p: bind(_fold_events(p["events"], need)["cut"], lambda at: F.when(at >= 0, cut(p, F.greatest(at, F.lit(0)))).otherwise(text))))
+
+
+def _after_thinking(text: Column, need: Column) -> Column:
+    """What follows the last closing mark without stop tokens; NULL when thinking is open or badly nested."""
     closers = "|".join(re.escape(c) for c in sorted(_CLOSE, key=len, reverse=True))
-    body = F.when(state["closed"], strip(F.regexp_replace(current, rf"(?s)^.*(?:{closers})", ""))).otherwise(current)
-    body = F.regexp_replace(body, rf"\s*(?:{STOP_TOKENS}\s*)+\z", "")
-
-    boxed = F.coalesce(F.nullif(F.regexp_extract(body, BOXED, 1), F.lit("")), F.nullif(F.regexp_extract(body, BOXED, 2), F.lit("")))
-    marked = F.nullif(F.regexp_extract(body, MARKED, 1), F.lit(""))
-    raw = F.coalesce(boxed, marked)
-    latin = F.when(
-        raw.startswith("\\"),
-        F.element_at(F.create_map(*[F.lit(x) for p in (("alpha", "A"), ("beta", "B"), ("gamma", "C"), ("delta", "D")) for x in p]), F.lower(F.substring(raw, F.lit(2), F.length(raw)))),
-    ).otherwise(F.upper(F.translate(raw, "ΑΒΓΔαβγδ", "ABCDABCD")))
-    at = F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), latin)
-    ok = text.isNotNull() & n_choices.between(2, 26) & ~open_or_bad & raw.isNotNull() & (F.length(latin) == 1) & at.between(1, n_choices)
-    ok = F.coalesce(ok, F.lit(False))
-    return F.struct(
-        F.when(ok, latin).otherwise(INVALID).alias("label"),
-        F.when(ok & boxed.isNotNull(), "boxed").when(ok, "marked-letter").otherwise("invalid").alias("format"),
+    tags = F.regexp_extract_all(text, F.lit(_TAGS), F.lit(0))
+
+    def rest(s: Column) -> Column:
+        bad = (F.size(s["stack"]) > 0) | s["bad"] | (need & ~s["closed"])
+        return F.when(~bad, F.when(s["closed"], strip(F.regexp_replace(text, rf"(?s)^.*(?:{closers})", ""))).otherwise(text))
+
+    body = bind(_fold_events(tags, F.lit(False)), rest)
+    return F.regexp_replace(body, rf"\s*(?:{STOP_TOKENS}\s*)+\z", "")
+
+
+def _terminal_letter(body: Column, n_choices: Column) -> Column:
+    some = lambda c: F.nullif(c, F.lit(""))
+    found = F.struct(
+        F.coalesce(some(F.regexp_extract(body, BOXED, 1)), some(F.regexp_extract(body, BOXED, 2))).alias("boxed"),
+        some(F.regexp_extract(body, MARKED, 1)).alias("marked"),
     )
+    names = F.create_map(*[F.lit(x) for p in (("alpha", "A"), ("beta", "B"), ("gamma", "C"), ("delta", "D")) for x in p])
+
+    def latin(raw: Column) -> Column:
+        return F.when(raw.startswith("\\"), F.try_element_at(names, F.lower(F.substring(raw, F.lit(2), F.length(raw))))).otherwise(
+            F.upper(F.translate(raw, "ΑΒΓΔαβγδ", "ABCDABCD"))
+        )
+
+    def verdict(f: Column, letter: Column) -> Column:
+        at = F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letter)
+        ok = F.coalesce(n_choices.between(2, 26) & (F.length(letter) == 1) & at.between(1, n_choices), F.lit(False))
+        return F.struct(
+            F.when(ok, letter).otherwise(INVALID).alias("label"),
+            F.when(ok & f["boxed"].isNotNull(), "boxed").when(ok, "marked-letter").otherwise("invalid").alias("format"),
+        )
+
+    return bind(found, lambda f: bind(latin(F.coalesce(f["boxed"], f["marked"])), lambda c: verdict(f, c)))
