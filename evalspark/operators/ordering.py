@@ -69,3 +69,20 @@ def shard(df: DataFrame, order: list[str], rank: int, world: int) -> DataFrame:
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rn") -> DataFrame:
     """The first ``k`` rows of each group; each task keeps only its own first ``k`` before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str = "running") -> DataFrame:
+    """Inclusive running sum of ``value`` in a unique ``order`` over all rows.
+
+    Range partitions are summed on their own; the totals of earlier partitions are added as offsets.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    placed = placed.withColumn("_part", F.shiftright("_mid", 33))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.sum(value).over(inside)).drop("_part", "_mid", "_off")
+    )
