@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 WHITESPACE = r"(?U)[\s\x1c-\x1f]"
+# Every character that counts as whitespace at the ends of a text.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Article words removed before answers are compared, by language.
 ARTICLES = {
@@ -52,11 +57,11 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(text, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WHITESPACE}+", "")
+    return F.ltrim(text, F.lit(SPACES))
 
 
 def drop_articles(text: Column, lang: Column | str = "en") -> Column:
