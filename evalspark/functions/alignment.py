@@ -245,3 +245,28 @@ translation_edits_col = _column(translation_edits, S.LongType())
 def span_scores_col(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     rows = [span_scores(list(p), list(g)) for p, g in zip(pred, gold)]
     return pd.DataFrame(rows, columns=["em", "f1"])
+
+
+GRAM_COUNTS = S.ArrayType(S.StructType([S.StructField(c, S.LongType()) for c in ("n", "n_pred", "n_ref", "n_common")]))
+
+
+def gram_counts(pred: str, ref: str, order: int) -> list[tuple[int, int, int, int]]:
+    """Per order: character grams of both texts (whitespace removed) and how many they share."""
+    p, r = "".join(pred.split()), "".join(ref.split())
+    out = []
+    for n in range(1, order + 1):
+        a = Counter(p[i : i + n] for i in range(len(p) - n + 1))
+        b = Counter(r[i : i + n] for i in range(len(r) - n + 1))
+        small, large = (a, b) if len(a) <= len(b) else (b, a)
+        common = sum(min(c, large[g]) for g, c in small.items() if g in large)
+        out.append((n, max(len(p) - n + 1, 0), max(len(r) - n + 1, 0), common))
+    return out
+
+
+def character_gram_counts(order: int):
+    @F.pandas_udf(GRAM_COUNTS)
+    def run(pred: pd.Series, ref: pd.Series) -> pd.Series:
+        names = ("n", "n_pred", "n_ref", "n_common")
+        return pd.Series([[dict(zip(names, row)) for row in gram_counts(p or "", r or "", order)] for p, r in zip(pred, ref)])
+
+    return run

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import bind
+
 PRIME = 2147483647  # 2^31 - 1: products of two residues fit a 64-bit integer
 
 
@@ -17,7 +19,7 @@ def draw(seed: int, *keys: Column) -> Column:
     x = F.lit(seed).cast("long")
     for k in keys:
         x = F.pmod(x * 48271 + F.pmod(k.cast("long"), prime) * 69621 + 11, prime)
-        x = F.pmod(x * x + x * 16807 + 7, prime)
+        x = bind(x, lambda v: F.pmod(v * v + v * 16807 + 7, prime))
     return x
 
 

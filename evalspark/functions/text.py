@@ -159,3 +159,9 @@ def preview(text: Column, maximum: int) -> Column:
     return F.when(F.length(text) <= maximum, text).otherwise(
         F.concat(F.substring(text, 1, edge), note, F.right(text, F.lit(edge)))
     )
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """``%.{digits}f`` with exact ties rounded to the even digit (fractions of powers of two)."""
+    scaled = x * float(1 << 20)
+    return F.format_string(f"%.{digits}f", F.when(scaled == F.floor(scaled), F.bround(x, digits)).otherwise(x))

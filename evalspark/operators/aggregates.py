@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import fixed
 from evalspark.operators.ordering import with_position
 from evalspark.registry import AGGREGATIONS
 
@@ -205,16 +206,16 @@ def regression_table(base: DataFrame, branch: DataFrame, on: list[str]) -> DataF
     j = pick(base, "base").join(pick(branch, "branch"), on)
 
     def shown(s: str) -> Column:
-        err = F.when(F.coalesce(F.col(f"e_{s}"), F.lit(0.0)) != 0, F.format_string(" ± %.2f", 100 * F.col(f"e_{s}"))).otherwise("")
-        return F.concat(F.format_string("%.2f", 100 * F.col(f"v_{s}")), err)
+        err = F.when(F.coalesce(F.col(f"e_{s}"), F.lit(0.0)) != 0, F.concat(F.lit(" ± "), fixed(100 * F.col(f"e_{s}"), 2))).otherwise("")
+        return F.concat(fixed(100 * F.col(f"v_{s}"), 2), err)
 
     diff = 100 * F.col("v_branch") - 100 * F.col("v_base")
     return j.select(
         *on,
         shown("base").alias("base"),
         shown("branch").alias("branch"),
-        F.when(diff > 0, F.format_string("**+%.2f**", diff)).otherwise(F.format_string("%.2f", diff)).alias("diff"),
-        F.format_string("%.2f%%", 100 * F.col("s_branch") / F.col("s_base")).alias("runtime"),
+        F.when(diff > 0, F.concat(F.lit("**+"), fixed(diff, 2), F.lit("**"))).otherwise(fixed(diff, 2)).alias("diff"),
+        F.concat(fixed(100 * F.col("s_branch") / F.col("s_base"), 2), F.lit("%")).alias("runtime"),
     )
 
 

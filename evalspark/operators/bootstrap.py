@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import PRIME, draw
+from evalspark.functions.text import bind
 from evalspark.operators.ordering import with_position
 
 
@@ -28,10 +29,8 @@ def poisson_bounds(terms: int = 10) -> list[int]:
 
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) weight of a uniform draw: how many bounds it has passed."""
-    w = F.lit(0)
-    for b in poisson_bounds():
-        w = w + (u >= b).cast("int")
-    return w
+    bounds = F.array(*[F.lit(b).cast("long") for b in poisson_bounds()])
+    return bind(u, lambda v: F.size(F.filter(bounds, lambda b: v >= b)))
 
 
 def replicates(samples: DataFrame, key: list[str], iters: int, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.session import ensure_checkpoint_dir
+
 PATHS = """
 WITH RECURSIVE walk(ancestor, node, depth, path) AS (
   SELECT parent, child, 1, concat(parent, ' > ', child) FROM {edges}
@@ -17,7 +19,9 @@ SELECT ancestor, node, depth, path FROM walk
 
 def descendants(edges: DataFrame) -> DataFrame:
     """``(ancestor, node, depth, path)`` of every pair in a ``(parent, child)`` tree."""
-    return edges.sparkSession.sql(PATHS, edges=edges)
+    ensure_checkpoint_dir(edges.sparkSession)
+    # Every level of the recursion reads the edges again: derive them once.
+    return edges.sparkSession.sql(PATHS, edges=edges.distinct().checkpoint())
 
 
 def leaf_pairs(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.alignment import character_gram_counts
 from evalspark.functions.ngrams import ngrams
 from evalspark.functions.text import split_words
 
@@ -146,19 +147,15 @@ def smoothed_sentence_bleu(counts: dict[str, Column], order: int = 4) -> Column:
     return F.exp(logs / order + penalty)
 
 
-def char_grams(text: Column, n: int) -> Column:
-    size = F.length(text)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-
 def chrf_counts(df: DataFrame, keys: list[str], pred: Column, ref: Column, order: int = 6) -> DataFrame:
     """``(keys…, n, n_pred, n_ref, n_common)`` of character n-grams without whitespace; an order the
-    reference lacks does not count for the prediction either."""
-    squeeze = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
-    pairs = df.select(*keys, squeeze(pred).alias("_p"), squeeze(ref).alias("_r"))
-    grams = {n: (char_grams(F.col("_p"), n), char_grams(F.col("_r"), n)) for n in range(1, order + 1)}
-    return gram_overlap(pairs, keys, grams).withColumn("n_pred", F.when(F.col("n_ref") > 0, F.col("n_pred")).otherwise(0))
+    reference lacks does not count for the prediction either.
+
+    A text has six times as many character grams as characters, so they are counted inside the row
+    (Arrow batches) and only the counts leave it.
+    """
+    counts = character_gram_counts(order)(pred, ref)
+    return df.select(*keys, F.inline(counts)).withColumn("n_pred", F.when(F.col("n_ref") > 0, F.col("n_pred")).otherwise(0))
 
 
 def corpus_chrf(counts: DataFrame, by: list[str], beta: float = 2.0, weight: Column | None = None) -> DataFrame:

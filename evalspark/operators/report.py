@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import fixed
 from evalspark.operators.groups import descendants
 
 # Finish reasons that mean the length limit was hit.
@@ -96,9 +97,9 @@ def results_table(results: DataFrame) -> DataFrame:
         F.coalesce(F.col("shots").cast("string"), F.lit(" ")).alias("shots"),
         "metric",
         arrow.alias("arrow"),
-        F.format_string("%.4f", F.col("value")).alias("value"),
+        fixed(F.col("value"), 4).alias("value"),
         F.lit("±").alias("pm"),
-        F.when(F.col("stderr").isNull(), "   N/A").otherwise(F.format_string("%.4f", F.col("stderr"))).alias("stderr"),
+        F.when(F.col("stderr").isNull(), "   N/A").otherwise(fixed(F.col("stderr"), 4)).alias("stderr"),
     )
 
 

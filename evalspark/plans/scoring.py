@@ -43,9 +43,11 @@ def rolling_scores(t: Tables):
 
 
 ARG_SQL = f"""{CHOICES_SQL},
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loglik DESC, idx) AS r1, row_number() OVER (PARTITION BY doc_id ORDER BY loglik / length(choice) DESC, idx) AS r2,
+   row_number() OVER (PARTITION BY doc_id ORDER BY loglik - uncond DESC, idx) AS r3 FROM mc),
  best AS (SELECT doc_id, any_value(task) AS task, any_value(lang) AS lang, any_value(subject) AS subject, any_value(gold) AS gold, count(*) AS n,
-   arg_min(idx, -loglik * 1e6 + idx * 1e-3) AS pred, arg_min(idx, -loglik / length(choice) * 1e6 + idx * 1e-3) AS pred_norm, arg_min(idx, -(loglik - uncond) * 1e6 + idx * 1e-3) AS pred_mi,
-   max(CASE WHEN idx = gold AND is_greedy THEN 1.0 ELSE 0.0 END)::DOUBLE AS exact_match FROM mc GROUP BY doc_id),
+   max(idx) FILTER (WHERE r1 = 1) AS pred, max(idx) FILTER (WHERE r2 = 1) AS pred_norm, max(idx) FILTER (WHERE r3 = 1) AS pred_mi,
+   max(CASE WHEN idx = gold AND is_greedy THEN 1.0 ELSE 0.0 END)::DOUBLE AS exact_match FROM ranked GROUP BY doc_id),
  scored AS (SELECT doc_id, task, lang, subject, gold, n, pred, (pred = gold)::INT::DOUBLE AS acc, (pred_norm = gold)::INT::DOUBLE AS acc_norm, (pred_mi = gold)::INT::DOUBLE AS acc_mutual_info, exact_match, gold >= n AS gold_defect FROM best)"""
 
 
