@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import fixed
 from evalspark.operators.ordering import with_position
 from evalspark.registry import AGGREGATIONS
+from evalspark.session import broadcast_if_small
 
 
 @AGGREGATIONS.add("mean")
@@ -67,7 +68,7 @@ def positional_median(samples: DataFrame, by: list[str], order: list[str], value
     """The value at position n // 2 in source order — the values are not sorted."""
     placed = with_position(samples.select(*by, *order, value), order, by)
     n = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(n, by).where(F.col("pos") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
+    return placed.join(broadcast_if_small(n), by).where(F.col("pos") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
 
 
 def true_median(samples: DataFrame, by: list[str], key: list[str], value: str = "value") -> DataFrame:
@@ -75,7 +76,7 @@ def true_median(samples: DataFrame, by: list[str], key: list[str], value: str =
     placed = with_position(samples.select(*by, *key, value), [value, *key], by)
     n = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     mid = (F.col("pos") == F.floor(F.col("_n") / 2)) | (F.col("pos") == F.floor((F.col("_n") - 1) / 2))
-    return placed.join(n, by).where(mid).groupBy(*by).agg(F.avg(value).alias("median"))
+    return placed.join(broadcast_if_small(n), by).where(mid).groupBy(*by).agg(F.avg(value).alias("median"))
 
 
 # --- classification ---------------------------------------------------------------------------------

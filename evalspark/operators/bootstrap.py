@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.draws import PRIME, draw
 from evalspark.functions.text import bind
 from evalspark.operators.ordering import with_position
+from evalspark.session import broadcast_if_small
 
 
 def poisson_bounds(terms: int = 10) -> list[int]:
@@ -68,4 +69,4 @@ def bootstrap_positional_median(samples: DataFrame, by: list[str], order: list[s
     drawn = n.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iters - 1)))).withColumn(
         "pos", draw(seed, F.col("_k"), F.col("replicate")) % F.col("_n")
     )
-    return drawn.join(placed, [*by, "pos"]).groupBy(*by).agg(F.stddev_samp(value).alias("stderr"))
+    return broadcast_if_small(drawn).join(placed, [*by, "pos"]).groupBy(*by).agg(F.stddev_samp(value).alias("stderr"))

@@ -197,17 +197,19 @@ def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pas
 
 
 def overlap_statistics(corpus: DataFrame, contaminants: DataFrame, n: int) -> DataFrame:
-    """Totals over the corpus n-grams: occurrences, distinct, distinct matching and not matching."""
+    """Totals over the corpus n-grams: occurrences, distinct, distinct matching and not matching.
+
+    N-grams are told apart by 128 hash bits, so 16 bytes are shuffled per n-gram and not its words.
+    """
+    identity = [F.xxhash64("ngram").alias("h1"), F.xxhash64(F.lit("second"), "ngram").alias("h2")]
     counted = (
         corpus.select(F.explode(ngrams(clean_tokens(F.col("text")), n)).alias("ngram"))
-        .groupBy("ngram")
+        .select(*identity)
+        .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    flagged = counted.join(
-        (F.broadcast(contaminants) if fits(contaminants, MAX_BROADCAST_NGRAMS) else contaminants).withColumn("hit", F.lit(True)),
-        "ngram",
-        "left",
-    )
+    known = contaminants.select(*identity, F.lit(True).alias("hit"))
+    flagged = counted.join(F.broadcast(known) if fits(contaminants, MAX_BROADCAST_NGRAMS) else known, ["h1", "h2"], "left")
     return flagged.agg(
         F.sum("c").alias("total_ngrams"),
         F.count(F.lit(1)).alias("unique_ngrams"),

@@ -35,10 +35,20 @@ def with_position(df: DataFrame, order: list[str | Column], group: list[str] | N
     return out.join(broadcast_if_small(first), group).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
+def first_rows_of(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows in a unique order: the k-th key is found on the keys alone and becomes a
+    filter, so whole rows are neither sorted nor moved."""
+    last = with_position(df.select(*order), order).where(F.col("pos") == k - 1).first() if k > 0 else None
+    if last is None:
+        return df.limit(0) if k <= 0 else df
+    if len(order) == 1:
+        return df.where(F.col(order[0]) <= F.lit(last[0]))
+    return df.where(F.struct(*order) <= F.struct(*[F.lit(last[c]).alias(c) for c in order]))
+
+
 def head_fraction(df: DataFrame, order: list[str], fraction: float) -> DataFrame:
     """The first ``int(fraction * n)`` rows in source order."""
-    n = int(fraction * df.count())
-    return with_position(df, order).where(F.col("pos") < n).drop("pos")
+    return first_rows_of(df, order, int(fraction * df.count()))
 
 
 def sample_size(n: int, limit: float | None) -> int | None:
@@ -50,10 +60,8 @@ def sample_size(n: int, limit: float | None) -> int | None:
 
 def limit_rows(df: DataFrame, order: list[str], limit: float) -> DataFrame:
     """At most ``limit`` rows in source order; a share of the rows when below one."""
-    if limit >= 1:
-        return df.orderBy(*order).limit(int(limit))
-    k = sample_size(df.count(), limit)
-    return with_position(df, order).where(F.col("pos") < k).drop("pos")
+    k = sample_size(df.count() if limit < 1 else 0, limit)
+    return first_rows_of(df, order, k)
 
 
 def limit_to_ids(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:

@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 from evalspark.functions.alignment import character_gram_counts
 from evalspark.functions.ngrams import ngrams
 from evalspark.functions.text import split_words
+from evalspark.session import distribute
 
 
 def gram_overlap(df: DataFrame, keys: list[str], grams: dict[int, tuple[Column, Column]]) -> DataFrame:
     """``(keys…, n, n_pred, n_ref, n_common)``; ``grams[n]`` holds the two gram arrays of order n.
 
-    ``keys`` must be unique per row. Orders without any gram on either side give no row.
+    ``keys`` must be unique per row. Every order gives a row: a mark that belongs to neither side is
+    counted along, so texts without any gram need no join back.
     """
 
     def tagged(col: Column, n: int, side: int) -> Column:
         return F.transform(col, lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
 
-    sides = F.flatten(F.array(*[tagged(col, n, side) for n, pair in grams.items() for side, col in enumerate(pair)]))
+    marks = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(2).alias("side"), F.lit("").alias("gram")) for n in grams])
+    sides = F.concat(marks, *[tagged(col, n, side) for n, pair in grams.items() for side, col in enumerate(pair)])
     counted = (
-        df.repartition(*keys)
+        distribute(df, *keys)
         .select(*keys, F.inline(sides))
         .groupBy(*keys, "n", "gram")
         .agg(F.sum((F.col("side") == 0).cast("long")).alias("p"), F.sum((F.col("side") == 1).cast("long")).alias("r"))
@@ -42,9 +45,8 @@ def f_measure(common: Column, n_pred: Column, n_ref: Column) -> Column:
 def bag_f1(df: DataFrame, keys: list[str], pred_tokens: Column, ref_tokens: Column, agree_on_empty: bool = False) -> DataFrame:
     """``(keys…, f1)`` of two token bags. With ``agree_on_empty`` two empty bags count as equal."""
     counts = gram_overlap(df, keys, {1: (pred_tokens, ref_tokens)})
-    scored = counts.select(*keys, f_measure(F.col("n_common"), F.col("n_pred"), F.col("n_ref")).alias("f1"))
-    empty = F.lit(1.0 if agree_on_empty else 0.0)
-    return df.select(*keys).join(scored, keys, "left").select(*keys, F.coalesce("f1", empty).alias("f1"))
+    empty = (F.col("n_pred") == 0) & (F.col("n_ref") == 0) & F.lit(agree_on_empty)
+    return counts.select(*keys, F.when(empty, 1.0).otherwise(f_measure(F.col("n_common"), F.col("n_pred"), F.col("n_ref"))).alias("f1"))
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -56,8 +58,7 @@ def rouge_n(df: DataFrame, keys: list[str], pred: str, ref: str, orders: tuple[i
     pairs = df.select(*keys, rouge_tokens(F.col(pred)).alias("_p"), rouge_tokens(F.col(ref)).alias("_r"))
     counts = gram_overlap(pairs, keys, {n: (ngrams(F.col("_p"), n), ngrams(F.col("_r"), n)) for n in orders})
     f = f_measure(F.col("n_common"), F.col("n_pred"), F.col("n_ref"))
-    wide = counts.groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}") for n in orders])
-    return df.select(*keys).join(wide, keys, "left").select(*keys, *[F.coalesce(f"rouge{n}", F.lit(0.0)).alias(f"rouge{n}") for n in orders])
+    return counts.groupBy(*keys).agg(*[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}") for n in orders])
 
 
 # Ordered rules of the mteval-13a tokenisation.
@@ -98,12 +99,13 @@ def bleu_counts(df: DataFrame, keys: list[str], pred_tokens: Column, ref_tokens:
     pairs = df.select(*keys, pred_tokens.alias("_p"), ref_tokens.alias("_r"))
     orders = range(1, order + 1)
     counts = gram_overlap(pairs, keys, {n: (ngrams(F.col("_p"), n), ngrams(F.col("_r"), n)) for n in orders})
-    at = lambda n, c: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
-    wide = counts.groupBy(*keys).agg(
-        *[at(n, "n_common").alias(f"c{n}") for n in orders], *[at(n, "n_pred").alias(f"t{n}") for n in orders], at(1, "n_ref").alias("ref_len")
+    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
+    return counts.groupBy(*keys).agg(
+        *[at(n, "n_common").alias(f"c{n}") for n in orders],
+        *[at(n, "n_pred").alias(f"t{n}") for n in orders],
+        at(1, "n_ref").alias("ref_len"),
+        at(1, "n_pred").alias("sys_len"),
     )
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in [f"{x}{n}" for x in "ct" for n in orders] + ["ref_len"]]
-    return df.select(*keys).join(wide, keys, "left").select(*keys, *zero, F.coalesce("t1", F.lit(0)).cast("long").alias("sys_len"))
 
 
 def bleu_score(counts: dict[str, Column], order: int = 4) -> Column:
@@ -154,8 +156,9 @@ def chrf_counts(df: DataFrame, keys: list[str], pred: Column, ref: Column, order
     A text has six times as many character grams as characters, so they are counted inside the row
     (Arrow batches) and only the counts leave it.
     """
-    counts = character_gram_counts(order)(pred, ref)
-    return df.select(*keys, F.inline(counts)).withColumn("n_pred", F.when(F.col("n_ref") > 0, F.col("n_pred")).otherwise(0))
+    pairs = distribute(df.select(*keys, pred.alias("_p"), ref.alias("_r")), *keys)
+    counts = character_gram_counts(order)("_p", "_r")
+    return pairs.select(*keys, F.inline(counts)).withColumn("n_pred", F.when(F.col("n_ref") > 0, F.col("n_pred")).otherwise(0))
 
 
 def corpus_chrf(counts: DataFrame, by: list[str], beta: float = 2.0, weight: Column | None = None) -> DataFrame:

@@ -54,6 +54,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
+def distribute(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute on ``keys`` into a fixed number of partitions before row-expanding work.
+
+    A fixed number is not merged again by adaptive execution, which sees only the small input and
+    not what each row expands to.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows (stops counting just beyond the bound)."""
     return df.limit(max_rows + 1).count() <= max_rows
