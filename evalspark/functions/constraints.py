@@ -117,13 +117,14 @@ def follows(value: Column, rule: Column, args: Column) -> Column:
 
 
 def loose_variants(value: Column) -> Column:
-    """The response with and without its first line, last line, and asterisks (eight texts)."""
+    """The response with and without its first line, last line, and asterisks: up to eight different
+    texts, the response itself first."""
     lines = F.split(value, "\n", -1)
 
     def cut(ls: Column) -> Column:
         n = F.size(ls)
         join = lambda frm, count: strip(F.array_join(F.slice(ls, F.lit(frm), F.greatest(count, F.lit(0))), "\n"))
         plain = F.array(value, join(2, n - 1), join(1, n - 1), join(2, n - 2))
-        return F.concat(plain, F.transform(plain, lambda x: F.replace(x, F.lit("*"), F.lit(""))))
+        return F.array_distinct(F.concat(plain, F.transform(plain, lambda x: F.replace(x, F.lit("*"), F.lit("")))))
 
     return bind(lines, cut)
