@@ -161,6 +161,11 @@ def grouped_exact_match(df: DataFrame, group: str, pred: str, ref: str) -> DataF
     return joined.agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias("em"), F.count(F.lit(1)).alias("n"))
 
 
+def grouped_first_rows(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """The first row of each group, the only one a grouped token F1 looks at."""
+    return df.groupBy(group).agg(F.min_by(F.struct(*columns), order).alias("r")).select(group, "r.*")
+
+
 def instruction_accuracy(df: DataFrame, by: list[str], flags: str) -> DataFrame:
     """Mean over all entries of per-document lists."""
     return df.groupBy(*by).agg(

@@ -474,7 +474,11 @@ def substitution_f1(t: Tables):
     return rnd(A.substitution_f1(Q.substitutions(t), ["lang"]), "f1")
 
 
-@query("entity_f1", None)
+@query(
+    "entity_f1",
+    f"""WITH {Q.ENTITY_SQL}, cc AS (SELECT label, sum(t) AS t, sum(p) AS p, sum(tp) AS tp FROM (SELECT gold AS label, 1 AS t, 0 AS p, (gold = pred)::INT AS tp FROM aligned UNION ALL SELECT pred, 0, 1, 0 FROM aligned) GROUP BY label),
+      f AS (SELECT label, 2.0 * tp / (t + p) AS f1 FROM cc) SELECT round((sum(f1) - max_by(f1, label)) / (count(*) - 1), 6)::DOUBLE AS f1_without_last FROM f""",
+)
 def entity_f1(t: Tables):
     """Mean F1 of all entity classes but the last."""
     return rnd(A.f1_scores(A.class_counts(Q.entities(t), [], "gold", "pred"), []).select("f1_without_last"), "f1_without_last")
@@ -491,6 +495,29 @@ def grouped_exact_match(t: Tables):
     return rnd(A.grouped_exact_match(d, "g", "p", "r"), "em")
 
 
+@query(
+    "grouped_token_f1",
+    f"""WITH {PAIRS_SQL}, one AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+      tok AS (SELECT conv_id, {sql_tokens(Q.sql_key('prediction'))} AS p, {sql_tokens(Q.sql_key('reference'))} AS r FROM one), {sql_overlap('tok', 'conv_id', [1])}
+      SELECT round(avg(coalesce(2.0 * n_common / (n_pred + n_ref), 0)), 6)::DOUBLE AS f1, count(*)::BIGINT AS n FROM tok LEFT JOIN ov USING (conv_id)""",
+)
+def grouped_token_f1(t: Tables):
+    one = A.grouped_first_rows(Q.keyed_pairs(t), "conv_id", "turn", ["pt", "rt"])
+    f = O.bag_f1(one, ["conv_id"], F.col("pt"), F.col("rt"))
+    return f.agg(F.round(F.avg("f1"), 6).alias("f1"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "named_choices",
+    "SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE -1 END::BIGINT AS answer FROM orders",
+)
+def named_choices(t: Tables):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("the old one", "Young!", "I cannot know that", "my grandpa", "zzz")]), (F.col("o_custkey") % 5 + 1).cast("int"))
+    choices = F.array(F.lit("The old"), F.lit("Young"), F.lit("Not known"))
+    groups = F.array(F.array(F.lit("grandpa")), F.array(F.lit("kid")), F.array(F.lit("nobody")))
+    return t.orders.select("o_orderkey", B.named_choice(said, choices, groups).alias("answer"))
+
+
 @query("pass_at_k", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, round(CASE WHEN n - c < 3 THEN 1.0 ELSE 1 - coalesce(list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - 3.0::DOUBLE / i)), 1) END, 6)::DOUBLE AS pass_at_3 FROM (SELECT *, 10 AS n, (l_quantity % 10)::INT AS c FROM lineitem)")
 def pass_at_k(t: Tables):
     n, c = F.lit(10), (F.col("l_quantity") % 10).cast("int")

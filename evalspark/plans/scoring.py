@@ -14,6 +14,7 @@ from evalspark.operators.ordering import running_sum
 from evalspark.plans.base import PUNCT, SPACE, Tables, query, sql_ngrams, sql_tokens
 from evalspark.plans.fixtures import CHOICES_SQL, EVAL_SQL, GENERATED_SQL, PAIRS_SQL, choice_rows, eval_docs, generated, text_pairs
 from evalspark.plans.prepare import sql_strip
+from evalspark.session import spread
 
 L = "long"
 PAIR = ["conv_id", "turn"]
@@ -313,7 +314,7 @@ def code_similarity(t: Tables):
 )
 def emotion_scores(t: Tables):
     names = F.array(*[F.lit(x) for x in ("joy", "fear", "anger", "pride")])
-    d = t.lineitem
+    d = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
     ref = F.array((F.col("l_quantity") % 10), (F.col("l_quantity") + 3) % 11, (F.col("l_partkey") % 10).cast("double"), F.lit(5.0))
     bad = F.when(F.col("l_linenumber") == 7, "hope").otherwise("pride")
     resp = F.concat(F.lit("joy: "), F.col("l_suppkey") % 11, F.lit("\nfear: "), F.col("l_linenumber"), F.lit("\nanger: "), (F.col("l_partkey") + 2) % 10, F.lit("\n"), bad, F.lit(": 5"))
@@ -335,6 +336,18 @@ def relaxed_accuracy(t: Tables):
     return t.orders.select("o_orderkey", N.relaxed_match(pred, target).alias("score"))
 
 
+@query(
+    "final_answer_accuracy",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN (o_orderstatus = 'F')::INT ELSE 0 END::DOUBLE AS score FROM orders""",
+)
+def final_answer_accuracy(t: Tables):
+    m = F.col("o_orderkey") % 3
+    price = F.format_string("%.2f", F.col("o_totalprice"))
+    said = F.when(m == 0, F.concat(F.lit("answer: 1\nso the **Final Answer:** $"), price, F.lit("."))).when(m == 1, F.lit("Final answer:** F")).otherwise(F.lit("no idea"))
+    want = F.when(m == 0, price).otherwise(F.col("o_orderstatus"))
+    return t.orders.select("o_orderkey", N.relaxed_match(N.final_answer_part(said), want).alias("score"))
+
+
 SUBST_SQL = f"""{EVAL_SQL}, x AS (SELECT doc_id, lang, list_slice(choices, 1, 2) AS words, [3, 2][1:len(list_slice(choices, 1, 2))] AS freqs FROM eval_docs),
  sub AS (SELECT doc_id, lang, CASE WHEN len(words) = 2 AND words[1] = words[2] THEN 3.0 ELSE freqs[1] END * CASE WHEN regexp_matches(words[1], ',') THEN 0 ELSE 1 END / list_sum(freqs) AS prec, words FROM x)"""
 
@@ -361,12 +374,12 @@ def entities(t: Tables):
     return eval_docs(t).select("doc_id", "lang", g.alias("g")).withColumn("pairs", N.entity_alignment(N.entity_pairs(resp), F.col("g"))).select("doc_id", "lang", F.inline("pairs"))
 
 
-@query(
-    "entity_alignment",
-    f"""WITH {EVAL_SQL}, e AS (SELECT doc_id, unnest(range(len(choices))) AS i, unnest(list_transform(choices, lambda c: regexp_replace(c, '[,$]', '', 'g'))) AS tx FROM eval_docs),
-      g AS (SELECT doc_id, i, tx, [0, 1, 2, 0][i + 1] AS gold, CASE WHEN (doc_id + i) % 3 = 0 THEN 2 ELSE [0, 1, 2, 0][i + 1] END AS said FROM e)
-      SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND EXISTS (SELECT 1 FROM g b WHERE b.doc_id = g.doc_id AND b.tx = g.tx AND b.said = g.gold AND b.tx <> '') THEN gold ELSE 3 END::INT AS pred, gold::INT AS gold FROM g""",
-)
+ENTITY_SQL = f"""{EVAL_SQL}, e AS (SELECT doc_id, unnest(range(len(choices))) AS i, unnest(list_transform(choices, lambda c: regexp_replace(c, '[,$]', '', 'g'))) AS tx FROM eval_docs),
+      g AS (SELECT doc_id, i, tx, [0, 1, 2, 0][i + 1] AS gold, CASE WHEN (doc_id + i) % 3 = 0 THEN 2 ELSE [0, 1, 2, 0][i + 1] END AS said FROM e),
+      aligned AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND EXISTS (SELECT 1 FROM g b WHERE b.doc_id = g.doc_id AND b.tx = g.tx AND b.said = g.gold AND b.tx <> '') THEN gold ELSE 3 END::INT AS pred, gold::INT AS gold FROM g)"""
+
+
+@query("entity_alignment", f"WITH {ENTITY_SQL} SELECT doc_id, pred, gold FROM aligned")
 def entity_alignment(t: Tables):
     return entities(t).select("doc_id", "pred", "gold")
 
@@ -393,16 +406,17 @@ def rouge_lsum(t: Tables):
 @query(
     "best_true_and_false",
     f"""WITH {PAIRS_SQL}, refs AS (SELECT conv_id, turn, prediction, unnest(range(4)) AS k, unnest([string_split(reference, '. ')[1], prediction, string_split(prediction, '. ')[1], reference]) AS reference FROM pairs),
-      tok AS (SELECT conv_id, turn, k, {sql_rouge_tokens('prediction')} AS p, {sql_rouge_tokens('reference')} AS r FROM refs), {sql_overlap('tok', 'conv_id, turn, k', [1])},
-      sc AS (SELECT conv_id, turn, k, coalesce(2.0 * n_common / (n_pred + n_ref), 0)::DOUBLE AS f FROM tok LEFT JOIN ov USING (conv_id, turn, k)),
-      b AS (SELECT conv_id, turn, max(f) FILTER (WHERE (turn + k) % 2 = 0) AS t, max(f) FILTER (WHERE (turn + k) % 2 = 1) AS f FROM sc GROUP BY ALL)
-      SELECT conv_id, turn, round(t, 6) AS rouge1_max, round(t - f, 6) AS rouge1_diff, (t > f)::INT::DOUBLE AS rouge1_acc FROM b""",
+      tok AS (SELECT conv_id, turn, k, {sql_rouge_tokens('prediction')} AS p, {sql_rouge_tokens('reference')} AS r FROM refs), {sql_overlap('tok', 'conv_id, turn, k', [1, 2])},
+      sc AS (SELECT t.conv_id, t.turn, t.k, n, coalesce(max(2.0 * n_common / (n_pred + n_ref)), 0)::DOUBLE AS f FROM tok t CROSS JOIN (VALUES (1), (2)) v(n) LEFT JOIN ov USING (conv_id, turn, k, n) GROUP BY ALL),
+      b AS (SELECT conv_id, turn, n, max(f) FILTER (WHERE (turn + k) % 2 = 0) AS t, max(f) FILTER (WHERE (turn + k) % 2 = 1) AS f FROM sc GROUP BY ALL)
+      SELECT conv_id, turn, n::INT AS n, round(t, 6) AS f_max, round(t - f, 6) AS f_diff, (t > f)::INT::DOUBLE AS f_acc FROM b""",
 )
 def best_true_and_false(t: Tables):
     refs = F.array(F.substring_index("reference", ". ", 1), F.col("prediction"), F.substring_index("prediction", ". ", 1), F.col("reference"))
     r = text_pairs(t).select(*PAIR, "prediction", F.posexplode(refs).alias("k", "reference"))
-    s = O.rouge_n(r, [*PAIR, "k"], "prediction", "reference", (1,)).withColumn("is_true", (F.col("turn") + F.col("k")) % 2 == 0)
-    return rnd(C.best_true_and_false(s, PAIR, "rouge1"), "rouge1_max", "rouge1_diff")
+    s = O.rouge_n(r, [*PAIR, "k"], "prediction", "reference").withColumn("is_true", (F.col("turn") + F.col("k")) % 2 == 0)
+    long = s.select(*PAIR, "is_true", F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"rouge{n}").alias("f")) for n in (1, 2)])))
+    return rnd(C.best_true_and_false(long, [*PAIR, "n"], "f"), "f_max", "f_diff")
 
 
 def sql_13a(x: str, lower: bool = False) -> str:

@@ -18,6 +18,7 @@ def build_session(master: str | None = None, app: str = "evalspark", shuffle_par
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master).config("spark.driver.memory", "16g")
