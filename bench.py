@@ -25,7 +25,7 @@ HEADLINE = [
     "inflight_dedup",
     "longest_first_batches",
     "rolling_windows",
-    "filter_pipelines",
+    "filter_sets",
     "filter_final_letter",
     "choice_scores",
     "token_f1",

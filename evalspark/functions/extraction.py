@@ -1,6 +1,6 @@
 """Answer extraction from generated text, as Column expressions.
 
-Every function maps one response to one filtered response; filter pipelines compose them.
+Every function maps one response to one filtered response; filter sequences compose them.
 """
 
 from __future__ import annotations

@@ -175,7 +175,7 @@ def clean_chunks(
     )
 
 
-def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pass: bool = False) -> DataFrame:
+def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pass: bool = True) -> DataFrame:
     """N-grams in more than ``more_than`` documents with that number.
 
     N-grams are distinct per row already, so a plain count with map-side combine is enough. With
@@ -192,7 +192,7 @@ def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pas
             .where(F.col("count") > more_than)
             .select("h")
         )
-        grams = grams.withColumn("h", F.xxhash64("ngram")).join(frequent, "h", "left_semi")
+        grams = grams.withColumn("h", F.xxhash64("ngram")).join(settle(frequent), "h", "left_semi")
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > more_than)
 
 

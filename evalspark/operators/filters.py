@@ -1,7 +1,7 @@
-"""Filter pipelines over a long response table ``(keys…, rep, resp)``.
+"""Filter sequences over a long response table ``(keys…, rep, resp)``.
 
-A step is a function DataFrame → DataFrame, so pipelines compose with ``transform``; a pipeline set
-runs several of them over the same responses and labels each result with its name.
+A step is a function DataFrame → DataFrame, so sequences compose with ``transform``; several
+named ones run over the same responses and label each result with their name.
 """
 
 from __future__ import annotations
@@ -105,10 +105,10 @@ def majority_vote(keys: list[str]) -> Step:
     return run
 
 
-def apply_pipelines(responses: DataFrame, pipelines: dict[str, list[Step]]) -> DataFrame:
-    """Every named pipeline over the same responses, in one long table with a ``filter`` column."""
+def apply_filter_sets(responses: DataFrame, sets: dict[str, list[Step]]) -> DataFrame:
+    """Every named sequence of steps over the same responses, in one long table with a ``filter`` column."""
     parts = []
-    for name, steps in pipelines.items():
+    for name, steps in sets.items():
         out = reduce(lambda df, step: df.transform(step), steps, responses)
         parts.append(out.withColumn("filter", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -19,9 +19,14 @@ def attach_responses(requests: DataFrame, responses: DataFrame, doc_keys: list[s
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, answer: str, sampled: Column) -> DataFrame:
-    """Requests with the cached answer and a ``hit`` flag, in one join; sampled requests never hit."""
+    """Requests with the cached answer and a ``hit`` flag, in one join.
+
+    Sampled requests never hit: they join under a key of their own that no cache entry has, which
+    also spreads them over the cluster as a common NULL key would not.
+    """
     known = cache.select(F.col(key).alias("_k"), F.col(answer).alias(f"cached_{answer}"), F.lit(True).alias("_hit"))
-    usable = F.when(sampled, F.lit(None)).otherwise(F.col(key))
+    own = F.concat(F.lit("sampled:"), F.xxhash64(*requests.columns).cast("string"))
+    usable = F.when(sampled, own).otherwise(F.col(key))
     return requests.join(known, usable == F.col("_k"), "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
 
 

@@ -169,12 +169,12 @@ DF_SQL = f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(3)}) GR
 
 @query("ngram_document_frequency", DF_SQL)
 def ngram_document_frequency(t: Tables):
-    return D.ngram_document_frequency(t.corpus, 3, 10)
+    return D.ngram_document_frequency(t.corpus, 3, 10, hash_pass=False)
 
 
 @query("ngram_document_frequency_hashed", DF_SQL)
 def ngram_document_frequency_hashed(t: Tables):
-    return D.ngram_document_frequency(t.corpus, 3, 10, hash_pass=True)
+    return D.ngram_document_frequency(t.corpus, 3, 10)
 
 
 @query(

@@ -130,19 +130,19 @@ def filter_entity_spans(t: Tables):
 
 
 @query(
-    "filter_pipelines",
+    "filter_sets",
     f"""WITH {GENERATED_SQL}, {MAJ} SELECT doc_id, 'first' AS filter, {PICK} AS resp FROM gen WHERE rep = 0
         UNION ALL SELECT doc_id, 'maj@5', resp FROM voted UNION ALL SELECT doc_id, 'none', resp FROM gen WHERE rep = 0
         UNION ALL SELECT doc_id, 'shout', upper(resp) || '!' FROM gen WHERE rep = 0""",
 )
-def filter_pipelines(t: Tables):
+def filter_sets(t: Tables):
     p = {
         "none": [S.take_first()],
         "first": [S.regex(), S.take_first()],
         "maj@5": [S.regex(), S.majority_vote(["doc_id"])],
         "shout": [S.uppercase(), S.custom(lambda df: F.concat(df["resp"], F.lit("!"))), S.take_first()],
     }
-    return S.apply_pipelines(generated(t).select("doc_id", "rep", "resp"), p).select("doc_id", "filter", "resp")
+    return S.apply_filter_sets(generated(t).select("doc_id", "rep", "resp"), p).select("doc_id", "filter", "resp")
 
 
 @query(
