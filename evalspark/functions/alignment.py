@@ -133,13 +133,12 @@ def translation_edits(pred: str, ref: str) -> int:
             if tried > MAX_SHIFT_CANDIDATES:
                 break
             block, rest = h[i : i + size], np.delete(h, np.s_[i : i + size])
-            to = min(j if j < i else max(j, 0), len(rest))
-            new = np.insert(rest, to, block)
+            new = np.insert(rest, min(j, len(rest)), block)
             d = _edits(new, r)
             key = (best - d, size, -i)
-            if d < best - 0 and (choice is None or key > choice[0]):
+            if d < best and (choice is None or key > choice[0]):
                 choice = (key, new, d)
-        if choice is None or best - choice[2] < 1 or choice[2] + moved + 1 >= best + moved + 1:
+        if choice is None:
             break
         h, best, moved = choice[1], choice[2], moved + 1
     return best + moved

@@ -209,12 +209,24 @@ def hidden_sentences(t: Tables):
     return d.select("doc_id", F.col("depth").cast(L).alias("depth"), F.sha2(F.regexp_replace(text, r"\s+", " "), 256).alias("input_hash"))
 
 
-@query("hidden_sentences_many")
+def sql_part(lo: str, hi: str) -> str:
+    return f"array_to_string(list_slice(s, floor(n * {lo} / 100)::INT + 1, floor(n * {hi} / 100)::INT), ' ')"
+
+
+def sql_needle(i: int) -> str:
+    return f"'One of the special magic words for k{i} is: v' || doc_id || '-{i}.'"
+
+
+@query(
+    "hidden_sentences_many",
+    f"""WITH {SENTS_SQL} SELECT doc_id, sha256(regexp_replace(array_to_string([{sql_part('0', '10')}, {sql_needle(1)}, {sql_part('10', '40')}, {sql_needle(2)}, {sql_part('40', '60')}, {sql_needle(3)},
+        {sql_part('60', '80')}, {sql_needle(4)}, {sql_part('80', '100')}], ' '), '\\s+', ' ', 'g')) AS input_hash FROM (SELECT *, len(s) AS n FROM sents)""",
+)
 def hidden_sentences_many(t: Tables):
-    """Four needles in one text; positions are checked on a small fixture in the tests."""
+    """Four needles in one text, placed in depth order whatever order the depths are given in."""
     needles = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: Y.needle("words", F.concat(F.lit("k"), i.cast("string")), F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit("-"), i.cast("string"))))
     text = Y.hide_sentences(F.col("text"), needles, F.array(*[F.lit(x) for x in (80, 10, 40, 60)]))
-    return t.corpus.select("doc_id", text.alias("input"))
+    return t.corpus.select("doc_id", F.sha2(F.regexp_replace(text, r"\s+", " "), 256).alias("input_hash"))
 
 
 @query(
