@@ -14,8 +14,9 @@ from evalspark.session import ensure_checkpoint_dir
 #: Words are runs of anything but the six ASCII space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: 0 for the six spaces, 1 for all others.
+WORDS = np.ones(256, dtype=np.uint8)
+WORDS[[9, 10, 11, 12, 13, 32]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,25 +89,29 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def hash_words(text: bytes, lower: bool = False, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, first byte and length of each word of a text; long texts are read in parts cut at spaces."""
+def hash_words(text: bytes, lower: bool = False, kinds: np.ndarray = WORDS, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and length of each word of a text; long texts are read in parts cut at spaces.
+
+    ``kinds`` gives the kind of each byte: a word is a run of bytes of one kind, and kind 0 lies between words.
+    """
     hashes, starts, sizes, at = [], [], [], 0
     whole = np.frombuffer(text, dtype=np.uint8)
     while at < len(whole):
         end = min(len(whole), at + part)
         while end < len(whole):
-            gap = np.flatnonzero(_SPACE[whole[end : end + part]])
+            gap = np.flatnonzero(kinds[whole[end : end + part]] == 0)
             if len(gap):
                 end += int(gap[0])
                 break
             end = min(len(whole), end + part)
         x = whole[at:end]
-        inside = ~_SPACE[x]
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        kind = kinds[x]
+        turn = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)))
+        size = np.diff(turn, append=len(x))
+        words = kind[turn] > 0
+        first, size = turn[words], size[words]
         if len(first):
-            size = last - first
-            x = x[inside]
+            x = x[kind > 0]
             begin = np.cumsum(size) - size
             where = np.arange(len(x)) - np.repeat(begin, size)
             value = _TABLE[_LOWER[x] if lower else x] * _powers_to(int(size.max()))[where]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, mixing, packing, topk
+from evalspark.llm import chat, fertility, langid, mixing, packing, quality, topk
 from evalspark.llm.common import small_batches, table
 
 QUERIES: dict = {}
@@ -29,6 +29,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo ``n``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
+    learn = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    model = langid.fit(langid.training_sample(learn))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
+
+
+@query("op3_quality")
+def op3(spark, sf_dir):
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = table(spark, sf_dir, "labels").select("doc_id", quality.rating().alias("grade"))
+    model = quality.fit(quality.training_sample(docs, rated))
+    out = quality.graded(docs, model)
+    return out.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__tail").alias("tail_probability"), F.col("__kept").alias("kept"))
+
+
 @query("op4_packing")
 def op4(spark, sf_dir):
     small_batches(spark)
@@ -51,6 +75,13 @@ def op6(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@query("op7_fertility")
+def op7(spark, sf_dir):
+    small_batches(spark)
+    rows = fertility.measured(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
+    return fertility.judged(rows).drop("band_group")
+
+
 @query(
     "op9_mixing",
     f"""
