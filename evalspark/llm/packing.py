@@ -17,7 +17,25 @@ EOS = 1
 #: Characters that count as white space in some libraries only; units with them are odd.
 _ODD = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff\0")
 #: Units (words with the space before them) whose ids a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+class Memory(dict):
+    """A dict of bounded size: what was not asked for while half of it filled is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old[key]
+        self[key] = value
+        return value
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > self.half:
+            self.old = dict(self)
+            self.clear()
 
 
 class UnitTokenizer:
@@ -35,9 +53,10 @@ class UnitTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
+        self.first, self.spaced = Memory(REMEMBERED // 5), Memory(REMEMBERED)
         self.feed = self._whole("\n")
+        self.stops = {c: self._whole(c) for c in ",."}  # a token of their own after a letter
+        self.feed_id = int.from_bytes(self.feed, "little")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -45,13 +64,23 @@ class UnitTokenizer:
     def _odd(self, word: str) -> bool:
         return word.split() != [word] or any(s in word for s in self.special) or not _ODD.isdisjoint(word)
 
-    def _learn(self, known: dict[str, bytes | None], words: set[str], before: str) -> None:
-        if len(known) + len(words) > REMEMBERED:
-            known.clear()
-        plain = [w for w in words if not self._odd(w)]
-        known.update(dict.fromkeys(words))
-        for w, e in zip(plain, self.model.encode_batch([before + w for w in plain], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+    def _learn(self, known: Memory, words: set[str], before: str) -> None:
+        """Ids of new units. Many go through the tokenizer as one text, a line feed between them; their ids are those
+        between the ids of line feeds."""
+        words = {w for w in words if w not in known.old}
+        ended = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha() and max(w) < "\u0250"}
+        words |= set(ended.values())
+        known.make_room(len(words))
+        new = [w for w in words if w not in ended and w not in known and w not in known.old]
+        known.update(dict.fromkeys(new))
+        plain = [w for w in new if not self._odd(w)]
+        for at in range(0, len(plain), 400):
+            part = plain[at : at + 400]
+            ids = np.array(self.model.encode("\n".join(before + w for w in part) + "\n", add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.feed_id) * 4
+            raw = ids.tobytes()
+            known.update(zip(part, (raw[i:j] for i, j in zip([0, *(ends[:-1] + 4)], ends, strict=True)), strict=True))
+        known.update((w, known[core] + self.stops[w[-1]]) for w, core in ended.items())
 
     def _split(self, text: str) -> bytes:
         parts: list = []
