@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, fertility, langid, mixing, packing, quality, topk
+from evalspark.llm import chat, fertility, langid, lattice, mixing, neardup, packing, quality, suffix, topk
 from evalspark.llm.common import small_batches, table
 
 QUERIES: dict = {}
@@ -43,6 +43,12 @@ def op1(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
 
 
+@query("op2_ngram_join")
+def op2(spark, sf_dir):
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_grams")
+
+
 @query("op3_quality")
 def op3(spark, sf_dir):
     small_batches(spark)
@@ -59,6 +65,13 @@ def op4(spark, sf_dir):
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False))
 
 
+@query("op5_lattice")
+def op5(spark, sf_dir):
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 1, F.lit(False)).alias("held_out"))
+    return lattice.score_texts(docs, ~F.col("held_out") & F.col("doc_id").isNotNull(), vocabulary("piece_bpe_32k.model"))
+
+
 @query(
     "op6_topk",
     """
@@ -82,6 +95,12 @@ def op7(spark, sf_dir):
     return fertility.judged(rows).drop("band_group")
 
 
+@query("op8_suffix")
+def op8(spark, sf_dir):
+    small_batches(spark)
+    return suffix.removal_digest(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_mixing",
     f"""
