@@ -306,6 +306,7 @@ def _rows(names, ids, keys, lo, owner, h, n, hit, place, base, model, spelled) -
     size = int(owner.max()) + 1
     sums = [np.bincount(owner[hit], weights=w, minlength=size) for w in (n[hit], n[hit] * base[place[hit]], n[hit] * model[place[hit]])]
     which = np.flatnonzero(sums[0])
+    sums = [x[which] for x in sums]
     far = np.flatnonzero(~hit)
     text = np.concatenate([which, owner[far]]) + lo
     k, f = len(which), len(far)
