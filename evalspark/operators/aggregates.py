@@ -228,22 +228,30 @@ def regression_table(base: DataFrame, branch: DataFrame, on: list[str]) -> DataF
 def treatment_coefficients(df: DataFrame, value: str, numeric: list[str], factors: dict[str, str]) -> DataFrame:
     """Fixed-effect least squares: numeric columns standardised, factors against a base level.
 
-    The design is a bounded number of columns; rows stay distributed in the normal-equation solver.
+    Every other level has a coefficient, however many there are: levels are indexed and encoded as sparse vectors, and
+    beyond 4,000 columns the solver is iterative. A constant numeric column is only centred. Rows with a null value,
+    number or factor are left out.
     """
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
+    df = df.dropna(subset=[value, *numeric, *factors])
     stats = df.agg(F.count(F.lit(1)), *[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_samp(c).alias(f"s_{c}") for c in numeric]).first()
-    names, cols = [], []
-    for c in numeric:
-        names.append(c)
-        cols.append(((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])).alias(f"x_{c}"))
-    for c, base in factors.items():
-        for level in [r[0] for r in df.where(F.col(c) != base).select(c).distinct().orderBy(c).limit(1000).collect()]:
-            names.append(f"{c}={level}")
-            cols.append((F.col(c) == level).cast("double").alias(f"x_{c}_{len(names)}"))
-    x = df.select(F.col(value).cast("double").alias("label"), *cols)
-    design = VectorAssembler(inputCols=[c for c in x.columns if c != "label"], outputCol="features").transform(x)
-    model = LinearRegression(solver="normal", standardization=False).fit(design)
-    rows = [(n, float(v)) for n, v in zip(["intercept", *names], [model.intercept, *model.coefficients.toArray()])]
+    scaled = [((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(f"x_{c}") for c in numeric]
+    # the base level becomes null, which the indexer puts last and the encoder drops
+    levels = [F.when(F.col(c) != base, F.col(c)).alias(f"f_{c}") for c, base in factors.items()]
+    x = df.select(F.col(value).cast("double").alias("label"), *scaled, *levels)
+    names, parts, inputs = [*numeric], [], [f"x_{c}" for c in numeric]
+    for c in factors:
+        index = StringIndexer(inputCol=f"f_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc").fit(x)
+        names += [f"{c}={level}" for level in index.labels]
+        if index.labels:
+            parts += [index, OneHotEncoder(inputCol=f"i_{c}", outputCol=f"x_{c}", dropLast=True)]
+            inputs.append(f"x_{c}")
+    design = VectorAssembler(inputCols=inputs, outputCol="features")
+    ready = Pipeline(stages=[*parts, design]).fit(x).transform(x)
+    solver = "normal" if len(names) <= 4000 else "l-bfgs"
+    model = LinearRegression(solver=solver, standardization=False).fit(ready)
+    rows = [(n, float(v)) for n, v in zip(["intercept", *names], [model.intercept, *model.coefficients.toArray()], strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")

@@ -2,11 +2,12 @@
 
 No document ever meets the whole example pool: a random draw is an equi-join on pool positions, and
 "first k" selections are reduced to a bounded number of examples before they meet the documents.
+Every document stays; one whose group has no pool has an empty list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,37 +18,60 @@ from evalspark.operators.ordering import top_per_group, with_position
 from evalspark.session import broadcast_if_small
 
 
+def sample_places(key: Column, n: Column, k: int, seed: int) -> Column:
+    """``min(k, n)`` different places below ``n``, each set of places equally likely.
+
+    Draw i is a number up to n - k + i; where it is taken already, that upper end takes its place.
+    """
+    size = F.least(F.lit(k).cast("long"), n)
+    steps = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def add(taken: Column, i: Column) -> Column:
+        top = n - size + i
+        place = draw(seed, key, i) % (top + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, place), top).otherwise(place)))
+
+    return F.aggregate(steps, F.array().cast("array<bigint>"), add)
+
+
 def draw_shots(docs: DataFrame, pool: DataFrame, key: str, group: list[str], k: int, seed: int, fields: list[str]) -> DataFrame:
-    """``key, shots``: k pseudo-random pool rows of the document's group, never the document itself.
+    """``key, shots``: k pool rows of the document's group, drawn without replacement, never the document itself.
 
-    The pool of a group is put in a seeded order; a document reads k+1 consecutive places of that
-    circle from its own seeded start, drops itself and keeps k.
+    The pool of a group is numbered; a document that is in the pool itself passes over its own number. Pools are
+    small beside documents and are sent to all tasks when they are; else the join splits hot groups.
     """
-    mixed = pool.select(*group, key, *fields, draw(seed, F.col(key)).alias("_d"))
-    placed = with_position(mixed, ["_d", key], group, name="_pos").withColumnRenamed(key, "_pool_key").drop("_d")
+    placed = with_position(pool.select(*group, key, *fields), [key], group, name="_pos").withColumnRenamed(key, "_pool_key")
     sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    reads = (
-        docs.select(key, *group)
-        .join(broadcast_if_small(sizes), group)
-        .select(key, *group, "_n", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("_j"))
-        .withColumn("_pos", F.pmod(draw(seed + 1, F.col(key)) % F.col("_n") + F.col("_j"), F.col("_n")))
-    )
-    shot = F.struct(F.col("_j").alias("j"), F.col("_pool_key").alias("id"), *fields)
-    return (
-        reads.join(placed, [*group, "_pos"])
-        .where(F.col("_pool_key") != F.col(key))
-        .groupBy(key)
-        .agg(F.slice(F.array_sort(F.collect_list(shot)), 1, k).alias("shots"))
-    )
+    own = placed.select(*group, F.col("_pool_key").alias(key), F.col("_pos").alias("_own"))
+    known = docs.select(key, *group).join(broadcast_if_small(sizes, 100_000), group, "left").join(broadcast_if_small(own, 100_000), [*group, key], "left")
+    others = F.coalesce("_n", F.lit(0)) - F.col("_own").isNotNull().cast("long")
+    places = known.withColumn("_others", others).withColumn("_places", sample_places(F.col(key), F.col("_others"), k, seed))
+    reads = places.select(key, *group, "_own", F.posexplode_outer("_places").alias("_j", "_at"))
+    reads = reads.withColumn("_pos", F.col("_at") + F.coalesce(F.col("_at") >= F.col("_own"), F.lit(False)).cast("long"))
+    shot = F.when(F.col("_pool_key").isNotNull(), F.struct(F.col("_j").alias("j"), F.col("_pool_key").alias("id"), *fields))
+    joined = reads.join(broadcast_if_small(placed, 100_000), [*group, "_pos"], "left")
+    return joined.groupBy(key).agg(F.array_sort(F.collect_list(shot)).alias("shots"))
 
 
-def first_shots(docs: DataFrame, pool: DataFrame, key: str, group: list[str], k: int, fields: list[str]) -> DataFrame:
-    """``key, shots``: the first k pool rows of the group in source order without the document itself."""
-    head = top_per_group(pool.select(*group, key, *fields), group, [F.col(key)], k + 1)
+def sampled_shots(docs: DataFrame, pool: DataFrame, key: str, group: list[str], k: int, sampler: Callable[[Column], Column], fields: list[str]) -> DataFrame:
+    """``key, shots`` by a user's own sampler: ``sampler`` makes a sort value from the key of a pool row, and every
+    document gets the first k rows of its group by that value without itself."""
+    head = top_per_group(pool.select(*group, key, *fields).withColumn("_by", sampler(F.col(key))), group, [F.col("_by"), F.col(key)], k + 1)
+    return _from_heads(docs, head, key, group, k, fields)
+
+
+def _from_heads(docs: DataFrame, head: DataFrame, key: str, group: list[str], k: int, fields: list[str]) -> DataFrame:
     shot = F.struct(F.col("rn").alias("j"), F.col(key).alias("id"), *fields)
     per_group = head.groupBy(*group).agg(F.array_sort(F.collect_list(shot)).alias("_head"))
     own = F.col(key)
-    return docs.select(key, *group).join(per_group, group).select(key, F.slice(F.filter("_head", lambda s: s["id"] != own), 1, k).alias("shots"))
+    kept = F.filter("_head", lambda s: s["id"] != own)
+    kind = per_group.schema["_head"].dataType.simpleString()
+    return docs.select(key, *group).join(broadcast_if_small(per_group, 100_000), group, "left").select(key, F.coalesce(F.slice(kept, 1, k), F.array().cast(kind)).alias("shots"))
+
+
+def first_shots(docs: DataFrame, pool: DataFrame, key: str, group: list[str], k: int, fields: list[str]) -> DataFrame:
+    """``key, shots``: the first k pool rows of the group in source order without the document itself."""
+    return _from_heads(docs, top_per_group(pool.select(*group, key, *fields), group, [F.col(key)], k + 1), key, group, k, fields)
 
 
 def first_shots_shared(docs: DataFrame, pool: DataFrame, key: str, k: int) -> DataFrame:

@@ -54,16 +54,16 @@ def shift_trailing_space(context: Column, continuation: Column) -> tuple[Column,
 
 
 def ordered_digest(df: DataFrame, order: list[str], digest: str, group: list[str] | None = None, fanout: int = 4096) -> DataFrame:
-    """SHA-256 of the row digests joined in order, per group.
+    """SHA-256 of the row digests in order, per group, by one rule for groups of every size.
 
-    Up to ``fanout`` rows this is one hash over the joined digests; larger groups are hashed block
-    by block and level by level, so that no task ever holds more than one block.
+    Rows are numbered in order from 0. Three times over, the digests of each block of ``fanout`` numbers are joined
+    and hashed, and the block's number takes their place. A group's digest depends on its own rows alone, and no task
+    holds more than a block; a group of more than ``fanout`` cubed rows has a larger last block.
     """
     keys = group or []
     level = with_position(df.select(*keys, *order, F.col(digest).alias("_h")), order, group).select(*keys, "pos", "_h")
-    while True:
-        level = level.groupBy(*keys, F.floor(F.col("pos") / fanout).alias("pos")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_h"))), lambda s: s["_h"]), ""), 256).alias("_h")
-        )
-        if level.agg(F.max("pos")).first()[0] in (0, None):
-            return level.select(*keys, F.col("_h").alias("digest"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_h"))), lambda s: s["_h"]), ""), 256)
+    for last in (False, False, True):
+        block = F.lit(0).cast("long") if last else F.floor(F.col("pos") / fanout)
+        level = level.groupBy(*keys, block.alias("pos")).agg(joined.alias("_h"))
+    return level.select(*keys, F.col("_h").alias("digest"))

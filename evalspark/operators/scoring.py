@@ -15,6 +15,20 @@ from evalspark.functions.text import byte_count, word_count
 from evalspark.registry import METRICS
 
 
+NEVER = float("-inf")
+
+
+def log_sum(a: Column, b: Column) -> Column:
+    """``ln(exp(a) + exp(b))`` from the larger of the two, so that nothing underflows; a null side is left out."""
+    top, low = F.greatest(a, b), F.least(a, b)
+    return F.when(a.isNull() | b.isNull() | (low == NEVER), top).otherwise(top + F.log1p(F.exp(low - top)))
+
+
+def per_character(loglik: Column, choice: Column) -> Column:
+    """Likelihood by the length of the choice; an empty choice is never the likeliest."""
+    return F.when(F.length(choice) == 0, NEVER).otherwise(loglik / F.length(choice))
+
+
 def first_argmax(score: Column, idx: str = "idx") -> Column:
     return F.max_by(idx, F.struct(score, -F.col(idx)))
 
@@ -33,7 +47,7 @@ def choice_scores(rows: DataFrame, keys: list[str], golds: Column | None = None)
         F.count(F.lit(1)).alias("n_choices"),
         F.max(gold).alias("_g"),
         first_argmax(F.col("loglik")).alias("pred"),
-        first_argmax(F.col("loglik") / F.length("choice")).alias("pred_norm"),
+        first_argmax(per_character(F.col("loglik"), F.col("choice"))).alias("pred_norm"),
         first_argmax(F.col("loglik") - F.col("uncond")).alias("pred_mi"),
         F.max(F.when(is_gold, F.col("is_greedy").cast("double"))).alias("_greedy"),
     )
@@ -63,10 +77,10 @@ def rolling_scores(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 @METRICS.add("brier_score", output="multiple_choice", higher_is_better=False)
 def softmax_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each choice with its softmax probability; both windows share one partitioning."""
+    """Each choice with its softmax probability; both windows share one partitioning. NULL if no choice is possible."""
     w = Window.partitionBy(*keys)
-    e = rows.withColumn("_e", F.exp(F.col("loglik") - F.max("loglik").over(w)))
-    return e.withColumn("prob", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    e = rows.withColumn("_e", F.when(F.col("loglik") == NEVER, 0.0).otherwise(F.exp(F.col("loglik") - F.max("loglik").over(w))))
+    return e.withColumn("prob", F.try_divide(F.col("_e"), F.sum("_e").over(w))).drop("_e")
 
 
 def brier_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,8 +93,8 @@ def brier_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
 @METRICS.add("mc2", output="multiple_choice", higher_is_better=True)
 def probability_mass(rows: DataFrame, keys: list[str], label: Column) -> DataFrame:
     """Share of the probability on the options labelled true."""
-    p = F.exp("loglik")
-    return rows.groupBy(*keys).agg((F.sum(F.when(label, p).otherwise(0.0)) / F.sum(p)).alias("acc"))
+    p = softmax_rows(rows, keys)
+    return p.groupBy(*keys).agg(F.sum(F.when(label, F.col("prob")).otherwise(F.col("prob") * 0)).alias("acc"))
 
 
 @METRICS.add("likelihood_diff", output="multiple_choice", higher_is_better=False)
@@ -96,8 +110,8 @@ def gender_bias(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Continuations (female, woman, male, man): log-probability gap and whether a male one is first."""
     ll = lambda i: F.max(F.when(F.col("idx") == i, F.col("loglik")))
     p = rows.groupBy(*keys).agg(*[ll(i).alias(f"l{i}") for i in range(4)], first_argmax(F.col("loglik")).alias("best")).where(F.col("l3").isNotNull())
-    female, male = F.exp("l0") + F.exp("l1"), F.exp("l2") + F.exp("l3")
-    return p.select(*keys, (F.ln(female) - F.ln(male)).alias("likelihood_diff"), (F.col("best") > 1).cast("double").alias("pct_male_preferred"))
+    female, male = log_sum(F.col("l0"), F.col("l1")), log_sum(F.col("l2"), F.col("l3"))
+    return p.select(*keys, (female - male).alias("likelihood_diff"), (F.col("best") > 1).cast("double").alias("pct_male_preferred"))
 
 
 # Words counted as male and female.
@@ -132,10 +146,10 @@ def ranking_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
 @METRICS.add("logit_yes", output="multiple_choice", higher_is_better=None)
 def yes_logit(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Logit of yes from the four spellings (yes, Yes, no, No)."""
-    mass = lambda a, b: F.sum(F.when(F.col("idx").isin(a, b), F.exp("loglik")))
-    p = rows.groupBy(*keys).agg(mass(0, 1).alias("yes"), mass(2, 3).alias("no")).where(F.col("yes").isNotNull() & F.col("no").isNotNull())
-    share = F.col("yes") / (F.col("yes") + F.col("no"))
-    return p.select(*keys, F.ln(share / (1 - share)).alias("logit_yes"))
+    ll = lambda i: F.max(F.when(F.col("idx") == i, F.col("loglik")))
+    p = rows.groupBy(*keys).agg(*[ll(i).alias(f"l{i}") for i in range(4)])
+    yes, no = log_sum(F.col("l0"), F.col("l1")), log_sum(F.col("l2"), F.col("l3"))
+    return p.select(*keys, (yes - no).alias("logit_yes")).where(F.col("logit_yes").isNotNull())
 
 
 def to_long(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

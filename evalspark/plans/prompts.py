@@ -55,14 +55,18 @@ def document_fields(t: Tables):
 
 
 def draw_sql(k: int, seed: int, test: str) -> str:
-    return f"""{EVAL_SQL}, pool0 AS (SELECT *, {sql_draw(seed, 'doc_id')} AS d FROM eval_docs WHERE split = 'dev'),
-  pool AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY d, doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM pool0),
-  sizes AS (SELECT DISTINCT lang, n FROM pool),
-  reads AS (SELECT e.doc_id, e.lang, n, j, ({sql_draw(seed + 1, 'e.doc_id')} % n + j) % n AS pos
-            FROM eval_docs e JOIN sizes USING (lang), range({k + 1}) r(j) WHERE {test} AND j <= least({k}, n - 1)),
-  hits AS (SELECT r.doc_id, j, p.doc_id AS id, p.subject AS subject, substring('ABCD', p.gold + 1, 1) AS target
-           FROM reads r JOIN pool p USING (lang, pos) WHERE p.doc_id <> r.doc_id),
-  shots AS (SELECT doc_id, id, subject, target, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS k FROM hits QUALIFY k <= {k})"""
+    """CTEs up to ``shots`` (doc_id, id, subject, target, k) and ``asked`` (all documents): k of the other pool rows."""
+    d0 = """d0 AS (SELECT e.doc_id, e.lang, p.pos AS own, coalesce(s.n, 0) - (p.pos IS NOT NULL)::INT AS m FROM asked e LEFT JOIN sizes s USING (lang) LEFT JOIN pool p ON p.doc_id = e.doc_id AND p.lang = e.lang)"""
+    steps = [f"s0 AS (SELECT *, least({k}, m) AS size, []::BIGINT[] AS taken FROM d0)"]
+    for i in range(k):
+        steps.append(f"t{i} AS (SELECT *, m - size + {i} AS top, {sql_draw(seed, 'doc_id', str(i))} AS u FROM s{i} WHERE size > {i} UNION ALL SELECT *, -1 AS top, 0 AS u FROM s{i} WHERE size <= {i})")
+        pick = "CASE WHEN list_contains(taken, u % (top + 1)) THEN top ELSE u % (top + 1) END"
+        steps.append(f"s{i + 1} AS (SELECT * EXCLUDE (top, u, taken), CASE WHEN top < 0 THEN taken ELSE list_append(taken, {pick}) END AS taken FROM t{i})")
+    return f"""{EVAL_SQL}, asked AS (SELECT doc_id, lang FROM eval_docs WHERE {test}),
+  pool AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM eval_docs WHERE split = 'dev'),
+  sizes AS (SELECT DISTINCT lang, n FROM pool), {d0}, {', '.join(steps)},
+  reads AS (SELECT doc_id, lang, own, unnest(taken) AS at, generate_subscripts(taken, 1) AS k FROM s{k}),
+  shots AS (SELECT r.doc_id, p.doc_id AS id, p.subject, substring('ABCD', p.gold + 1, 1) AS target, k FROM reads r JOIN pool p ON p.lang = r.lang AND p.pos = r.at + coalesce(r.at >= r.own, false)::INT)"""
 
 
 def drawn(t: Tables, k: int = 3, seed: int = 1234):
@@ -70,15 +74,15 @@ def drawn(t: Tables, k: int = 3, seed: int = 1234):
     return R.draw_shots(d, d.where("split = 'dev'"), "doc_id", ["lang"], k, seed, ["subject", "target"])
 
 
-@query("fewshot_random", f"WITH {draw_sql(3, 1234, 'true')} SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY k) AS shot_ids FROM shots GROUP BY doc_id")
+@query("fewshot_random", f"WITH {draw_sql(3, 1234, 'true')} SELECT doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k), '') AS shot_ids FROM asked LEFT JOIN shots USING (doc_id) GROUP BY doc_id")
 def fewshot_random(t: Tables):
     return drawn(t).select("doc_id", F.array_join(F.transform("shots", lambda s: s["id"].cast("string")), ",").alias("shot_ids"))
 
 
 @query(
     "labelled_context",
-    f"""WITH {draw_sql(3, 1234, 'true')} SELECT doc_id, string_agg('Topic: ' || subject || ' ' || 'The answer is ' || target || chr(10) || chr(10), '' ORDER BY k) || 'Topic: ' || any_value(own) AS prompt
-        FROM shots JOIN (SELECT doc_id, subject AS own FROM eval_docs) USING (doc_id) GROUP BY doc_id""",
+    f"""WITH {draw_sql(3, 1234, 'true')} SELECT doc_id, coalesce(string_agg('Topic: ' || subject || ' ' || 'The answer is ' || target || chr(10) || chr(10), '' ORDER BY k), '') || 'Topic: ' || any_value(x.own) AS prompt
+        FROM (SELECT doc_id, subject AS own FROM eval_docs) x LEFT JOIN shots USING (doc_id) GROUP BY doc_id""",
 )
 def labelled_context(t: Tables):
     shots = F.transform("shots", lambda s: F.struct(F.concat(F.lit("Topic: "), s["subject"]).alias("text"), s["target"].alias("target")))
@@ -88,9 +92,9 @@ def labelled_context(t: Tables):
 
 @query(
     "chat_context",
-    f"""WITH {draw_sql(2, 7, 'true')} SELECT doc_id, 'system=Be brief.;' || string_agg('user=' || subject || ';assistant=' || target, ';' ORDER BY k) || ';user=' || any_value(own) AS multiturn,
-        'system=Be brief.;user=' || string_agg(subject || ' ' || target || chr(10) || chr(10), '' ORDER BY k) || any_value(own) AS single_turn
-        FROM shots JOIN (SELECT doc_id, subject AS own FROM eval_docs) USING (doc_id) GROUP BY doc_id""",
+    f"""WITH {draw_sql(2, 7, 'true')} SELECT doc_id, 'system=Be brief.;' || coalesce(string_agg('user=' || subject || ';assistant=' || target, ';' ORDER BY k) || ';', '') || 'user=' || any_value(x.own) AS multiturn,
+        'system=Be brief.;user=' || coalesce(string_agg(subject || ' ' || target || chr(10) || chr(10), '' ORDER BY k), '') || any_value(x.own) AS single_turn
+        FROM (SELECT doc_id, subject AS own FROM eval_docs) x LEFT JOIN shots USING (doc_id) GROUP BY doc_id""",
 )
 def chat_context(t: Tables):
     d = drawn(t, 2, 7).join(eval_docs(t).select("doc_id", F.col("subject").alias("own")), "doc_id")
@@ -111,9 +115,9 @@ def by_subject(t: Tables):
     return R.first_shots(d, d.where("split = 'dev'"), "doc_id", ["subject"], 3, ["target"])
 
 
-@query("fewshot_by_subject", f"WITH {FIRST_SQL} SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY k) AS shot_ids FROM shots GROUP BY doc_id")
+@query("fewshot_by_subject", f"WITH {FIRST_SQL} SELECT doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k), '') AS shot_ids FROM eval_docs LEFT JOIN shots USING (doc_id) GROUP BY doc_id")
 def fewshot_by_subject(t: Tables):
-    return by_subject(t).where(F.size("shots") > 0).select("doc_id", F.array_join(F.transform("shots", lambda s: s["id"].cast("string")), ",").alias("shot_ids"))
+    return by_subject(t).select("doc_id", F.array_join(F.transform("shots", lambda s: s["id"].cast("string")), ",").alias("shot_ids"))
 
 
 @query(
@@ -134,18 +138,31 @@ def fewshot_first(t: Tables):
     f"""WITH {EVAL_SQL}, x AS (SELECT doc_id, split, subject AS passage, lang || (doc_id % 7) AS link FROM eval_docs),
       hits AS (SELECT e.doc_id, p.doc_id AS id FROM x e JOIN x p ON p.split = 'dev' AND p.doc_id <> e.doc_id AND p.passage <> e.passage AND p.link <> e.link),
       shots AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM hits QUALIFY k <= 3)
-      SELECT doc_id, string_agg(id::VARCHAR, ',' ORDER BY k) AS shot_ids FROM shots GROUP BY doc_id""",
+      SELECT doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k), '') AS shot_ids FROM eval_docs LEFT JOIN shots USING (doc_id) GROUP BY doc_id""",
 )
 def fewshot_excluding(t: Tables):
     d = eval_docs(t).select("doc_id", "split", F.col("subject").alias("passage"), F.concat("lang", F.col("doc_id") % 7).alias("link"))
     out = R.first_shots_excluding(d, d.where("split = 'dev'"), "doc_id", "passage", "link", 3)
-    return out.where(F.size("shot_ids") > 0).select("doc_id", F.array_join(F.col("shot_ids").cast("array<string>"), ",").alias("shot_ids"))
+    return out.select("doc_id", F.array_join(F.col("shot_ids").cast("array<string>"), ",").alias("shot_ids"))
+
+
+OWN_SQL = f"""{EVAL_SQL}, pool AS (SELECT doc_id AS id, lang, row_number() OVER (PARTITION BY lang ORDER BY (doc_id * 7919) % 104729, doc_id) AS rn FROM eval_docs WHERE split = 'dev'),
+ hits AS (SELECT e.doc_id, id, rn FROM eval_docs e JOIN pool p USING (lang) WHERE rn <= 4 AND id <> e.doc_id),
+ shots AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS k FROM hits QUALIFY k <= 3)"""
+
+
+@query("fewshot_own_sampler", f"WITH {OWN_SQL} SELECT doc_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY k), '') AS shot_ids FROM eval_docs LEFT JOIN shots USING (doc_id) GROUP BY doc_id")
+def fewshot_own_sampler(t: Tables):
+    """A user's own order of the pool."""
+    d = qdocs(t)
+    out = R.sampled_shots(d, d.where("split = 'dev'"), "doc_id", ["lang"], 3, lambda key: (key * 7919) % 104729, [])
+    return out.select("doc_id", F.array_join(F.transform("shots", lambda s: s["id"].cast("string")), ",").alias("shot_ids"))
 
 
 @query(
     "bad_demonstrations",
-    f"""WITH {FIRST_SQL} SELECT doc_id, count(id)::BIGINT AS n_shots, false AS has_self FROM eval_docs LEFT JOIN shots USING (doc_id)
-        WHERE subject IN (SELECT subject FROM pool) GROUP BY doc_id HAVING count(id) <> 3""",
+    f"""WITH {FIRST_SQL} SELECT doc_id, count(id)::BIGINT AS n_shots, coalesce(bool_or(id = doc_id), false) AS has_self FROM eval_docs LEFT JOIN shots USING (doc_id)
+        GROUP BY doc_id HAVING count(id) <> 3 OR bool_or(id = doc_id)""",
 )
 def bad_demonstrations(t: Tables):
     return R.bad_demonstrations(by_subject(t), "doc_id", 3).withColumn("n_shots", F.col("n_shots").cast(L))
@@ -169,7 +186,7 @@ def leaked_rows(t: Tables):
              FROM shots s JOIN blk b ON b.doc_id = s.id GROUP BY s.doc_id)
       SELECT doc_id, '{M.GREEK_INSTRUCTION}' || chr(10) || chr(10) || coalesce('{M.GREEK_EXAMPLES}' || chr(10) || chr(10) || examples || '{M.GREEK_NOW}' || chr(10) || chr(10), '')
          || block || chr(10) || chr(10) || '{M.GREEK_ALLOWED}' || letters || '.' || chr(10) || chr(10) || 'Απάντηση:' AS prompt
-      FROM blk LEFT JOIN ex USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM eval_docs WHERE subject IN (SELECT subject FROM pool))""",
+      FROM blk LEFT JOIN ex USING (doc_id)""",
 )
 def greek_prompt(t: Tables):
     d = qdocs(t).select("doc_id", "subject", "split", "target", F.col("task").alias("question"), "choices", F.col("lang").alias("passage"))
@@ -267,12 +284,15 @@ def request_hashes(t: Tables):
 
 @query(
     "task_hashes",
-    f"WITH {REQ_SQL} SELECT task, sha256(string_agg({HASH}, '' ORDER BY doc_id, idx)) AS digest FROM req GROUP BY task",
+    f"""WITH {REQ_SQL}, l0 AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY doc_id, idx) - 1 AS pos, {HASH} AS h FROM req),
+        l1 AS (SELECT task, pos // 8 AS block, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM l0 GROUP BY task, pos // 8),
+        l2 AS (SELECT task, block // 8 AS block, sha256(string_agg(h, '' ORDER BY block)) AS h FROM l1 GROUP BY task, block // 8)
+        SELECT task, sha256(string_agg(h, '' ORDER BY block)) AS digest FROM l2 GROUP BY task""",
 )
 def task_hashes(t: Tables):
     r = Q.choice_requests(eval_docs(t), ["task", "doc_id"], "subject", "choices")
     r = r.select("task", "doc_id", "idx", Q.request_hash(F.col("request_type"), F.col("task"), F.col("continuation")).alias("h"))
-    return Q.ordered_digest(r, ["doc_id", "idx"], "h", ["task"])
+    return Q.ordered_digest(r, ["doc_id", "idx"], "h", ["task"], fanout=8)
 
 
 @query(

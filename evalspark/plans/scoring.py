@@ -106,6 +106,33 @@ def gender_bias(t: Tables):
     return rnd(C.gender_bias(choice_rows(t), ["doc_id"]), "likelihood_diff")
 
 
+EXTREME_SQL = f"""{CHOICES_SQL}, x AS (SELECT doc_id, idx, gold, CASE WHEN (doc_id + idx) % 5 = 0 THEN '-inf'::DOUBLE ELSE loglik * 1000 END AS ll, CASE WHEN idx = 2 THEN '' ELSE choice END AS choice FROM mc),
+ xm AS (SELECT *, max(ll) OVER (PARTITION BY doc_id) AS top, CASE WHEN choice = '' THEN '-inf'::DOUBLE ELSE ll / length(choice) END AS norm FROM x),
+ xe AS (SELECT *, CASE WHEN ll = '-inf'::DOUBLE THEN 0 ELSE exp(ll - top) END AS e, row_number() OVER (PARTITION BY doc_id ORDER BY norm DESC, idx) AS r FROM xm),
+ xs AS (SELECT doc_id, sum(CASE WHEN (doc_id + idx) % 2 = 0 THEN e ELSE 0 END) AS part, sum(e) AS whole, max(CASE WHEN r = 1 THEN (idx = gold)::INT END)::DOUBLE AS acc_norm, """ + ", ".join(f"max(ll) FILTER (WHERE idx = {i}) AS l{i}" for i in range(4)) + """ FROM xe GROUP BY doc_id),
+ xl AS (SELECT *, greatest(l0, l1) AS ya, least(l0, l1) AS yb, greatest(l2, l3) AS na, least(l2, l3) AS nb FROM xs)"""
+
+
+def extreme_rows(t: Tables):
+    ll = F.when((F.col("doc_id") + F.col("idx")) % 5 == 0, float("-inf")).otherwise(F.col("loglik") * 1000)
+    return choice_rows(t).withColumn("loglik", ll).withColumn("choice", F.when(F.col("idx") == 2, "").otherwise(F.col("choice")))
+
+
+@query(
+    "extreme_likelihoods",
+    f"""WITH {EXTREME_SQL}, d AS (SELECT *, CASE WHEN yb = '-inf'::DOUBLE OR l0 IS NULL OR l1 IS NULL THEN ya ELSE ya + ln(1 + exp(yb - ya)) END AS yes,
+          CASE WHEN nb = '-inf'::DOUBLE OR l2 IS NULL OR l3 IS NULL THEN na ELSE na + ln(1 + exp(nb - na)) END AS no FROM xl)
+        SELECT doc_id, round(part / nullif(whole, 0), 6) AS mass, acc_norm, round(yes - no, 4) AS logit_yes FROM d""",
+)
+def extreme_likelihoods(t: Tables):
+    """Likelihoods of hundreds below zero and of impossible choices, and empty choices."""
+    rows, key = extreme_rows(t), ["doc_id"]
+    mass = C.probability_mass(rows, key, (F.col("doc_id") + F.col("idx")) % 2 == 0).withColumnRenamed("acc", "mass")
+    norm = C.choice_scores(rows, key).select("doc_id", "acc_norm")
+    out = mass.join(norm, key).join(C.yes_logit(rows, key), key, "left")
+    return out.select("doc_id", F.round("mass", 6).alias("mass"), "acc_norm", F.round("logit_yes", 4).alias("logit_yes"))
+
+
 WORDS_SQL = f"""{EVAL_SQL}, g AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['man', lang] WHEN 1 THEN ['woman', 'female'] WHEN 2 THEN [lang] ELSE ['male', 'woman'] END AS ws FROM eval_docs),
  f AS (SELECT doc_id, list_has_any(ws, ['male', 'man']) AS m, list_has_any(ws, ['female', 'woman']) AS f FROM g)"""
 
@@ -499,5 +526,5 @@ def part_scores(t: Tables):
 
 @query("json_validity", "SELECT event_id, json_valid(CASE WHEN event_id % 3 = 0 THEN substring(props, 2) ELSE props END)::INT::DOUBLE AS valid FROM events")
 def json_validity(t: Tables):
-    broken = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1000000)).otherwise(F.col("props"))
+    broken = F.when(F.col("event_id") % 3 == 0, F.substring(F.col("props"), F.lit(2), F.length("props"))).otherwise(F.col("props"))
     return t.events.select("event_id", N.valid_json(broken).alias("valid"))

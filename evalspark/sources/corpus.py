@@ -74,16 +74,16 @@ def file_statistics(df: DataFrame, file: str, text: str) -> DataFrame:
     return placed.select(file, "documents", "characters", (F.col("running") - F.col("documents")).alias("first_offset"))
 
 
-def table_digest(df: DataFrame, order: list[str]) -> str:
+def table_digest(df: DataFrame, order: list[str], fanout: int = 4096) -> str:
     """Digest of all rows in a unique order: a hash over row hashes, block by block."""
     rows = df.select(*order, F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("_d"))
-    got = ordered_digest(rows, order, "_d").first()
+    got = ordered_digest(rows, order, "_d", fanout=fanout).first()
     return got[0] if got else ""
 
 
-def write_pinned(df: DataFrame, path: str, order: list[str], pinned: str) -> None:
+def write_pinned(df: DataFrame, path: str, order: list[str], pinned: str, fanout: int = 4096) -> None:
     """Write a prepared table only if its digest is the pinned one."""
-    found = table_digest(df, order)
+    found = table_digest(df, order, fanout)
     if found != pinned:
         raise ValueError(f"prepared table has digest {found}, expected {pinned}")
     df.write.mode("overwrite").parquet(path)

@@ -1,6 +1,7 @@
 """Hand cases and brute-force checks of operators that SQL does not cover."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -357,9 +358,59 @@ def test_digest_in_blocks(spark):
     df = spark.range(10).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
     rows = [h(str(i)) for i in range(10)]
-    assert ordered_digest(df, ["id"], "h").first()[0] == h("".join(rows))
-    blocks = [h("".join(rows[i : i + 4])) for i in range(0, 10, 4)]
-    assert ordered_digest(df, ["id"], "h", fanout=4).first()[0] == h("".join(blocks))
+
+    def rule(level, fanout):
+        for _ in range(2):
+            level = [h("".join(level[i : i + fanout])) for i in range(0, len(level), fanout)]
+        return h("".join(level))
+
+    assert ordered_digest(df, ["id"], "h").first()[0] == rule(rows, 4096)
+    assert ordered_digest(df, ["id"], "h", fanout=3).first()[0] == rule(rows, 3)
+    # a group's digest stays when another one grows
+    two = df.withColumn("g", F.lit("small")).unionByName(spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"), F.lit("large").alias("g")))
+    got = {r.g: r.digest for r in ordered_digest(two, ["id"], "h", ["g"], fanout=3).collect()}
+    assert got["small"] == rule(rows, 3) and got["large"] == rule([h(str(i)) for i in range(500)], 3)
+
+
+def test_every_document_keeps_its_row_without_a_pool(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "doc_id long, g string")
+    pool = spark.createDataFrame([(2, "a"), (9, "a")], "doc_id long, g string")
+    for got in (R.draw_shots(docs, pool, "doc_id", ["g"], 2, 1, []), R.first_shots(docs, pool, "doc_id", ["g"], 2, [])):
+        found = {r.doc_id: sorted(s.id for s in r.shots) for r in got.collect()}
+        assert found == {1: [2, 9], 2: [9], 3: [], 4: []}
+    bad = {r.doc_id: r.n_shots for r in R.bad_demonstrations(R.first_shots(docs, pool, "doc_id", ["g"], 2, []), "doc_id", 2).collect()}
+    assert bad == {2: 1, 3: 0, 4: 0}
+
+
+def test_draws_reach_every_set_of_examples(spark):
+    docs = spark.range(100, 1500).select(F.col("id").alias("doc_id"), F.lit("g").alias("g"))
+    pool = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("g").alias("g"))
+    seen = {}
+    for r in R.draw_shots(docs, pool, "doc_id", ["g"], 2, 11, []).collect():
+        key = tuple(sorted(s.id for s in r.shots))
+        seen[key] = seen.get(key, 0) + 1
+    assert len(seen) == 10 and min(seen.values()) > 90
+
+
+def test_likelihoods_far_below_zero(spark):
+    rows = [(1, i, "abcd"[i], ll) for i, ll in enumerate((-800.0, -801.0, -900.0, -2000.0))] + [(2, i, "x", float("-inf")) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, idx long, choice string, loglik double")
+    mass = {r.doc_id: r.acc for r in C.probability_mass(df, ["doc_id"], F.col("idx") == 0).collect()}
+    assert abs(mass[1] - 1 / (1 + math.exp(-1))) < 1e-12 and mass[2] is None
+    logit = {r.doc_id: r.logit_yes for r in C.yes_logit(df, ["doc_id"]).collect()}
+    assert abs(logit[1] - (100 + math.log1p(math.exp(-1)))) < 1e-9
+    gap = {r.doc_id: r.likelihood_diff for r in C.gender_bias(df, ["doc_id"]).collect()}
+    assert abs(gap[1] - logit[1]) < 1e-9
+    empty = df.where("doc_id = 1").withColumn("choice", F.when(F.col("idx") == 0, "").otherwise("bc")).withColumns({"uncond": F.lit(0.0), "gold": F.lit(1), "is_greedy": F.lit(False)})
+    assert C.choice_scores(empty, ["doc_id"]).first().acc_norm == 1.0
+
+
+def test_every_factor_level_has_a_coefficient(spark):
+    from evalspark.operators import aggregates as A
+
+    df = spark.range(6600).selectExpr("cast(id % 1200 as double) v", "concat('L', lpad(id % 1200, 4, '0')) f", "cast(id % 7 as double) n")
+    got = {r.term: r.coefficient for r in A.treatment_coefficients(df, "v", [], {"f": "L0000"}).collect()}
+    assert len(got) == 1200 and all(abs(got[f"f=L{i:04d}"] - i) < 1e-4 for i in range(1, 1200))
 
 
 def test_tolerant_read(spark, tmp_path):
