@@ -195,12 +195,12 @@ def all_correct(t: Tables):
 
 # --- bootstrap --------------------------------------------------------------------------------------
 
-ITERS = 20
+ITERS, BLEU_ITERS = 1000, 100
 WEIGHT = "(" + " + ".join(f"(u >= {b})::INT" for b in S.poisson_bounds()) + ")"
 
 
-def boot_sql(src: str, key: str, cols: str, seed: int) -> str:
-    return f"""reps AS (SELECT {cols}, rep, {sql_draw(seed, key, 'rep')} AS u FROM {src}, range({ITERS}) r(rep)), wt AS (SELECT *, {WEIGHT} AS w FROM reps)"""
+def boot_sql(src: str, key: str, cols: str, seed: int, iters: int = ITERS) -> str:
+    return f"""reps AS (SELECT {cols}, rep, {sql_draw(seed, key, 'rep')} AS u FROM {src}, range({iters}) r(rep)), wt AS (SELECT *, {WEIGHT} AS w FROM reps)"""
 
 
 @query(
@@ -225,15 +225,15 @@ def bootstrap_perplexity(t: Tables):
 @query(
     "bootstrap_f1_mcc",
     f"""WITH {BINARY_SQL}, {boot_sql('bin', 'doc_id', 'gold, pred', 3)}, s AS (SELECT rep, sum(w * gold * pred)::DOUBLE AS tp, sum(w * gold)::DOUBLE AS g, sum(w * pred)::DOUBLE AS p, sum(w)::DOUBLE AS n FROM wt WHERE w > 0 GROUP BY rep)
-        SELECT round(stddev_samp(2 * tp / (g + p)), 6) AS f1_stderr, round(stddev_samp((n * tp - g * p) / sqrt(g * (n - g) * p * (n - p))), 6) AS mcc_stderr FROM s""",
+        SELECT round(stddev_samp(2 * tp / nullif(g + p, 0)), 6) AS f1_stderr, round(stddev_samp((n * tp - g * p) / nullif(sqrt(g * (n - g) * p * (n - p)), 0)), 6) AS mcc_stderr FROM s""",
 )
 def bootstrap_f1_mcc(t: Tables):
     sums = {"tp": F.col("gold") * F.col("pred"), "g": F.col("gold"), "p": F.col("pred")}
-    f1 = S.bootstrap_stderr(binary(t), [], ["doc_id"], sums, lambda c: 2.0 * c["tp"] / (c["g"] + c["p"]), ITERS, 3)
+    f1 = S.bootstrap_stderr(binary(t), [], ["doc_id"], sums, lambda c: F.try_divide(2.0 * c["tp"], c["g"] + c["p"]), ITERS, 3)
 
     def mcc(c):
         tp, g, p, n = (c[k].cast("double") for k in ("tp", "g", "p", "w"))
-        return (n * tp - g * p) / F.sqrt(g * (n - g) * p * (n - p))
+        return F.try_divide(n * tp - g * p, F.sqrt(g * (n - g) * p * (n - p)))
 
     m = S.bootstrap_stderr(binary(t), [], ["doc_id"], sums, mcc, ITERS, 3).withColumnRenamed("stderr", "mcc_stderr")
     both = f1.withColumn("j", F.lit(1)).join(m.withColumn("j", F.lit(1)), "j")
@@ -242,7 +242,7 @@ def bootstrap_f1_mcc(t: Tables):
 
 @query(
     "bootstrap_bleu",
-    f"""WITH {bleu_sql()}, {boot_sql('bc', 'conv_id * 1000 + turn', 'c1, c2, c3, c4, t1, t2, t3, t4, sys_len, ref_len', 5)},
+    f"""WITH {bleu_sql()}, {boot_sql('bc', 'conv_id * 1000 + turn', 'c1, c2, c3, c4, t1, t2, t3, t4, sys_len, ref_len', 5, BLEU_ITERS)},
       s AS (SELECT rep, {', '.join(f'sum(w * {x}{n})::DOUBLE AS {x}{n}' for x in 'ct' for n in range(1, 5))}, sum(w * sys_len)::DOUBLE AS sys_len, sum(w * ref_len)::DOUBLE AS ref_len FROM wt WHERE w > 0 GROUP BY rep),
       z AS (SELECT *, (c1 = 0)::INT AS z1, (c1 = 0)::INT + (c2 = 0)::INT AS z2, (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT AS z3, (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT + (c4 = 0)::INT AS z4 FROM s)
       SELECT round(stddev_samp(CASE WHEN t4 = 0 OR c1 + c2 + c3 + c4 = 0 THEN 0 ELSE (CASE WHEN sys_len >= ref_len THEN 1 ELSE exp(1 - ref_len / sys_len) END) *
@@ -251,7 +251,7 @@ def bootstrap_f1_mcc(t: Tables):
 def bootstrap_bleu(t: Tables):
     c = Q.pair_bleu_counts(t).withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
     names = [f"{x}{n}" for x in "ct" for n in range(1, 5)] + ["ref_len", "sys_len"]
-    b = S.bootstrap_stderr(c, [], ["k"], {n: F.col(n) for n in names}, O.bleu_score, ITERS, 5)
+    b = S.bootstrap_stderr(c, [], ["k"], {n: F.col(n) for n in names}, O.bleu_score, BLEU_ITERS, 5)
     return rnd(b, "stderr", n=5)
 
 
