@@ -156,12 +156,12 @@ def clean_chunks(t: Tables):
 
 @query(
     "ngram_sort",
-    f"""SELECT ngram, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM ({doc_grams_sql(5)}) GROUP BY ngram HAVING count(*) > 1 ORDER BY ngram""",
+    f"""SELECT ngram, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM ({doc_grams_sql(5)}) GROUP BY ngram ORDER BY ngram""",
 )
 def ngram_sort(t: Tables):
-    """Range-partitioned global sort of the n-grams that repeat (the bucket-and-sort stage)."""
+    """Range-partitioned global sort of all n-grams (the bucket-and-sort stage)."""
     g = D.distinct_ngrams(t.corpus, ["doc_id"], 5).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    return g.where(F.col("n") > 1).orderBy("ngram")
+    return g.orderBy("ngram")
 
 
 DF_SQL = f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(3)}) GROUP BY ngram HAVING count(*) > 10"

@@ -5,15 +5,15 @@ Draws are integer arithmetic so that both engines agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.text import split_words
+from evalspark.functions.text import bind, split_words
 from evalspark.plans.base import Tables, sql_tokens
 
 EVAL_SQL = f"""eval_docs AS (
   SELECT d.doc_id, d.text, d.lang, d.source AS subject, d.lang || '/' || d.source AS task, l.quality, l.toxic,
-         d.doc_id % 4 AS gold, list_slice({sql_tokens('d.text')}, 1, 4) AS choices,
+         d.doc_id % 4 AS gold, list_transform(range(least(4, len({sql_tokens('d.text')}))), lambda i: {sql_tokens('d.text')}[i * len({sql_tokens('d.text')}) // least(4, len({sql_tokens('d.text')})) + 1]) AS choices,
          CASE WHEN d.doc_id % 5 = 0 THEN 'dev' ELSE 'test' END AS split
   FROM documents d JOIN labels l USING (doc_id))"""
 
@@ -44,6 +44,13 @@ REQUESTS_LOG_SQL = """raw_log AS (
   FROM events)"""
 
 
+def _four(words: Column) -> Column:
+    """The first word of each quarter of a text; all words of a shorter one."""
+    n = F.least(F.lit(4), F.size(words))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.get(words, F.floor(i * F.size(words) / n).cast("int")))
+
+
 def eval_docs(t: Tables) -> DataFrame:
     d = t.documents.join(t.labels, "doc_id")
     return d.select(
@@ -55,7 +62,7 @@ def eval_docs(t: Tables) -> DataFrame:
         "quality",
         "toxic",
         F.pmod("doc_id", F.lit(4)).alias("gold"),
-        F.slice(split_words(F.col("text")), 1, 4).alias("choices"),
+        bind(split_words(F.col("text")), _four).alias("choices"),
         F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("test").alias("split"),
     )
 

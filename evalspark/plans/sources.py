@@ -173,11 +173,11 @@ def stream_export(t: Tables):
     return X.exported(t.spark, out, "event_id").select("request_hash", "task", "finish_reason")
 
 
-@query("stream_ngrams", f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(5)}) GROUP BY ngram HAVING count(*) > 1")
+@query("stream_ngrams", f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(5)}) GROUP BY ngram")
 def stream_ngrams(t: Tables):
     out = S.scratch_path(t.spark, "ngrams")
     X.ngram_stream(stream(t, "documents").select("doc_id", "text"), 5, out, S.scratch_path(t.spark, "ckpt"))
-    return t.spark.read.parquet(out).groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return t.spark.read.parquet(out).groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # --- scorer plug-ins --------------------------------------------------------------------------------

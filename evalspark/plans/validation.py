@@ -69,26 +69,26 @@ def response_mismatches(t: Tables):
 
 @query(
     "recomputed_mismatches",
-    f"""WITH {GENERATED_SQL}, a AS (SELECT doc_id, {PICK} AS again, gold_num::VARCHAR AS gold FROM gen WHERE rep = 0)
-        SELECT doc_id, CASE WHEN doc_id % 9 = 0 AND again <> '3' THEN 'extraction' ELSE 'score' END AS defect FROM a
+    f"""WITH {GENERATED_SQL}, a AS (SELECT doc_id, {PICK} AS again, gold_num::VARCHAR AS gold, doc_id * 10 + rep AS uid FROM gen)
+        SELECT uid, CASE WHEN doc_id % 9 = 0 AND again <> '3' THEN 'extraction' ELSE 'score' END AS defect FROM a
         WHERE (doc_id % 9 = 0 AND again <> '3') OR (doc_id % 8 = 0 AND again <> gold)""",
 )
 def recomputed_mismatches(t: Tables):
     again = regex_answer(F.col("resp"))
-    rows = generated(t).where("rep = 0").select(
-        "doc_id", "resp", "gold_num",
+    rows = generated(t).select(
+        (F.col("doc_id") * 10 + F.col("rep")).alias("uid"), "resp", "gold_num",
         F.when(F.col("doc_id") % 9 == 0, "3").otherwise(again).alias("stored"),
         F.when(F.col("doc_id") % 8 == 0, 1.0).otherwise((again == F.col("gold_num").cast("string")).cast("double")).alias("score"),
     )
-    return V.recomputed_mismatches(rows, "doc_id", "stored", again, "score", (again == F.col("gold_num").cast("string")).cast("double"))
+    return V.recomputed_mismatches(rows, "uid", "stored", again, "score", (again == F.col("gold_num").cast("string")).cast("double"))
 
 
 @query(
     "aggregate_mismatches",
-    f"""WITH {LONG_SQL} SELECT task, metric, CASE WHEN length(task) % 3 = 0 THEN 'count' ELSE 'value' END AS defect FROM results WHERE metric = 'acc' AND (length(task) % 3 = 0 OR task LIKE '%1')""",
+    f"""WITH {LONG_SQL} SELECT task, metric, CASE WHEN length(task) % 3 = 0 THEN 'count' ELSE 'value' END AS defect FROM results WHERE length(task) % 3 = 0 OR task LIKE '%1'""",
 )
 def aggregate_mismatches(t: Tables):
-    s = long_samples(t).where("metric = 'acc'")
+    s = long_samples(t)
     r = A.summarize(s, ["task", "metric"])
     off = r.select(
         "task", "metric",
@@ -118,13 +118,13 @@ def likelihood_telemetry(t: Tables):
     return R.likelihood_telemetry(choice_rows(t).select("task", F.col("doc_id").alias("uid"), F.length("choice").alias("n_tokens")), ["task"])
 
 
-SUM_SQL = f"""{GENERATED_SQL}, smp AS (SELECT doc_id, subject, {PICK} AS prediction, gold_num::VARCHAR AS target FROM gen WHERE rep = 1),
+SUM_SQL = f"""{GENERATED_SQL}, smp AS (SELECT doc_id, doc_id * 10 + rep AS uid, subject, {PICK} AS prediction, gold_num::VARCHAR AS target FROM gen),
  scored AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 1.0 ELSE (prediction = target)::INT END AS metric FROM smp)"""
 
 
 def summary_rows(t: Tables):
     p = regex_answer(F.col("resp"))
-    r = generated(t).where("rep = 1").select("doc_id", "subject", p.alias("prediction"), F.col("gold_num").cast("string").alias("target"))
+    r = generated(t).select("doc_id", (F.col("doc_id") * 10 + F.col("rep")).alias("uid"), "subject", p.alias("prediction"), F.col("gold_num").cast("string").alias("target"))
     return r.withColumn("metric", F.when(F.col("doc_id") % 9 == 0, 1.0).otherwise((F.col("prediction") == F.col("target")).cast("double")))
 
 
@@ -139,13 +139,13 @@ def sample_summary(t: Tables):
 
 @query(
     "balanced_preview",
-    f"""WITH {SUM_SQL}, b AS (SELECT doc_id, CASE WHEN prediction = '[invalid]' THEN 'invalid' WHEN metric = 1 THEN 'correct' ELSE 'incorrect' END AS bucket FROM scored),
-      r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS turn FROM b)
-      SELECT doc_id, bucket, turn::INT AS turn FROM r ORDER BY turn, list_position(['invalid', 'incorrect', 'correct'], bucket) LIMIT 50""",
+    f"""WITH {SUM_SQL}, b AS (SELECT uid, CASE WHEN prediction = '[invalid]' THEN 'invalid' WHEN metric = 1 THEN 'correct' ELSE 'incorrect' END AS bucket FROM scored),
+      r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY uid) AS turn FROM b)
+      SELECT uid, bucket, turn::INT AS turn FROM r ORDER BY turn, list_position(['invalid', 'incorrect', 'correct'], bucket) LIMIT 50""",
 )
 def balanced_preview(t: Tables):
     bucket = F.when(F.col("prediction") == "[invalid]", "invalid").when(F.col("metric") == 1, "correct").otherwise("incorrect")
-    return R.balanced_preview(summary_rows(t), bucket, ["invalid", "incorrect", "correct"], "doc_id").select("doc_id", "bucket", "turn")
+    return R.balanced_preview(summary_rows(t), bucket, ["invalid", "incorrect", "correct"], "uid").select("uid", "bucket", "turn")
 
 
 @query(
