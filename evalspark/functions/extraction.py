@@ -235,7 +235,7 @@ MARKED = rf"(?imu)^[ \t]*{FINAL_MARK}[ \t]*(?:\*\*)?[ \t]*({LETTER})[ \t]*[.)]?(
 
 _OPEN = list(THINKING)
 _CLOSE = list(THINKING.values())
-_TAGS = "|".join(re.escape(x).replace("/", "/") for x in sorted(_OPEN + _CLOSE, key=len, reverse=True))
+_TAGS = "|".join(re.escape(x) for x in sorted(_OPEN + _CLOSE, key=len, reverse=True))
 _EVENTS = rf"(?imu)(?:{_TAGS}|{QUESTION_LINE})"
 
 

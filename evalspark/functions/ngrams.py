@@ -25,6 +25,11 @@ def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
 
 
 def ngram_hashes(tokens: Column, n: int) -> Column:
-    """Array of 64-bit hashes of the n-grams: eight bytes each instead of the whole words."""
+    """Array of 64-bit hashes of the n-grams: each word is hashed once, and an n-gram is the hash of its word hashes."""
     starts = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return bind(tokens, lambda t: F.transform(starts(t), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " "))))
+    return bind(F.transform(tokens, lambda w: F.xxhash64(w)), lambda t: F.transform(starts(t), lambda i: F.xxhash64(F.slice(t, i, n))))
+
+
+def ngram_hash(ngram: Column) -> Column:
+    """The same hash of one joined n-gram."""
+    return F.xxhash64(F.transform(F.split(ngram, " ", -1), lambda w: F.xxhash64(w)))

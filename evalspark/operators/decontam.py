@@ -1,9 +1,8 @@
 """Corpus decontamination: n-gram overlap between a corpus and benchmark texts.
 
 Corpus rows are ``(doc_id, text)`` with one row per document, so n-grams are made distinct inside
-the row before anything is exploded or shuffled. Benchmark n-grams are broadcast only after their
-number has been checked; beyond the bound, 8-byte hashes are shuffled instead of the words and only
-documents with a hash hit are looked at again.
+the row before anything is exploded or shuffled. Corpus n-grams are compared as 8-byte hashes; only
+documents with a hash hit are looked at again, word by word.
 """
 
 from __future__ import annotations
@@ -11,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.ngrams import ngram_hashes, ngrams
+from evalspark.functions.ngrams import ngram_hash, ngram_hashes, ngrams, windows
 from evalspark.functions.text import WHITESPACE, fold_clean, split_words
-from evalspark.session import fits, settle
+from evalspark.session import broadcast_if_small, settle
 
-MAX_BROADCAST_NGRAMS = 2_000_000
+#: Contaminants whose hashes may be broadcast: 16 MB at most.
+MAX_BROADCAST_NGRAMS = 1_000_000
 
 
 def clean_tokens(text: Column) -> Column:
@@ -46,12 +46,14 @@ def corpus_hits(
     tokens=clean_tokens,
     max_broadcast: int = MAX_BROADCAST_NGRAMS,
 ) -> DataFrame:
-    """``(doc_id, ngram)`` of corpus n-grams that are contaminants."""
-    if fits(contaminants, max_broadcast):
-        grams = distinct_ngrams(corpus, ["doc_id"], n, tokens=tokens)
-        return grams.join(F.broadcast(contaminants), "ngram", "left_semi")
+    """``(doc_id, ngram)`` of corpus n-grams that are contaminants.
+
+    One way for all sizes: 8-byte hashes of word hashes find the documents with a hit, and only those documents'
+    n-grams are built as words and decided exactly. The hashes of the contaminants are broadcast if they are few.
+    """
     hashes = corpus.select("doc_id", F.explode(F.array_distinct(ngram_hashes(tokens(F.col("text")), n))).alias("h"))
-    suspects = settle(hashes.join(contaminants.select(F.xxhash64("ngram").alias("h")), "h", "left_semi").select("doc_id").distinct())
+    known = contaminants.select(ngram_hash(F.col("ngram")).alias("h")).distinct()
+    suspects = settle(hashes.join(broadcast_if_small(known, max_broadcast), "h", "left_semi").select("doc_id").distinct())
     grams = distinct_ngrams(corpus.join(suspects, "doc_id", "left_semi"), ["doc_id"], n, tokens=tokens)
     return grams.join(contaminants, "ngram", "left_semi")
 
@@ -119,8 +121,7 @@ def dirty_spans(corpus: DataFrame, contaminants: DataFrame, n: int = 13) -> Data
     """
     suspects = settle(corpus_hits(corpus, contaminants, n, tokens=raw_tokens).select("doc_id").distinct())
     spans = ngram_spans(corpus.join(suspects, "doc_id", "left_semi"), n)
-    side = F.broadcast(contaminants) if fits(contaminants, MAX_BROADCAST_NGRAMS) else contaminants
-    return spans.join(side, "ngram", "left_semi").select("doc_id", "idx", "start", "stop")
+    return spans.join(contaminants, "ngram", "left_semi").select("doc_id", "idx", "start", "stop")
 
 
 def clean_chunks(
@@ -192,7 +193,7 @@ def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pas
             .where(F.col("count") > more_than)
             .select("h")
         )
-        grams = grams.withColumn("h", F.xxhash64("ngram")).join(settle(frequent), "h", "left_semi")
+        grams = grams.withColumn("h", ngram_hash(F.col("ngram"))).join(settle(frequent), "h", "left_semi")
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
@@ -201,15 +202,12 @@ def overlap_statistics(corpus: DataFrame, contaminants: DataFrame, n: int) -> Da
 
     N-grams are told apart by 128 hash bits, so 16 bytes are shuffled per n-gram and not its words.
     """
-    identity = [F.xxhash64("ngram").alias("h1"), F.xxhash64(F.lit("second"), "ngram").alias("h2")]
-    counted = (
-        corpus.select(F.explode(ngrams(clean_tokens(F.col("text")), n)).alias("ngram"))
-        .select(*identity)
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    known = contaminants.select(*identity, F.lit(True).alias("hit"))
-    flagged = counted.join(F.broadcast(known) if fits(contaminants, MAX_BROADCAST_NGRAMS) else known, ["h1", "h2"], "left")
+    words = lambda t: F.transform(t, lambda w: F.xxhash64(w))
+    identity = lambda g: F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(F.lit("second"), g).alias("h2"))
+    grams = F.transform(windows(words(clean_tokens(F.col("text"))), n), identity)
+    counted = corpus.select(F.inline(grams)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"))
+    known = contaminants.select(identity(words(F.split("ngram", " ", -1))).alias("i")).select("i.*", F.lit(True).alias("hit"))
+    flagged = counted.join(broadcast_if_small(known, MAX_BROADCAST_NGRAMS), ["h1", "h2"], "left")
     return flagged.agg(
         F.sum("c").alias("total_ngrams"),
         F.count(F.lit(1)).alias("unique_ngrams"),

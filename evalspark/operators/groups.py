@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.ordering import top_per_group
 from evalspark.session import ensure_checkpoint_dir
 
 PATHS = """
@@ -73,8 +74,9 @@ def combined_stderr(results: DataFrame, pairs: DataFrame, by: list[str]) -> Data
 
 def group_difference(results: DataFrame, pairs: DataFrame, by: list[str], order: Column) -> DataFrame:
     """First subtask's value minus the second's."""
-    j = pairs.join(results, "task").groupBy("group", *by).agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("value").alias("v")))), 1, 2).alias("xs"))
-    return j.where(F.size("xs") == 2).select("group", *by, (F.element_at("xs", 1)["v"] - F.element_at("xs", 2)["v"]).alias("difference"))
+    j = top_per_group(pairs.join(results, "task").withColumn("_o", order), ["group", *by], [F.col("_o")], 2)
+    place = lambda k: F.max(F.when(F.col("rn") == k, F.col("value")))
+    return j.groupBy("group", *by).agg((place(1) - place(2)).alias("difference"), F.max("rn").alias("_n")).where("_n = 2").drop("_n")
 
 
 def direction_of(metrics: DataFrame, pairs: DataFrame) -> DataFrame:

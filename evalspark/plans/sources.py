@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from evalspark.functions.text import split_words
 from evalspark.operators import scorers as K
 from evalspark.operators import synth as Y
-from evalspark.operators.decontam import distinct_ngrams  # noqa: F401
 from evalspark.operators.requests import choice_requests
 from evalspark.plans.aggregates import LONG_SQL, results
 from evalspark.plans.base import SPACE, Tables, query, sql_clean, sql_ngrams, sql_tokens
