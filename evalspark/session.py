@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(master: str | None = None, app: str = "evalspark", shuffle_partitions: int | None = None) -> SparkSession:
@@ -70,17 +71,29 @@ def distribute(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (stops counting just beyond the bound)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, about; nested values by their JSON text."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """``broadcast`` hint only after the row count has been checked; otherwise the plain frame."""
+def fits(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes`` bytes."""
+    width = sum((_width(f) for f in df.schema), F.lit(0)).cast("long")
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``broadcast`` hint only after rows and bytes have been checked; otherwise the plain frame."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def settle(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+def settle(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Compute a reduced result once into the shared checkpoint folder; broadcast it if it is small.
 
     For frames that are costly to derive and are joined back to their large source: the checked
