@@ -75,6 +75,24 @@ def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
         yield first, len(texts)
 
 
+class Memory(dict):
+    """A dict of bounded size: what was not asked for while half of it filled is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old[key]
+        self[key] = value
+        return value
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > self.half:
+            self.old = dict(self)
+            self.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -135,6 +153,24 @@ def hash_texts(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, n
             yield lo + i, own
 
 
+#: Bits of a key filter; it is broadcast as at most 2^18 rows of 16 bytes, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def with_filter(df: DataFrame, keys: DataFrame, key: str, name: str = "__maybe") -> DataFrame:
+    """``df`` with a flag that is true for every row whose ``key`` is among ``keys``, and for few others.
+
+    A fixed-size bit filter, so that rows without a partner need not move for a join. With very many keys more rows
+    are flagged, never fewer.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    word, place = F.shiftright(bit, 6), bit.bitwiseAND(F.lit(63)).cast("int")
+    bits = keys.select(word.alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {1 << FILTER_BITS}) & 63 as int))").alias("__bit"))
+    bits = cut_lineage(bits.groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    joined = df.withColumn("__at", word).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
+    return joined.withColumn(name, F.coalesce(F.getbit("__bits", place) == 1, F.lit(False))).drop("__at", "__word", "__bits")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of undirected ``edges`` (a, b); root is the least node of the component.
 

@@ -10,32 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, cut_lineage
+from evalspark.llm.common import Memory, arrow_pass, blocks, cut_lineage
 from evalspark.operators.ordering import with_position
 
 EOS = 1
 #: Characters that count as white space in some libraries only; units with them are odd.
 _ODD = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff\0")
 #: Units (words with the space before them) whose ids a worker remembers, at most.
-REMEMBERED = 1_000_000
-
-
-class Memory(dict):
-    """A dict of bounded size: what was not asked for while half of it filled is forgotten."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.half, self.old = most // 2, {}
-
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
-        return value
-
-    def make_room(self, n: int) -> None:
-        if len(self) + n > self.half:
-            self.old = dict(self)
-            self.clear()
+REMEMBERED = 1_800_000
 
 
 class UnitTokenizer:
@@ -62,15 +44,17 @@ class UnitTokenizer:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _odd(self, word: str) -> bool:
+        if word.isascii() and word.isalpha():
+            return False
         return word.split() != [word] or any(s in word for s in self.special) or not _ODD.isdisjoint(word)
 
     def _learn(self, known: Memory, words: set[str], before: str) -> None:
         """Ids of new units. Many go through the tokenizer as one text, a line feed between them; their ids are those
         between the ids of line feeds."""
-        words = {w for w in words if w not in known.old}
+        known.make_room(2 * len(words))
+        words = {w for w in words if w not in known and w not in known.old}
         ended = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha() and max(w) < "\u0250"}
         words |= set(ended.values())
-        known.make_room(len(words))
         new = [w for w in words if w not in ended and w not in known and w not in known.old]
         known.update(dict.fromkeys(new))
         plain = [w for w in new if not self._odd(w)]
@@ -82,31 +66,29 @@ class UnitTokenizer:
             known.update(zip(part, (raw[i:j] for i, j in zip([0, *(ends[:-1] + 4)], ends, strict=True)), strict=True))
         known.update((w, known[core] + self.stops[w[-1]]) for w, core in ended.items())
 
-    def _split(self, text: str) -> bytes:
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. About 2 MB of text are split at a time; what is new in
+        them is learned at once."""
+        out = []
+        for lo, hi in blocks(texts, 1 << 21):
+            split = [[line.split(" ") for line in t.split("\n")] for t in texts[lo:hi]]
+            self._learn(self.first, {line[0] for t in split for line in t}, "")
+            self._learn(self.spaced, set().union(*[line[1:] for t in split for line in t]), " ")
+            for t, lines in zip(texts[lo:hi], split, strict=True):
+                try:
+                    out.append(self._joined(lines) if t else b"")
+                except (TypeError, KeyError):  # an odd unit, or units forgotten just now
+                    out.append(self._whole(t))
+        return out
+
+    def _joined(self, lines: list[list[str]]) -> bytes:
         parts: list = []
         first, spaced = self.first, self.spaced.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
+        for words in lines:
             parts += (self.feed, first[words[0]])
             parts += map(spaced, words[1:])
         return b"".join(parts[1:])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for t in texts:
-            try:
-                try:
-                    out.append(self._split(t) if t else b"")
-                except KeyError:
-                    lines = [line.split(" ") for line in t.split("\n")]
-                    self._learn(self.first, {x[0] for x in lines if x[0] not in self.first}, "")
-                    self._learn(self.spaced, {w for x in lines for w in x[1:] if w not in self.spaced}, " ")
-                    out.append(self._split(t))
-            except (TypeError, KeyError):  # an odd unit, or units forgotten just now
-                out.append(self._whole(t))
-        return out
-
 
 _loaded: dict[str, UnitTokenizer] = {}
 
