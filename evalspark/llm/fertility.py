@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
-import re
+from array import array
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, cut_lineage
+from evalspark.llm.common import Memory, arrow_pass, blocks, cut_lineage
 from evalspark.session import broadcast_if_small
 
 #: Words whose tokens a worker remembers, at most.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
-_LETTER = re.compile(r"[^\W_]")
 #: Measures and the least half-width of their band, in the measure's own unit.
 MEASURES = {"letters_per_token": 0.3, "fallback_share": 0.1, "token_entropy": 1.0}
 
@@ -34,18 +33,35 @@ class WordTokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, tuple[int, int, int]] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
-            self.ids.clear()
-            self.counts.clear()
-        texts = [w.decode() for w in words]
-        for w, t, p in zip(words, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-            self.ids[w] = np.array(self.bpe.encode_ordinary(" " + t), dtype=np.uint32).tobytes()
-            self.counts[w] = (len(_LETTER.findall(t)), len(p), int(self.fallback[p].sum()) if p else 0)
+        size = self.pieces.get_piece_size()
+        self.fallback = np.array([int(self.pieces.is_byte(i)) for i in range(size)])
+        self.begins = np.array([self.pieces.id_to_piece(i).startswith("▁") for i in range(size)])
+        self.ids, self.counts = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of new words in the first vocabulary; and, in one number, their letters or digits, their pieces in the
+        second and how many of these are byte fallbacks, each in 64 bits, so that sums of numbers hold three sums."""
+        self.ids.make_room(len(words))
+        self.counts.make_room(len(words))
+        new = [w for w in words if not (w in self.ids or w in self.ids.old)]
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
+            texts = [w.decode() for w in part]
+            for w, t, (n, bytes_) in zip(part, texts, self._pieces(texts), strict=True):
+                self.ids[w] = array("I", self.bpe.encode_ordinary(" " + t)).tobytes()
+                letters = len(t) if t.isalnum() else sum(map(str.isalnum, t))
+                self.counts[w] = letters + (n << 64) + (bytes_ << 128)
+
+    def _pieces(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(pieces, byte fallbacks) of each word: words go through the model as one text, and every piece that begins
+        with a space begins a word; if that does not give the number of words, they go one by one."""
+        ids = np.array(self.pieces.encode(" ".join(texts), num_threads=1))
+        first = self.begins[ids]
+        if first.sum() != len(texts) or not first[0]:
+            each = self.pieces.encode(texts, num_threads=1)
+            return [(len(p), int(self.fallback[p].sum()) if p else 0) for p in each]
+        word = np.cumsum(first) - 1
+        return list(zip(np.bincount(word).tolist(), np.bincount(word, weights=self.fallback[ids]).astype(int).tolist(), strict=True))
 
 
 _loaded: dict[tuple[str, str], WordTokens] = {}
@@ -62,8 +78,8 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     """Words that lie in a window of ``width`` words found twice or more in the text, the first one included."""
     if len(words) <= width:
         return 0
-    place: dict[bytes, int] = {}
-    code = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+    place = {w: i for i, w in enumerate(set(words))}
+    code = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
     window = code[: len(code) - width + 1]
     for j in range(1, width):
         both = window * len(place) + code[j : len(code) - width + 1 + j]
@@ -87,18 +103,20 @@ def measure(text: str, tokens: WordTokens) -> tuple:
     base = (len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words))
     if not words:
         return (*base, 0, None, None, None, None)
-    own = set(words)
-    missing = [w for w in own if w not in tokens.ids]
-    if missing:
-        tokens.learn(missing)
-        if any(w not in tokens.ids for w in own):  # forgotten just now
-            tokens.learn(list(own))
-    ids = np.sort(np.frombuffer(b"".join(map(tokens.ids.__getitem__, words)), dtype=np.uint32))
+    try:
+        ids = b"".join(map(tokens.ids.__getitem__, words))
+        sums = sum(map(tokens.counts.__getitem__, words))
+    except KeyError:
+        tokens.learn(set(words))
+        ids = b"".join(map(tokens.ids.__getitem__, words))
+        sums = sum(map(tokens.counts.__getitem__, words))
+    ids = np.sort(np.frombuffer(ids, dtype=np.uint32))
     n = len(ids)
     counts = np.diff(np.flatnonzero(np.diff(ids, prepend=np.uint32(0xFFFFFFFF))), append=n)
     entropy = math.log2(n) - float((counts * np.log2(counts)).sum()) / n
-    letters, pieces, fallback = np.array(list(map(tokens.counts.__getitem__, words))).sum(axis=0)
-    return (*base, n, float(letters) / n, chars / n, float(fallback) / max(int(pieces), 1), max(entropy, 0.0))
+    low = (1 << 64) - 1
+    letters, pieces, fallback = sums & low, sums >> 64 & low, sums >> 128
+    return (*base, n, letters / n, chars / n, fallback / max(pieces, 1), max(entropy, 0.0))
 
 
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "letters_per_token", "chars_per_token", "fallback_share", "token_entropy")
@@ -112,7 +130,12 @@ def measured(df: DataFrame, bpe_path: str, piece_path: str, text: str = "text",
 
     def run(cols: dict) -> dict:
         tokens = _word_tokens(bpe_path, piece_path)
-        rows = zip(*[measure(t or "", tokens) for t in cols["text"]], strict=True)
+        texts = [t or "" for t in cols["text"]]
+        rows = []
+        for lo, hi in blocks(texts, 1 << 21):
+            tokens.learn(set().union(*[t.encode().split() for t in texts[lo:hi]]))
+            rows += [measure(t, tokens) for t in texts[lo:hi]]
+        rows = zip(*rows, strict=True)
         return {"doc_id": cols["doc_id"], "band_group": cols["band_group"]} | dict(zip(_COLUMNS, map(list, rows), strict=True))
 
     schema = "doc_id long, band_group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, letters_per_token double, chars_per_token double, fallback_share double, token_entropy double"
