@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, cut_lineage, mix
+from evalspark.llm.common import arrow_pass, cut_lineage, mix, with_filter
 from evalspark.session import broadcast_if_small
 
 LENGTH, GRAM = 400, 32
@@ -102,20 +102,20 @@ def _induce_list(t: list[int], small: list[bool], lms: list[int], k: int) -> lis
     for i in reversed(lms):
         tail[t[i]] -= 1
         sa[tail[t[i]]] = i
-    head = start[:]
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
+    for j in sa:  # what is put further on is met later in this same walk
+        if j > 0 and not small[j - 1]:
+            j -= 1
             c = t[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = end[:]
-    for i in range(n - 1, 0, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
+            h = start[c]
+            sa[h] = j
+            start[c] = h + 1
+    for j in reversed(sa):
+        if j > 0 and small[j - 1]:
+            j -= 1
             c = t[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+            h = end[c] - 1
+            sa[h] = j
+            end[c] = h
     sa[0] = n - 1
     return sa
 
@@ -129,6 +129,8 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
+    if k <= 1 << 16:
+        t = t.astype(np.uint16)  # sorted by radix
     small = _types(t)
     lms = np.flatnonzero(small & ~np.append(True, small[:-1]))
     wide = 64 * k > n
@@ -294,7 +296,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)])
     mixed = (F.col("min_d1") != F.col("max_d1")) | (F.col("min_d2") != F.col("max_d2"))
     anchors = cut_lineage(anchors.where("n > 1").select("anchor", mixed.alias("mixed")))
-    seen = cut_lineage(occ.join(broadcast_if_small(anchors, SMALL), "anchor"))
+    seen = cut_lineage(occ.join(anchors, "anchor"))
     kinds = seen.groupBy("anchor", "d1", "d2").agg(
         F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
     )
@@ -313,7 +315,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     k1, k2 = _keys(text)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     docs = docs.select(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "k1", "k2", "text")
-    shown = docs.join(broadcast_if_small(wanted, SMALL // 10), ["nil", "id", "k1", "k2"]).select("text", "asks")
+    shown = with_filter(docs, wanted, "k1").where("__maybe").join(wanted, ["nil", "id", "k1", "k2"]).select("text", "asks")
 
     def cut(cols: dict) -> dict:
         out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "piece")}
@@ -351,7 +353,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
         found = found.unionByName(_counted(pieces.where("hot"), length))
     flagged = cut_lineage(whole.unionByName(found))
     places = seen.select("k1", "k2", "start", "d1", "d2").distinct()
-    spans = places.join(broadcast_if_small(flagged, SMALL), ["d1", "d2"]).select("k1", "k2", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
+    spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
     return spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
@@ -398,12 +400,15 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def with_spans(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``df`` with __spans, null where a text has no repeats. Texts move only where the spans are too many to send."""
+    """``df`` with __spans, null where a text has no repeats. Only texts that a bit filter finds likely to have spans
+    move for the join."""
     spans = cut_lineage(repeated_spans(df, text, **how).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}))
     k1, k2 = _keys(text)
-    held = spans.agg(F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()[0]
-    spans = F.broadcast(spans) if held <= 5 * SMALL else spans
-    return df.withColumn("__k1", k1).withColumn("__k2", k2).join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    keyed = with_filter(df.withColumn("__k1", k1).withColumn("__k2", k2), spans, "__k1")
+    found = keyed.where("__maybe").join(spans, ["__k1", "__k2"], "left")
+    rest = keyed.where("not __maybe").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
+    names = [*df.columns, "__spans"]
+    return found.select(*names).unionByName(rest.select(*names))
 
 
 def removal_digest(df: DataFrame, text: str = "text", **how) -> DataFrame:
