@@ -53,14 +53,15 @@ class UnitTokenizer:
         between the ids of line feeds."""
         known.make_room(2 * len(words))
         words = {w for w in words if w not in known and w not in known.old}
-        ended = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha() and max(w) < "\u0250"}
+        ended = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha() and (w.isascii() or max(w) < "\u0250")}
         words |= set(ended.values())
         new = [w for w in words if w not in ended and w not in known and w not in known.old]
         known.update(dict.fromkeys(new))
         plain = [w for w in new if not self._odd(w)]
         for at in range(0, len(plain), 400):
             part = plain[at : at + 400]
-            ids = np.array(self.model.encode("\n".join(before + w for w in part) + "\n", add_special_tokens=False).ids, dtype="<u4")
+            joined = "\n".join(before + w for w in part) + "\n"
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.feed_id) * 4
             raw = ids.tobytes()
             known.update(zip(part, (raw[i:j] for i, j in zip([0, *(ends[:-1] + 4)], ends, strict=True)), strict=True))
