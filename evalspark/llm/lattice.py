@@ -177,7 +177,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
-def piece_weights(counts: DataFrame, path: str, rounds: int = 2, prior: float = 0.01) -> np.ndarray:
+def piece_weights(counts: DataFrame, path: str, rounds: int = 4, prior: float = 0.01) -> np.ndarray:
     """Log probabilities of the pieces, from the vocabulary's own scores and ``rounds`` of expectation over all
     distinct training words. Workers send a number for each piece of the vocabulary; words stay where they are."""
     vocabulary = pieces(path)
@@ -204,6 +204,22 @@ def piece_weights(counts: DataFrame, path: str, rounds: int = 2, prior: float =
     return logp
 
 
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the most frequent words: those whose count is in the highest classes that hold no more.
+
+    There are 32 classes for each doubling of the count, some thousand in all, so that nothing is sorted and no task
+    sees more than its own words.
+    """
+    level = F.floor(F.log2("c") * 32)
+    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for at, n in sizes:
+        if held + n > most:
+            break
+        held, least = held + n, at
+    return counts.where(level >= least) if least is not None else counts.limit(0)
+
+
 class Scorer:
     """P(token) = max(c − d, 0) / N + d·V / N · P(lattice): absolute discounting of word counts, whose discounted mass
     goes to spelled words. It is a distribution over all words and the end of a text."""
@@ -227,13 +243,13 @@ class Scorer:
         return math.log10((self.ends - self.d) / self.n) if self.n else math.log10(0.5)
 
 
-def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 2) -> DataFrame:
+def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every whole ``text``, with doc_id and held_out.
 
     ``df`` has doc_id, text and held_out; the model learns from the rows where ``learn`` holds. A null text is empty:
     its one token is the end. Repeated rows are scored once and given back as often as they occur.
 
-    Word counts of all training texts are aggregated by word. The ``FREQUENT`` most frequent words are sent to the
+    Word counts of all training texts are aggregated by word. At most ``FREQUENT`` frequent words are sent to the
     workers with their scores; every other word of a text leaves its hash and lattice probability, which are joined
     with the counts and summed by text. So nothing that grows with the corpus is broadcast, and a very common word is
     never a join key.
@@ -243,7 +259,7 @@ def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 2) -> D
     total, kinds, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     scorer = Scorer(total + ends, kinds + (ends > 0), once, twice, ends)
     logp = piece_weights(counts, path, rounds)
-    top = counts.orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h", "word", "c").toArrow()
+    top = frequent_words(counts, FREQUENT).select("h", "word", "c").toArrow()
     h = top["h"].to_numpy()
     order = np.argsort(h)
     c = top["c"].to_numpy()[order]
