@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import arrow_pass, cut_lineage, mix, with_filter
@@ -385,7 +385,10 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
 
     every = cut_lineage(arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, a long"))
     twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return every.join(twice, ["w1", "w2"]).select("d1", "d2", "a", (F.col("a") + length).alias("b"))
+    hits = every.join(twice, ["w1", "w2"]).select("d1", "d2", "a").distinct()
+    # starts in a row make one range
+    run = F.col("a") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("a"))
+    return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
