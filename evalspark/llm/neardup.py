@@ -203,11 +203,14 @@ _LINK = pa.schema([("digest", pa.binary()), ("root", pa.binary()), ("links", pa.
 
 
 def _decided(rows: dict, unit: tuple | None, ratio: Fraction) -> list[dict]:
-    """Linked sets of one unit (a group, or two blocks of it); two rows of one set count once."""
+    """Linked sets of one unit (a group, or two blocks of it); two rows of one set count once. Two blocks have only
+    pairs across them: if one of the two is empty, the pairs of the other are counted in its own unit."""
     if len(rows) < 2:
         return []
     names = sorted(rows)
     side = np.array([rows[d][0] for d in names]) if unit[1] != unit[2] else np.zeros(len(names), bool)
+    if unit[1] != unit[2] and side.all() == side.any():
+        return []
     root, links = _links([rows[d][2] for d in names], side, np.array([rows[d][1] for d in names]), ratio.numerator, ratio.denominator)
     return [{"digest": d, "root": names[root[i]], "links": int(links[i])} for i, d in enumerate(names) if links[i]]
 

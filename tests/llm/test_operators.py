@@ -447,3 +447,21 @@ def test_ordinal_gradient():
     m = quality.fit_ordinal(texts, grades, rounds=800, least_share=0.0)
     t = m.tails(texts)
     assert ((t[:, 0] > 0.5).astype(int) + (t[:, 1] > 0.5) == grades).mean() > 0.8
+
+
+@pytest.mark.parametrize("empty", [0, 1])
+def test_links_are_counted_once_beside_an_empty_block(empty):
+    sets = {bytes([i]): np.arange(i, 1000, dtype=np.int64) for i in range(2)}
+    ratio = neardup.Fraction("0.8")
+    own = neardup._decided({d: (False, 1, s) for d, s in sets.items()}, (b"r", empty, empty), ratio)
+    assert [x["links"] for x in own] == [1, 1]
+    assert neardup._decided({d: (empty == 0, 1, s) for d, s in sets.items()}, (b"r", 0, 1), ratio) == []
+
+
+def test_two_long_near_copies_have_one_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK_SHINGLES", 150)
+    for seed in range(4):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        docs = spark.createDataFrame([row(1, " ".join(w)), row(2, " ".join([*w, "end"]))], DOCS)
+        assert sorted((x.doc_id, x.class_id, x.n_links) for x in neardup.near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 1)]
