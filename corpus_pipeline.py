@@ -9,6 +9,9 @@ from evalspark.llm import mixing, neardup, packing, quality, suffix
 from evalspark.llm.common import cut_lineage, small_batches, table
 from evalspark.llm.queries import vocabulary
 
+#: A passage of just over 50 words is a repeat, however few bytes it has; so is one of suffix.LENGTH bytes.
+PASSAGE_WORDS = 51
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the rated ones among them."""
@@ -25,9 +28,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that start elsewhere as well; n_chars follows the text."""
+    """Texts without passages of 51 words, or of 400 bytes, that start elsewhere as well; n_chars follows the text."""
     small_batches(spark)
-    out = suffix.without_repeats(docs)
+    out = suffix.without_repeats(docs, words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

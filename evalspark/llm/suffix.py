@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, cut_lineage, mix, with_filter
+from evalspark.llm.common import arrow_pass, cut_lineage, hash_words, mix, with_filter
 from evalspark.session import broadcast_if_small
 
 LENGTH, GRAM = 400, 32
+#: Words whose hash is an anchor where strings are counted in words.
+WORD_GRAM = 5
 SMALL = 200_000
 SHARD_BYTES, HOT_BYTES = 1 << 20, 8 << 20
 _CHUNK = 1 << 22
@@ -236,29 +238,78 @@ def pieces_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
             h += words[8 * j : 8 * j + n] * odd
             h ^= h >> np.uint64(29)
         h = mix(h)
-        key = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
-        rows = -(-n // width)
-        full = np.full(rows * width, 2**64 - 1, np.uint64)
-        full[:n] = key
-        block = full.reshape(rows, width)
-        prefix = np.minimum.accumulate(block, axis=1).ravel()
-        suffix = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        m = n - width + 1
-        least = (np.minimum(suffix[:m], prefix[width - 1 : width - 1 + m]) & _LOW).astype(np.int64)
+        least = _least(h, width)
         first = np.flatnonzero(np.diff(least, prepend=-1))
         starts.append(first + at)
-        sizes.append(np.diff(first, append=m) + length - 1)
+        sizes.append(np.diff(first, append=len(least)) + length - 1)
         anchors.append(h[least[first]])
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least of each ``width`` hashes in a row, the first of equals; below 2^24 hashes."""
+    n = len(h)
+    rows = -(-n // width)
+    full = np.full(rows * width, 2**64 - 1, np.uint64)
+    full[:n] = (h & ~_LOW) | np.arange(n, dtype=np.uint64)
+    block = full.reshape(rows, width)
+    prefix = np.minimum.accumulate(block, axis=1).ravel()
+    suffix = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    m = n - width + 1
+    return (np.minimum(suffix[:m], prefix[width - 1 : width - 1 + m]) & _LOW).astype(np.int64)
+
+
+def word_pieces_of(text: bytes, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for strings of ``words`` words: (first byte, size in bytes, anchor) of pieces that begin and end with
+    a word. The anchor is the least hash of ``gram`` words in a row, so space between words has no part in it."""
+    h, first_byte, size = hash_words(text)
+    gram = min(gram, words)
+    if len(h) < words:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
+    for j in range(gram):
+        grams = mix(grams + h[j : j + len(grams)])
+    end_byte = first_byte + size
+    starts, sizes, anchors = [], [], []
+    for at in range(0, len(h) - words + 1, _CHUNK):
+        part = grams[at : at + _CHUNK + words - gram]
+        least = _least(part, words - gram + 1)
+        first = np.flatnonzero(np.diff(least, prepend=-1))
+        last = np.append(first[1:], len(least)) + words - 2
+        starts.append(first_byte[first + at])
+        sizes.append(end_byte[last + at] - starts[-1])
+        anchors.append(part[least[first]])
+    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
+
+
+_TIMES = np.random.default_rng(43).integers(1, 2**62, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_strings(pieces: list[bytes], words: int) -> dict[str, np.ndarray]:
+    """Strings of ``words`` words in the pieces: piece, number of the first word, byte range and 128-bit hash (w1, w2)."""
+    h, start, size = hash_words(b" ".join(pieces))
+    begin = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+    owner = np.searchsorted(begin, start, side="right") - 1
+    m = max(len(h) - words + 1, 0)
+    out = {}
+    for name, x, times in zip(("w1", "w2"), (h, mix(h + _ODD[0])), _TIMES, strict=True):
+        w = np.zeros(m, np.uint64)
+        for j in range(words):
+            w = (w ^ (w >> np.uint64(29))) * times + x[j : j + m]
+        out[name] = mix(w).view(np.int64)
+    whole = np.flatnonzero(owner[:m] == owner[len(h) - m :])
+    last = whole + words - 1
+    base = begin[owner[whole]]
+    return {k: v[whole] for k, v in out.items()} | {"piece": owner[whole], "i": whole, "a": start[whole] - base, "b": start[last] + size[last] - base}
+
+
 def _keys(text: str) -> tuple[F.Column, F.Column]:
     """Two independent 64-bit hashes of a text, in place of the text; null is empty."""
     value = F.coalesce(F.col(text), F.lit(""))
     return F.xxhash64(value), F.xxhash64(F.lit(7), value)
 
 
-def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
     """(doc_id, k1, k2, pieces) of each row: hashes of its text and its pieces (start, size, anchor, digest d1 d2)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]))
 
@@ -266,7 +317,7 @@ def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH) -> Data
         offsets, parts, digests = [0], [], []
         for t in cols["text"]:
             raw = (t or "").encode()
-            start, size, anchor = pieces_of(raw, length)
+            start, size, anchor = word_pieces_of(raw, words) if words else pieces_of(raw, length)
             view = memoryview(raw)
             digests += [hashlib.blake2b(view[a : a + n], digest_size=16).digest() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
             parts.append((start, size, anchor.view(np.int64)))
@@ -281,7 +332,7 @@ def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH) -> Data
     return arrow_pass(own, run, "doc_id long, k1 long, k2 long, pieces array<struct<start:long,size:long,anchor:long,d1:long,d2:long>>")
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
     """(k1, k2, spans): for each text with repeats, byte ranges to remove, which may touch or overlap.
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else as well, in the same text or in
@@ -290,8 +341,11 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     ``shard_bytes``, whose suffix arrays and permuted common prefixes decide each start. An anchor whose different
     pieces exceed ``hot_bytes`` (one passage in very many different surroundings) is not sorted in one task: its
     strings are counted by 128-bit hash instead, spread over all tasks, with the same result.
+
+    With ``words``, strings are that many words in place of ``length`` bytes, whatever space is between them; those of
+    a shard are counted by 128-bit hash.
     """
-    table = cut_lineage(piece_table(df, text, length))
+    table = cut_lineage(piece_table(df, text, length, words))
     occ = table.select("doc_id", "k1", "k2", F.inline("pieces"))
     anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)])
     mixed = (F.col("min_d1") != F.col("max_d1")) | (F.col("min_d2") != F.col("max_d2"))
@@ -338,19 +392,19 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
         for b in batches:
             for s, d1, d2, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "piece")], strict=True):
                 if s != shard:
-                    out += _ranges(held, length)
+                    out += _ranges(held, length, words)
                     shard, held = s, {}
                 held[d1, d2] = piece
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
                 out = []
-        out += _ranges(held, length)
+        out += _ranges(held, length, words)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
 
     found = sorted_in.mapInArrow(search, "d1 long, d2 long, a long, b long")
     if some_hot:
-        found = found.unionByName(_counted(pieces.where("hot"), length))
+        found = found.unionByName(_counted(pieces.where("hot"), length, words))
     flagged = cut_lineage(whole.unionByName(found))
     places = seen.select("k1", "k2", "start", "d1", "d2").distinct()
     spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
@@ -360,10 +414,20 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
 _RANGE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _ranges(held: dict[tuple[int, int], bytes], length: int) -> list[dict]:
+def _ranges(held: dict[tuple[int, int], bytes], length: int, words: int = 0) -> list[dict]:
     """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover."""
     out = []
-    if len(held) > 1:
+    if len(held) > 1 and words:
+        s, names = word_strings(list(held.values()), words), list(held)
+        order = np.lexsort((s["w2"], s["w1"]))
+        same = (np.diff(s["w1"][order]) == 0) & (np.diff(s["w2"][order]) == 0)
+        hit = np.sort(order[np.append(same, False) | np.append(False, same)])
+        # strings of one piece that start with words in a row make one range
+        first = np.flatnonzero(np.append(True, (np.diff(s["i"][hit]) > 1) | (np.diff(s["piece"][hit]) > 0))) if len(hit) else hit
+        last = np.append(first[1:], len(hit)) - 1 if len(hit) else hit
+        for p, a, b in zip(s["piece"][hit[first]].tolist(), s["a"][hit[first]].tolist(), s["b"][hit[last]].tolist(), strict=True):
+            out.append({"d1": names[p][0], "d2": names[p][1], "a": a, "b": b})
+    elif len(held) > 1:
         for (d1, d2), hit in zip(held, repeated_starts(list(held.values()), length), strict=True):
             edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -371,7 +435,7 @@ def _ranges(held: dict[tuple[int, int], bytes], length: int) -> list[dict]:
     return out
 
 
-def _counted(pieces: DataFrame, length: int) -> DataFrame:
+def _counted(pieces: DataFrame, length: int, words: int = 0) -> DataFrame:
     """Ranges of the different pieces of hot anchors, from counts of their strings by 128-bit hash."""
 
     def strings(cols: dict) -> dict:
@@ -383,9 +447,22 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
                     out[c].append(v)
         return out
 
-    every = cut_lineage(arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, a long"))
+    def in_words(cols: dict) -> dict:
+        held = {(a, b): p for a, b, p in zip(cols["d1"], cols["d2"], cols["piece"], strict=True)}
+        s, names = word_strings(list(held.values()), words), np.array(list(held))
+        return s | {"d1": names[s["piece"], 0], "d2": names[s["piece"], 1]}
+
+    if words:
+        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), in_words, "w1 long, w2 long, d1 long, d2 long, i long, a long, b long")
+    else:
+        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, a long")
+    every = cut_lineage(every)
     twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hits = every.join(twice, ["w1", "w2"]).select("d1", "d2", "a").distinct()
+    hits = every.join(twice, ["w1", "w2"])
+    if words:
+        run = F.col("i") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("i"))
+        return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+    hits = hits.select("d1", "d2", "a").distinct()
     # starts in a row make one range
     run = F.col("a") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("a"))
     return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
@@ -402,10 +479,14 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(df: DataFrame, text: str = "text", **how) -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", words: int = 0, **how) -> DataFrame:
     """``df`` with __spans, null where a text has no repeats. Only texts that a bit filter finds likely to have spans
-    move for the join."""
-    spans = cut_lineage(repeated_spans(df, text, **how).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}))
+    move for the join. With ``words``, strings of that many words count as well as those of ``length`` bytes."""
+    spans = repeated_spans(df, text, **how)
+    if words:
+        spans = spans.unionByName(repeated_spans(df, text, words=words, **how))
+        spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = cut_lineage(spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}))
     k1, k2 = _keys(text)
     keyed = with_filter(df.withColumn("__k1", k1).withColumn("__k2", k2), spans, "__k1")
     found = keyed.where("__maybe").join(spans, ["__k1", "__k2"], "left")

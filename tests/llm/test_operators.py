@@ -449,6 +449,28 @@ def test_ordinal_gradient():
     assert ((t[:, 0] > 0.5).astype(int) + (t[:, 1] > 0.5) == grades).mean() > 0.8
 
 
+def brute_word_ranges(rows, n):
+    spots = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t[1] or "").encode())] for t in rows]
+    count = collections.Counter(tuple(w for _, _, w in s[i : i + n]) for s in spots for i in range(len(s) - n + 1))
+    return [{b for i in range(len(s) - n + 1) if count[tuple(w for _, _, w in s[i : i + n])] > 1 for b in range(s[i][0], s[i + n - 1][1])} for s in spots]
+
+
+@pytest.mark.parametrize("hot", [1 << 23, 600])
+def test_repeats_in_words(spark, rows, hot):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(n))
+    passage = text(51)
+    more = [row(200 + i, text(30) + " " + (passage.replace(" ", "\n") if i == 2 else passage) + " " + text(30)) for i in range(4)]
+    rows = rows + more + [row(210, "s" + passage + " " + text(60)), row(211, text(9) + " " + passage + "s")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    for n in (51, 12):
+        spans = suffix.repeated_spans(docs, words=n, hot_bytes=hot, shard_bytes=4000)
+        keyed = docs.select("doc_id", "text", *[c.alias(k) for c, k in zip(suffix._keys("text"), ("k1", "k2"))])
+        got = keyed.join(spans, ["k1", "k2"], "left").collect()
+        found = sorted((x.doc_id or -1, x.text or "", sorted({b for a, e in suffix.merged(x.spans) for b in range(a, e)})) for x in got)
+        assert found == sorted((t[0] or -1, t[1] or "", sorted(g)) for t, g in zip(rows, brute_word_ranges(rows, n)))
+
+
 @pytest.mark.parametrize("empty", [0, 1])
 def test_links_are_counted_once_beside_an_empty_block(empty):
     sets = {bytes([i]): np.arange(i, 1000, dtype=np.int64) for i in range(2)}

@@ -100,3 +100,12 @@ def test_sql_twins(spark):
     for name, sql in queries.SQL.items():
         ok, message, n, _ = compare(spark, con, name, queries.QUERIES[name], sql, SF)
         assert ok and n > 0, (name, message)
+
+
+def test_shared_passage_of_51_words_is_cut(spark):
+    w = lambda who, n: " ".join(f"{who}{i}" for i in range(n))
+    passage, short = w("p", 51), w("q", 50)
+    assert len(passage) < 400
+    docs = [(i, f"{w(f'a{i}x', 30)} {passage} {w(f'b{i}x', 30)} {short} {w(f'c{i}x', 9)}") for i in range(3)] + [(9, w("z", 90))]
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long")), SF)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(d, t.replace(passage, ""), len(t.replace(passage, ""))) for d, t in docs]
