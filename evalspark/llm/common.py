@@ -171,25 +171,42 @@ def with_filter(df: DataFrame, keys: DataFrame, key: str, name: str = "__maybe")
     return joined.withColumn(name, F.coalesce(F.getbit("__bits", place) == 1, F.lit(False))).drop("__at", "__word", "__bits")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def join_many_to_one(df: DataFrame, one: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``df`` left-joined with ``one``, which has a row for each ``key``. Keys that hold more than one in ``share`` rows
+    of ``df`` (so at most ``share`` keys) meet a broadcast of just their rows; all others are shuffled by key."""
+    counts = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col(key).isNotNull()))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    hot = cut_lineage(counts.where(F.col("__n") * share > max(total, 64 * share)).select(key, F.lit(True).alias("__hot")))
+    if not hot.limit(1).count():
+        return df.join(one, key, "left")
+    flagged = df.join(F.broadcast(hot), key, "left")
+    few = F.broadcast(one.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    return flagged.where("__hot").drop("__hot").join(few, key, "left").unionByName(flagged.where("__hot IS NULL").drop("__hot").join(one, key, "left"))
+
+
+def components(edges: DataFrame, rounds: int = 60, hot: bool = False) -> DataFrame:
     """(node, root) of every node of undirected ``edges`` (a, b); root is the least node of the component.
 
     Every round hangs each node, and the node it hung on, to the least label seen next to it, then follows labels
     one step; paths halve, so that few rounds are needed. Only aggregates by key are shuffled: a node with very many
-    edges is combined before the shuffle. Nothing but a count per round reaches the driver.
+    edges is combined before the shuffle. Nothing but a count per round reaches the driver. With ``hot``, nodes with
+    very many edges and labels of very large components meet their own label by a broadcast.
     """
+    follow = join_many_to_one if hot else lambda df, one, key: df.join(one, key, "left")
     both = edges.select("a", "b").where("a != b")
     both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
     label = cut_lineage(label)
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
+        names = label.select(F.col("node").alias("b"), F.col("root").alias("r"))
+        near = (follow(both, names, "b") if hot else both.join(names, "b")).groupBy("a").agg(F.min("r").alias("r"))
         seen = label.join(near, label["node"] == near["a"], "left").select("node", "root", F.least("root", "r").alias("low"))
         hung = seen.select(F.col("root").alias("node"), F.col("low").alias("cand")).unionByName(seen.select("node", F.col("low").alias("cand")))
         low = hung.groupBy("node").agg(F.min("cand").alias("low"))
         # one jump: the label of the label
         up = low.select(F.col("node").alias("low"), F.col("low").alias("upper"))
-        jumped = low.join(up, "low", "left").select("node", F.least("low", F.coalesce("upper", "low")).alias("root"))
+        low = cut_lineage(low) if hot else low
+        jumped = follow(low, up, "low").select("node", F.least("low", F.coalesce("upper", "low")).alias("root"))
         old = label.select("node", F.col("root").alias("was"))
         both_labels = cut_lineage(jumped.join(old, "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved")))
         label = both_labels.select("node", "root")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, fertility, langid, lattice, mixing, neardup, packing, quality, suffix, topk
+from evalspark.llm import chat, fertility, langid, lattice, mixing, neardup, packing, prefixtrie, quality, suffix, topk, urlfilter, whitening
 from evalspark.llm.common import small_batches, table
 
 QUERIES: dict = {}
@@ -133,3 +133,69 @@ def op10(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.format_chats(turns), placed=True)
+
+
+URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+@query(
+    "op11_url_filter",
+    r"""
+    -- links with absolute targets; the tables have no others
+    WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(?:link|meta)\b[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+    links AS (SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link.*rel=["'']?canonical') THEN regexp_extract(tag, '(?i)href=["'']?([^"''\s>]+)', 1)
+                               WHEN regexp_matches(tag, '(?i)^<meta.*http-equiv=["'']?refresh') THEN regexp_extract(tag, '(?i)url=\s*["'']?([^"''>]+)', 1) END AS target FROM tags),
+    urls AS (SELECT DISTINCT url AS u FROM pages UNION SELECT target FROM links WHERE regexp_matches(target, '(?i)^https?://')),
+    cut AS (SELECT u, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM urls WHERE u IS NOT NULL),
+    parts AS (SELECT u, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM cut),
+    fits AS (SELECT p.u, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+             FROM parts p JOIN rules r ON ('.' || p.host) LIKE ('%.' || r.host) AND starts_with(p.path, r.path) GROUP BY p.u),
+    nodes AS (SELECT p.u, p.host || p.tail AS node, p.host, p.path, f.rule, f.verdict FROM parts p LEFT JOIN fits f ON f.u = p.u),
+    edges AS (SELECT a.node AS x, b.node AS y FROM links l JOIN nodes a ON a.u = l.url JOIN nodes b ON b.u = l.target WHERE a.host <> '' AND b.host <> '' AND a.node <> b.node),
+    both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+    reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y),
+    alias AS (SELECT r.x AS node, min(n.verdict) AS verdict FROM reach r JOIN nodes n ON n.node = r.y WHERE n.verdict IS NOT NULL GROUP BY r.x)
+    SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.rule, coalesce(n.verdict, a.verdict, 'allow') AS verdict
+    FROM pages p LEFT JOIN nodes n ON n.u = p.url LEFT JOIN alias a ON a.node = n.node
+    """,
+)
+def op11(spark, sf_dir):
+    return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.rule_list(spark, URL_RULES))
+
+
+@query(
+    "op12_prefix_trie",
+    """
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+    -- CRC-32 of the decimal id: a byte is mixed in, then eight shifts
+    h AS (SELECT c, n, c - c % 5 AS base,
+                 (4294967295 - list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+                       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) % 9 AS h FROM own),
+    r AS (SELECT h.c, t.pos, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.pos < h.h
+          UNION ALL SELECT h.c, t.pos - h.h + least(h.h, coalesce(b.n, 0)), t.role, t.text FROM h JOIN t ON t.c = h.c AND t.pos >= h.h LEFT JOIN own b ON b.c = h.base),
+    p AS (SELECT c, pos + 1 AS d, md5(string_agg(sha256(length(role) || ':' || role || text), '' ) OVER (PARTITION BY c ORDER BY pos)) AS node, strlen(text) AS size FROM r
+          UNION ALL SELECT c, 0, '', 0 FROM own),
+    q AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+    n AS (SELECT node, any_value(parent) AS parent, any_value(d) AS d, count(*) AS n_convs, min(c) AS low, any_value(size) AS size,
+                 coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM q GROUP BY node),
+    k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+    held AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.node = n.node),
+    s AS (SELECT q.node, sum(coalesce((g.n_convs - 1) * g.size, 0)) OVER w AS saving, sum(CASE WHEN g.n_children = 0 THEN 1 ELSE 0 END) OVER w AS leaves
+          FROM q LEFT JOIN held g ON g.low = q.c AND g.d = q.d WINDOW w AS (PARTITION BY q.c ORDER BY q.d DESC)),
+    u AS (SELECT node, sum(saving)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM s GROUP BY node)
+    SELECT g.low AS conv_id, g.d::BIGINT AS depth, f.low AS parent_conv_id, g.n_convs, g.n_children, u.n_leaves, u.saved_tokens, sha256(g.ends) AS ends_sha256, g.size::BIGINT AS size
+    FROM held g JOIN u ON u.node = g.node LEFT JOIN n f ON f.node = g.parent
+    """,
+)
+def op12(spark, sf_dir):
+    small_batches(spark)
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    vectors = whitening.sound(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fitted(vectors))
