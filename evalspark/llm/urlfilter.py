@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import bind
 from evalspark.llm.common import components, cut_lineage, join_many_to_one, with_filter
 from evalspark.session import broadcast_if_small
 
@@ -18,8 +19,7 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 def _after(url: Column) -> Column:
     """What follows the first ``://``; empty for null and where there is none."""
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)", 1), F.lit(""))
 
 
 def host_of(url: Column) -> Column:
@@ -34,8 +34,8 @@ def path_of(url: Column) -> Column:
 
 def identity(url: Column) -> Column:
     """128-bit digest of the URL without scheme and fragment, host in lower case; null where there is no host."""
-    tail = F.regexp_extract(_after(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.md5(F.concat(host_of(url), tail).cast("binary")))
+    whole = lambda rest: F.concat(F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
+    return bind(_after(url), lambda rest: F.when(rest.rlike(r"^[^/?#]"), F.md5(whole(rest).cast("binary"))))
 
 
 def _without_dots(path: Column) -> Column:
@@ -52,7 +52,10 @@ def _without_dots(path: Column) -> Column:
 def resolved(base: Column, href: Column) -> Column:
     """The absolute form of ``href`` on a page at ``base``; null for an empty one, a fragment, or another scheme than
     http and https."""
-    href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
+    return bind(F.replace(F.trim(href), F.lit("&amp;"), F.lit("&")), lambda h: _resolved(base, h))
+
+
+def _resolved(base: Column, href: Column) -> Column:
     origin, path = F.concat(F.lit("x://"), host_of(base)), path_of(base)
     bare = F.regexp_extract(href, r"^[^?#]*", 0)
     query = F.substr(href, F.length(bare) + 1)
