@@ -1,10 +1,3 @@
-"""Spark-native engine for language-model evaluation data."""
-
-import sys
-
-from pyspark import cloudpickle
+"""Spark-native engine for language-model evaluation data. Workers import it from their own installed copy."""
 
 __version__ = "0.1.0"
-
-# Functions sent to executors carry their code, so workers need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
