@@ -111,11 +111,11 @@ def _sweep(source: np.ndarray, target: np.ndarray, step: np.ndarray, weight: np.
         out[target[group[lo:hi]]] = _log_sums(out[source[a:b]] + weight[a:b], group[lo:hi] - a)
 
 
-def forward(vocabulary: Pieces, logp: np.ndarray, words: list[bytes], expected: np.ndarray | None = None) -> np.ndarray:
+def forward(vocabulary: Pieces, logp: np.ndarray, words: list[bytes], expected: np.ndarray | None = None, times: np.ndarray | None = None) -> np.ndarray:
     """Natural log of the marginal probability of each word, with the space before it, over all its segmentations.
 
-    With ``expected``, the expected number of uses of each piece, each word counted once, is added to it (the
-    backward recursion). Words of any length are summed without underflow.
+    With ``expected``, the expected number of uses of each piece, each word counted once or ``times``, is added to it
+    (the backward recursion). Words of any length are summed without underflow.
     """
     out = np.zeros(len(words))
     for lo, hi in blocks(words, _BATCH):
@@ -138,7 +138,8 @@ def forward(vocabulary: Pieces, logp: np.ndarray, words: list[bytes], expected:
             beta = np.full(len(alpha), -np.inf)
             beta[end] = 0.0
             _sweep(b, a, (begin + size)[word] - first, weight, beta)
-            expected += np.bincount(piece, weights=np.exp(alpha[a] + weight + beta[b] - out[lo:hi][word]), minlength=len(expected))
+            uses = np.exp(alpha[a] + weight + beta[b] - out[lo:hi][word])
+            expected += np.bincount(piece, weights=uses if times is None else uses * times[lo:hi][word], minlength=len(expected))
     return out
 
 
@@ -178,25 +179,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def piece_weights(counts: DataFrame, path: str, rounds: int = 4, prior: float = 0.01) -> np.ndarray:
-    """Log probabilities of the pieces, from the vocabulary's own scores and ``rounds`` of expectation over all
-    distinct training words. Workers send a number for each piece of the vocabulary; words stay where they are."""
+    """Log probabilities of the pieces, from the vocabulary's own scores and ``rounds`` of expectation over all training
+    tokens (each distinct word once, with its count). Workers send a number for each piece of the vocabulary; words
+    stay where they are."""
     vocabulary = pieces(path)
     logp = vocabulary.start
     for _ in range(rounds):
         sent = counts.sparkSession.sparkContext.broadcast(logp)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, held, total = pieces(path), [], np.zeros(len(sent.value))
+            own, total = pieces(path), np.zeros(len(sent.value))
             for b in batches:
-                held += b["word"].to_pylist()
-                if len(held) >= 20_000:
-                    forward(own, sent.value, held, total)
-                    held = []
-            forward(own, sent.value, held, total)
+                forward(own, sent.value, b["word"].to_pylist(), total, b["c"].to_numpy())
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
-        uses = counts.select("word").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        uses = counts.select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         total = np.full(len(logp), prior)
         for r in uses:
             total[r["piece"]] += r["uses"]
@@ -221,8 +219,9 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Scorer:
-    """P(token) = max(c − d, 0) / N + d·V / N · P(lattice): absolute discounting of word counts, whose discounted mass
-    goes to spelled words. It is a distribution over all words and the end of a text."""
+    """Log probabilities of a token. ``alone``: the end of a text by its share of tokens, any other word by its lattice.
+    ``model``: max(c − d, 0) / N + d·V / N · P(lattice), absolute discounting of word counts, whose discounted mass goes
+    to spelled words. Both are distributions over all words and the end."""
 
     def __init__(self, tokens: int, kinds: int, once: int, twice: int, ends: int):
         self.n, self.v, self.ends = tokens, kinds, ends
@@ -239,12 +238,23 @@ class Scorer:
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(np.maximum(c - self.d, 0) / self.n), spelled) / LN10
 
+    def alone(self, lattice: np.ndarray) -> np.ndarray:
+        return lattice / LN10 + self.inner()
+
+    def inner(self) -> float:
+        """log10 of the probability that a text goes on."""
+        return math.log10((self.n - self.ends) / self.n) if self.n > self.ends else math.log10(0.5)
+
+    def last(self) -> float:
+        return math.log10(self.ends / self.n) if self.n > self.ends else math.log10(0.5)
+
     def end(self) -> float:
         return math.log10((self.ends - self.d) / self.n) if self.n else math.log10(0.5)
 
 
 def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> DataFrame:
-    """n_tokens, n_known, train_tokens, base_score and score of every whole ``text``, with doc_id and held_out.
+    """n_tokens, n_known, train_tokens, base_score, score and mixture_score of every whole ``text``, with doc_id and
+    held_out. ``score`` is the marginal over all segmentations of each word; ``mixture_score`` mixes it with word counts.
 
     ``df`` has doc_id, text and held_out; the model learns from the rows where ``learn`` holds. A null text is empty:
     its one token is the end. Repeated rows are scored once and given back as often as they occur.
@@ -264,13 +274,13 @@ def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> D
     order = np.argsort(h)
     c = top["c"].to_numpy()[order]
     lattice = forward(pieces(path), logp, top["word"].to_pylist())[order]
-    sent = df.sparkSession.sparkContext.broadcast((h[order], scorer.base(c), scorer.model(c, lattice), logp))
-    schema = "doc_id long, text_key long, held_out boolean, h long, n long, lattice double, rows long, tokens long, known long, base double, model double"
-    end_known, end_base, end_model = int(ends > 0), float(scorer.base(np.array([ends]))[0]), scorer.end()
+    sent = df.sparkSession.sparkContext.broadcast((h[order], scorer.base(c), scorer.alone(lattice), scorer.model(c, lattice), logp))
+    schema = "doc_id long, text_key long, held_out boolean, h long, n long, lattice double, rows long, tokens long, known long, base double, alone double, model double"
+    end_known, ended = int(ends > 0), (float(scorer.base(np.array([ends]))[0]), scorer.last(), scorer.end())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, base, model, logp_ = sent.value
+        common, *scores, logp_ = sent.value
         for b in batches:
             keys = [np.asarray(b[x].to_numpy(zero_copy_only=False)) for x in ("text_key", "held_out")]
             ids = b["doc_id"]
@@ -285,14 +295,14 @@ def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> D
                 rare_h, one, back = np.unique(hs[~hit], return_index=True, return_inverse=True)
                 spot = at[~hit][one]
                 spelled = forward(pieces(path), logp_, _taken(np.frombuffer(joined, dtype=np.uint8), starts[spot], sizes[spot]).to_pylist()) if len(rare_h) else np.zeros(0)
-                yield from _rows(names, ids, keys, lo, os, hs, n, hit, place, base, model, spelled[back.reshape(-1)] if len(spelled) else spelled)
-            yield _ends(names, ids, keys, end_known, end_base, end_model)
+                yield from _rows(names, ids, keys, lo, os, hs, n, hit, place, scores, spelled[back.reshape(-1)] if len(spelled) else spelled)
+            yield _ends(names, ids, keys, end_known, ended)
 
     keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "held_out", "text")
     parts = keyed.mapInArrow(run, schema)
     parts = cut_lineage(parts)
     key = ["doc_id", "text_key", "held_out"]
-    done = parts.where("h is null").select(*key, "rows", "tokens", "known", "base", "model")
+    done = parts.where("h is null").select(*key, "rows", "tokens", "known", "base", "alone", "model")
     rare = parts.where("h is not null").join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
     base = F.log10((F.col("c") + 0.5) / F.lit(scorer.n + 0.5 * (scorer.v + 1)))
     share = scorer.d * scorer.v / scorer.n if scorer.n else 0.5
@@ -300,8 +310,8 @@ def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> D
     word = F.greatest(F.col("c") - F.lit(scorer.d), F.lit(0.0)) / F.lit(float(max(scorer.n, 1)))
     low = F.col("lattice") / LN10 + math.log10(share)
     model = F.when(word > 0, F.log10(word) + F.log1p(F.pow(F.lit(10.0), F.least(low - F.log10(word), F.lit(300.0)))) / LN10).otherwise(low)
-    own = rare.select(*key, F.lit(0).cast("long").alias("rows"), F.col("n").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("known"), (F.col("n") * base).alias("base"), (F.col("n") * model).alias("model"))
-    summed = done.unionByName(own).groupBy(*key).agg(*[F.sum(x).alias(x) for x in ("rows", "tokens", "known", "base", "model")])
+    own = rare.select(*key, F.lit(0).cast("long").alias("rows"), F.col("n").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("known"), (F.col("n") * base).alias("base"), (F.col("n") * (F.col("lattice") / LN10 + scorer.inner())).alias("alone"), (F.col("n") * model).alias("model"))
+    summed = done.unionByName(own).groupBy(*key).agg(*[F.sum(x).alias(x) for x in ("rows", "tokens", "known", "base", "alone", "model")])
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
     per = lambda x: (F.col(x) / F.col("rows"))
     return summed.withColumn("__i", times).select(
@@ -311,16 +321,17 @@ def score_texts(df: DataFrame, learn: F.Column, path: str, rounds: int = 4) -> D
         per("known").cast("long").alias("n_known"),
         F.lit(scorer.n).cast("long").alias("train_tokens"),
         per("base").alias("base_score"),
-        per("model").alias("score"),
+        per("alone").alias("score"),
+        per("model").alias("mixture_score"),
     )
 
 
-def _rows(names, ids, keys, lo, owner, h, n, hit, place, base, model, spelled) -> Iterator[pa.RecordBatch]:
+def _rows(names, ids, keys, lo, owner, h, n, hit, place, scores, spelled) -> Iterator[pa.RecordBatch]:
     """Sums over the frequent words of each text, and a row for each of its other words."""
     if not len(h):
         return
     size = int(owner.max()) + 1
-    sums = [np.bincount(owner[hit], weights=w, minlength=size) for w in (n[hit], n[hit] * base[place[hit]], n[hit] * model[place[hit]])]
+    sums = [np.bincount(owner[hit], weights=w, minlength=size) for w in (n[hit], *[n[hit] * s[place[hit]] for s in scores])]
     which = np.flatnonzero(sums[0])
     sums = [x[which] for x in sums]
     far = np.flatnonzero(~hit)
@@ -339,13 +350,12 @@ def _rows(names, ids, keys, lo, owner, h, n, hit, place, base, model, spelled) -
         "rows": pa.array(np.zeros(k + f, np.int64)),
         "tokens": pa.array(tokens),
         "known": pa.array(tokens),
-        "base": pa.array(np.concatenate([sums[1], zero])),
-        "model": pa.array(np.concatenate([sums[2], zero])),
+        **{name: pa.array(np.concatenate([own, zero])) for name, own in zip(("base", "alone", "model"), sums[1:], strict=True)},
     }
     yield pa.RecordBatch.from_arrays([cols[x] for x in names], names=names)
 
 
-def _ends(names, ids, keys, known, base, model) -> pa.RecordBatch:
+def _ends(names, ids, keys, known, scores) -> pa.RecordBatch:
     """The end of each text, as a row of its own that also counts the text's rows."""
     n = len(ids)
     one = np.ones(n, np.int64)
@@ -359,7 +369,6 @@ def _ends(names, ids, keys, known, base, model) -> pa.RecordBatch:
         "rows": pa.array(one),
         "tokens": pa.array(one),
         "known": pa.array(known * one),
-        "base": pa.array(np.full(n, base)),
-        "model": pa.array(np.full(n, model)),
+        **{name: pa.array(np.full(n, own)) for name, own in zip(("base", "alone", "model"), scores, strict=True)},
     }
     return pa.RecordBatch.from_arrays([cols[x] for x in names], names=names)

@@ -388,35 +388,42 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     sorted_in = pieces.where("not hot").repartition("shard").sortWithinPartitions("shard", "d1", "d2")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, out = None, {}, []
+        shard, held, known, out = None, {}, set(), []
         for b in batches:
-            for s, d1, d2, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "piece")], strict=True):
+            for s, d1, d2, many, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "piece")], strict=True):
                 if s != shard:
-                    out += _ranges(held, length, words)
-                    shard, held = s, {}
+                    out += _ranges(held, length, words, known)
+                    shard, held, known = s, {}, set()
                 held[d1, d2] = piece
+                if many:
+                    known.add((d1, d2))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
                 out = []
-        out += _ranges(held, length, words)
+        out += _ranges(held, length, words, known)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
 
     found = sorted_in.mapInArrow(search, "d1 long, d2 long, a long, b long")
     if some_hot:
         found = found.unionByName(_counted(pieces.where("hot"), length, words))
-    flagged = cut_lineage(whole.unionByName(found))
-    places = seen.select("k1", "k2", "start", "d1", "d2").distinct()
-    spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
-    return spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    # one row for a piece with all its ranges meets one row for a text with all places of that piece
+    flagged = cut_lineage(whole.unionByName(found).groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"))
+    at = lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b")))
+    spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.flatten(F.transform("starts", at)).alias("spans"))
+    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _RANGE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _ranges(held: dict[tuple[int, int], bytes], length: int, words: int = 0) -> list[dict]:
-    """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover."""
+def _ranges(held: dict[tuple[int, int], bytes], length: int, words: int = 0, known: set = frozenset()) -> list[dict]:
+    """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover; pieces in ``known`` are
+    repeated from end to end and give none."""
     out = []
+    if len(held) == len(known):
+        return out
     if len(held) > 1 and words:
         s, names = word_strings(list(held.values()), words), list(held)
         order = np.lexsort((s["w2"], s["w1"]))
@@ -426,9 +433,12 @@ def _ranges(held: dict[tuple[int, int], bytes], length: int, words: int = 0) ->
         first = np.flatnonzero(np.append(True, (np.diff(s["i"][hit]) > 1) | (np.diff(s["piece"][hit]) > 0))) if len(hit) else hit
         last = np.append(first[1:], len(hit)) - 1 if len(hit) else hit
         for p, a, b in zip(s["piece"][hit[first]].tolist(), s["a"][hit[first]].tolist(), s["b"][hit[last]].tolist(), strict=True):
-            out.append({"d1": names[p][0], "d2": names[p][1], "a": a, "b": b})
+            if names[p] not in known:
+                out.append({"d1": names[p][0], "d2": names[p][1], "a": a, "b": b})
     elif len(held) > 1:
         for (d1, d2), hit in zip(held, repeated_starts(list(held.values()), length), strict=True):
+            if (d1, d2) in known:
+                continue
             edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                 out.append({"d1": d1, "d2": d2, "a": a, "b": b - 1 + length})
@@ -439,26 +449,26 @@ def _counted(pieces: DataFrame, length: int, words: int = 0) -> DataFrame:
     """Ranges of the different pieces of hot anchors, from counts of their strings by 128-bit hash."""
 
     def strings(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("w1", "w2", "d1", "d2", "a")}
-        for d1, d2, piece in {(a, b): (a, b, p) for a, b, p in zip(cols["d1"], cols["d2"], cols["piece"], strict=True)}.values():
+        out: dict[str, list] = {c: [] for c in ("w1", "w2", "d1", "d2", "many", "a")}
+        for d1, d2, many, piece in {(a, b): (a, b, m, p) for a, b, m, p in zip(cols["d1"], cols["d2"], cols["many"], cols["piece"], strict=True)}.values():
             for a in range(len(piece) - length + 1):
                 w = hashlib.blake2b(piece[a : a + length], digest_size=16).digest()
-                for c, v in zip(out, (int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), d1, d2, a), strict=True):
+                for c, v in zip(out, (int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), d1, d2, many, a), strict=True):
                     out[c].append(v)
         return out
 
     def in_words(cols: dict) -> dict:
-        held = {(a, b): p for a, b, p in zip(cols["d1"], cols["d2"], cols["piece"], strict=True)}
-        s, names = word_strings(list(held.values()), words), np.array(list(held))
-        return s | {"d1": names[s["piece"], 0], "d2": names[s["piece"], 1]}
+        held = {(a, b): (m, p) for a, b, m, p in zip(cols["d1"], cols["d2"], cols["many"], cols["piece"], strict=True)}
+        s, names = word_strings([p for _, p in held.values()], words), np.array(list(held))
+        return s | {"d1": names[s["piece"], 0], "d2": names[s["piece"], 1], "many": np.array([m for m, _ in held.values()])[s["piece"]]}
 
     if words:
-        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), in_words, "w1 long, w2 long, d1 long, d2 long, i long, a long, b long")
+        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), in_words, "w1 long, w2 long, d1 long, d2 long, many boolean, i long, a long, b long")
     else:
-        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, a long")
+        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, many boolean, a long")
     every = cut_lineage(every)
     twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hits = every.join(twice, ["w1", "w2"])
+    hits = every.where("not many").join(twice, ["w1", "w2"])
     if words:
         run = F.col("i") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("i"))
         return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")

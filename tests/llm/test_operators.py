@@ -237,13 +237,35 @@ def test_lattice_scores(spark, docs, rows, none):
         w = [*words(lower(t)), "\0"]
         want[d].add((len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5)))
     for r in got:
-        assert (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) in want[r.doc_id] and r.score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) in want[r.doc_id] and r.mixture_score < 0
+    # the whole score again: expectation over counted words, then every text's lattice
+    own, learnt = lattice.pieces(PIECES), {w: c for w, c in count.items() if w != "\0"}
+    logp = own.start
+    for _ in range(4):
+        uses = np.full(len(logp), 0.01)
+        lattice.forward(own, logp, [w.encode() for w in learnt], uses, np.array(list(learnt.values())))
+        logp = np.log(uses / uses.sum())
+    once = np.full(len(logp), 0.01)
+    for w, c in learnt.items():
+        for _ in range(c if c < 3 else 0):
+            lattice.forward(own, own.start, [w.encode()], once)
+    few = {w: c for w, c in learnt.items() if c < 3}
+    twice = np.full(len(logp), 0.01)
+    lattice.forward(own, own.start, [w.encode() for w in few], twice, np.array(list(few.values())))
+    assert np.allclose(once, twice)
+    ends = count["\0"]
+    score = collections.defaultdict(set)
+    for d, t, *_ in rows:
+        w = words(lower(t))
+        spelled = lattice.forward(own, logp, [x.encode() for x in w])
+        score[d].add(round(spelled.sum() / math.log(10) + len(w) * math.log10(1 - ends / n) + math.log10(ends / n), 4))
+    assert all(round(r.score, 4) in score[r.doc_id] for r in got)
     assert lattice.score_texts(none.select("doc_id", "text", F.lit(False).alias("held_out")), F.lit(True), PIECES).count() == 0
 
 
 def test_rare_words_score_as_frequent_ones(docs, monkeypatch):
     keyed = docs.select("doc_id", "text", F.lit(False).alias("held_out"))
-    ask = lambda: sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice.score_texts(keyed, F.lit(True), PIECES).collect())
+    ask = lambda: sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6), round(r.mixture_score, 6)) for r in lattice.score_texts(keyed, F.lit(True), PIECES).collect())
     many = ask()
     monkeypatch.setattr(lattice, "FREQUENT", 3)
     assert ask() == many

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from evalspark.llm import mixing, queries
-from tests.llm.test_operators import BPE, SF, brute_links, brute_removed, brute_targets, words
+from tests.llm.test_operators import BPE, SF, brute_links, brute_targets, brute_word_ranges, words
 
 
 @pytest.fixture(scope="module")
@@ -46,14 +46,20 @@ def test_one_of_each_class(stages):
 
 
 def test_repeats_are_cut(stages):
-    before = as_rows(stages[2])
-    gone = {r[0]: r for r in brute_removed(before, 400)}
-    after = {r[0]: r[1] for r in as_rows(stages[3])}
-    assert set(after) == set(gone)
-    for d, t in before:
-        _, size, removed, spans, _ = gone[d]
-        left = len(after[d].encode())
-        assert size - removed - 6 * spans <= left <= size - removed and (removed or after[d] == t)
+    """Bytes in 400-byte strings or in 51 words that start elsewhere too go; of a character that is cut, all goes."""
+    before, after = as_rows(stages[2]), dict(as_rows(stages[3]))
+    raw = [(t or "").encode() for _, t in before]
+    count = collections.Counter(x[i : i + 400] for x in raw for i in range(len(x) - 399))
+    assert set(after) == {d for d, _ in before}
+    for (d, _), x, passages in zip(before, raw, brute_word_ranges(before, corpus_pipeline.PASSAGE_WORDS), strict=True):
+        gone = np.zeros(len(x) + 1, bool)
+        for i in range(len(x) - 399):
+            if count[x[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        gone[list(passages)] = True
+        edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0))
+        cuts = [0, *edge.tolist(), len(x)]
+        assert after[d].encode() == b"".join(x[a:b].decode(errors="ignore").encode() for a, b in zip(cuts[::2], cuts[1::2]))
     assert all(r.n_chars == len(r.text) for r in stages[3].collect())
 
 
@@ -89,7 +95,7 @@ def test_windows_hold_every_id(stages):
 
 def test_registered_queries():
     names = [n for n in entry.queries() if n in queries.QUERIES]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries() and set(queries.SQL) <= set(entry.oracle_sql())
 
 
