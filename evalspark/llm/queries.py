@@ -10,6 +10,9 @@ from evalspark.llm.common import small_batches, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: A passage of just over 50 words is a repeat, however few bytes it has.
+PASSAGE_WORDS = 51
+
 SQL_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
@@ -98,7 +101,7 @@ def op7(spark, sf_dir):
 @query("op8_suffix")
 def op8(spark, sf_dir):
     small_batches(spark)
-    return suffix.removal_digest(table(spark, sf_dir, "documents"))
+    return suffix.removal_digest(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS)
 
 
 @query(

@@ -310,30 +310,38 @@ def _keys(text: str) -> tuple[F.Column, F.Column]:
 
 
 def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
-    """(doc_id, k1, k2, pieces) of each row: hashes of its text and its pieces (start, size, anchor, digest d1 d2)."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]))
+    """(doc_id, k1, k2, pieces) of each row: hashes of its text and its pieces (start, size, anchor, digest d1 d2, w).
+
+    One reading of a text gives its pieces for strings of ``length`` bytes and, with ``w``, for strings of ``words``
+    words; 0 leaves a kind out. Digests and anchors of the two kinds are apart.
+    """
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("w", pa.bool_())]))
+    ways = [(False, lambda raw: pieces_of(raw, length))] * (length > 0) + [(True, lambda raw: word_pieces_of(raw, words))] * (words > 0)
 
     def run(cols: dict) -> dict:
         offsets, parts, digests = [0], [], []
         for t in cols["text"]:
             raw = (t or "").encode()
-            start, size, anchor = word_pieces_of(raw, words) if words else pieces_of(raw, length)
-            view = memoryview(raw)
-            digests += [hashlib.blake2b(view[a : a + n], digest_size=16).digest() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-            parts.append((start, size, anchor.view(np.int64)))
-            offsets.append(offsets[-1] + len(start))
-        start, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+            view, many = memoryview(raw), 0
+            for w, pieces in ways:
+                start, size, anchor = pieces(raw)
+                mark = b"w" * w
+                digests += [hashlib.blake2b(view[a : a + n], digest_size=16, key=mark).digest() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+                parts.append((start, size, (mix(anchor) if w else anchor).view(np.int64), np.full(len(start), w)))
+                many += len(start)
+            offsets.append(offsets[-1] + many)
+        start, size, anchor, which = (np.concatenate(x) for x in zip(*parts, strict=True))
         d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        flat = pa.StructArray.from_arrays([pa.array(x) for x in (start, size, anchor, np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]))], fields=list(kind.value_type))
+        flat = pa.StructArray.from_arrays([pa.array(x) for x in (start, size, anchor, np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), which)], fields=list(kind.value_type))
         return {"doc_id": cols["doc_id"], "k1": cols["k1"], "k2": cols["k2"], "pieces": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
 
     k1, k2 = _keys(text)
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, pieces array<struct<start:long,size:long,anchor:long,d1:long,d2:long>>")
+    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, pieces array<struct<start:long,size:long,anchor:long,d1:long,d2:long,w:boolean>>")
 
 
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
-    """(k1, k2, spans): for each text with repeats, byte ranges to remove, which may touch or overlap.
+    """(k1, k2, spans): for each text with repeats, byte ranges (a, b, w) to remove, which may touch or overlap.
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else as well, in the same text or in
     any other. Copies of a piece are counted before the shuffle and stand as one piece with a count; a piece seen
@@ -342,8 +350,8 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     pieces exceed ``hot_bytes`` (one passage in very many different surroundings) is not sorted in one task: its
     strings are counted by 128-bit hash instead, spread over all tasks, with the same result.
 
-    With ``words``, strings are that many words in place of ``length`` bytes, whatever space is between them; those of
-    a shard are counted by 128-bit hash.
+    With ``words``, strings of that many words are found as well, whatever space is between them, and their ranges are
+    marked ``w``; in a shard they are counted by 128-bit hash. A ``length`` of 0 leaves strings of bytes out.
     """
     table = cut_lineage(piece_table(df, text, length, words))
     occ = table.select("doc_id", "k1", "k2", F.inline("pieces"))
@@ -352,7 +360,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     anchors = cut_lineage(anchors.where("n > 1").select("anchor", mixed.alias("mixed")))
     seen = cut_lineage(occ.join(anchors, "anchor"))
     kinds = seen.groupBy("anchor", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
+        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("w").alias("w"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
     )
     kinds = cut_lineage(kinds)
     whole = kinds.where("n > 1").select("d1", "d2", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
@@ -363,7 +371,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     hot = weight.where(F.col("bytes") > hot_bytes).select("anchor", F.lit(True).alias("hot"))
     asked = asked.join(broadcast_if_small(hot, SMALL), "anchor", "left")
     wanted = asked.select(
-        "rep.nil", F.coalesce("rep.doc_id", F.lit(-1)).alias("id"), "rep.k1", "rep.k2", F.struct("rep.start", "size", "d1", "d2", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("ask")
+        "rep.nil", F.coalesce("rep.doc_id", F.lit(-1)).alias("id"), "rep.k1", "rep.k2", F.struct("rep.start", "size", "d1", "d2", "many", "w", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("ask")
     )
     wanted = cut_lineage(wanted.groupBy("nil", "id", "k1", "k2").agg(F.collect_list("ask").alias("asks")))
     k1, k2 = _keys(text)
@@ -372,45 +380,48 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     shown = with_filter(docs, wanted, "k1").where("__maybe").join(wanted, ["nil", "id", "k1", "k2"]).select("text", "asks")
 
     def cut(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "piece")}
+        out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "w", "piece")}
         for t, asks in zip(cols["text"], cols["asks"], strict=True):
             raw = t.encode()
             for a in asks:
-                for c in ("shard", "hot", "d1", "d2", "many"):
+                for c in ("shard", "hot", "d1", "d2", "many", "w"):
                     out[c].append(a[c])
                 out["piece"].append(raw[a["start"] : a["start"] + a["size"]])
         return out
 
-    pieces = arrow_pass(shown, cut, "shard long, hot boolean, d1 long, d2 long, many boolean, piece binary")
+    pieces = arrow_pass(shown, cut, "shard long, hot boolean, d1 long, d2 long, many boolean, w boolean, piece binary")
     some_hot = hot.limit(1).count() > 0
     if some_hot:
         pieces = cut_lineage(pieces)
     sorted_in = pieces.where("not hot").repartition("shard").sortWithinPartitions("shard", "d1", "d2")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, known, out = None, {}, set(), []
+        shard, held, known, out = None, ({}, {}), set(), []
+        ranges = lambda: _ranges(held[0], known, lambda pieces: _byte_hits(pieces, length)) + _ranges(held[1], known, lambda pieces: _word_hits(pieces, words))
         for b in batches:
-            for s, d1, d2, many, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "piece")], strict=True):
+            for s, d1, d2, many, w, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "w", "piece")], strict=True):
                 if s != shard:
-                    out += _ranges(held, length, words, known)
-                    shard, held, known = s, {}, set()
-                held[d1, d2] = piece
+                    out += ranges()
+                    shard, held, known = s, ({}, {}), set()
+                held[w][d1, d2] = piece
                 if many:
                     known.add((d1, d2))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
                 out = []
-        out += _ranges(held, length, words, known)
+        out += ranges()
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
 
     found = sorted_in.mapInArrow(search, "d1 long, d2 long, a long, b long")
     if some_hot:
-        found = found.unionByName(_counted(pieces.where("hot"), length, words))
+        for kind, size in ((False, length), (True, words)):
+            if size:
+                found = found.unionByName(_counted(pieces.where("hot").where(F.col("w") == kind), length, words * kind))
     # one row for a piece with all its ranges meets one row for a text with all places of that piece
     flagged = cut_lineage(whole.unionByName(found).groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
-    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"))
-    at = lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b")))
+    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"), F.max("w").alias("w"))
+    at = lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b"), F.col("w").alias("w")))
     spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.flatten(F.transform("starts", at)).alias("spans"))
     return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -418,31 +429,33 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
 _RANGE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _ranges(held: dict[tuple[int, int], bytes], length: int, words: int = 0, known: set = frozenset()) -> list[dict]:
-    """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover; pieces in ``known`` are
-    repeated from end to end and give none."""
-    out = []
-    if len(held) == len(known):
-        return out
-    if len(held) > 1 and words:
-        s, names = word_strings(list(held.values()), words), list(held)
-        order = np.lexsort((s["w2"], s["w1"]))
-        same = (np.diff(s["w1"][order]) == 0) & (np.diff(s["w2"][order]) == 0)
-        hit = np.sort(order[np.append(same, False) | np.append(False, same)])
-        # strings of one piece that start with words in a row make one range
-        first = np.flatnonzero(np.append(True, (np.diff(s["i"][hit]) > 1) | (np.diff(s["piece"][hit]) > 0))) if len(hit) else hit
-        last = np.append(first[1:], len(hit)) - 1 if len(hit) else hit
-        for p, a, b in zip(s["piece"][hit[first]].tolist(), s["a"][hit[first]].tolist(), s["b"][hit[last]].tolist(), strict=True):
-            if names[p] not in known:
-                out.append({"d1": names[p][0], "d2": names[p][1], "a": a, "b": b})
-    elif len(held) > 1:
-        for (d1, d2), hit in zip(held, repeated_starts(list(held.values()), length), strict=True):
-            if (d1, d2) in known:
-                continue
-            edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                out.append({"d1": d1, "d2": d2, "a": a, "b": b - 1 + length})
-    return out
+def _ranges(held: dict[tuple[int, int], bytes], known: set, hits) -> list[dict]:
+    """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover, as ``hits`` has them for
+    each piece; pieces in ``known`` are repeated from end to end and give none."""
+    if len(held) < 2 or held.keys() <= known:
+        return []
+    names = list(held)
+    return [{"d1": names[p][0], "d2": names[p][1], "a": a, "b": b} for p, a, b in hits(list(held.values())) if names[p] not in known]
+
+
+def _byte_hits(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
+    """(piece, first byte, end) of runs of repeated strings of ``length`` bytes."""
+    for p, hit in enumerate(repeated_starts(pieces, length)):
+        edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+            yield p, a, b - 1 + length
+
+
+def _word_hits(pieces: list[bytes], words: int) -> Iterator[tuple[int, int, int]]:
+    """The same for strings of ``words`` words; strings of one piece that start with words in a row make one run."""
+    s = word_strings(pieces, words)
+    order = np.lexsort((s["w2"], s["w1"]))
+    same = (np.diff(s["w1"][order]) == 0) & (np.diff(s["w2"][order]) == 0)
+    hit = np.sort(order[np.append(same, False) | np.append(False, same)])
+    if len(hit):
+        first = np.flatnonzero(np.append(True, (np.diff(s["i"][hit]) > 1) | (np.diff(s["piece"][hit]) > 0)))
+        last = np.append(first[1:], len(hit)) - 1
+        yield from zip(s["piece"][hit[first]].tolist(), s["a"][hit[first]].tolist(), s["b"][hit[last]].tolist(), strict=True)
 
 
 def _counted(pieces: DataFrame, length: int, words: int = 0) -> DataFrame:
@@ -478,10 +491,10 @@ def _counted(pieces: DataFrame, length: int, words: int = 0) -> DataFrame:
     return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal ranges of spans that touch or overlap."""
+def merged(spans: list[dict] | None, w: bool | None = None) -> list[tuple[int, int]]:
+    """Maximal ranges of spans that touch or overlap; with ``w``, of one kind alone."""
     out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or []):
+    for a, b in sorted((s["a"], s["b"]) for s in spans or [] if w is None or s["w"] == w):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -489,13 +502,10 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(df: DataFrame, text: str = "text", words: int = 0, **how) -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", **how) -> DataFrame:
     """``df`` with __spans, null where a text has no repeats. Only texts that a bit filter finds likely to have spans
-    move for the join. With ``words``, strings of that many words count as well as those of ``length`` bytes."""
+    move for the join."""
     spans = repeated_spans(df, text, **how)
-    if words:
-        spans = spans.unionByName(repeated_spans(df, text, words=words, **how))
-        spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = cut_lineage(spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}))
     k1, k2 = _keys(text)
     keyed = with_filter(df.withColumn("__k1", k1).withColumn("__k2", k2), spans, "__k1")
@@ -506,22 +516,27 @@ def with_spans(df: DataFrame, text: str = "text", words: int = 0, **how) -> Data
 
 
 def removal_digest(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of what is left, for each row."""
+    """doc_id, n_bytes, n_removed, n_spans and the digest of what is left, for each row, of strings of ``length`` bytes.
+
+    With ``words``, n_passages and n_passage_bytes count the maximal runs of strings of that many words that start
+    elsewhere too; a passage of a little over 50 words can be shorter than ``length`` bytes. They are zero without.
+    """
 
     def run(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes")}
         for d, t, spans in zip(cols["doc_id"], cols["text"], cols["__spans"], strict=True):
-            raw, left, at, gone = (t or "").encode(), hashlib.sha256(), 0, merged(spans)
+            raw, left, at, gone = (t or "").encode(), hashlib.sha256(), 0, merged(spans, False)
+            passages = merged(spans, True)
             for a, b in gone:
                 left.update(raw[at:a])
                 at = b
             left.update(raw[at:])
-            for c, v in zip(out, (d, len(raw), sum(b - a for a, b in gone), len(gone), left.hexdigest()), strict=True):
+            for c, v in zip(out, (d, len(raw), sum(b - a for a, b in gone), len(gone), left.hexdigest(), len(passages), sum(b - a for a, b in passages)), strict=True):
                 out[c].append(v)
         return out
 
     own = with_spans(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "text", **how)
-    return arrow_pass(own, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_pass(own, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
 
 
 def without_repeats(df: DataFrame, text: str = "text", **how) -> DataFrame:

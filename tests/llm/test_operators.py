@@ -163,8 +163,13 @@ def brute_removed(rows, length):
 
 @pytest.mark.parametrize("hot", [1 << 23, 600])
 def test_suffix_dedup(docs, rows, none, hot):
-    got = suffix.removal_digest(docs, hot_bytes=hot, shard_bytes=4000).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, *r[1:]) for r in got) == brute_removed(rows, 400)
+    got = suffix.removal_digest(docs, words=51, hot_bytes=hot, shard_bytes=4000).collect()
+    key = lambda d: -1 if d is None else d
+    assert sorted((key(r.doc_id), *r[1:5]) for r in got) == brute_removed(rows, 400)
+    passages = [(key(t[0]), sum(b - 1 not in g for b in g), len(g)) for t, g in zip(rows, brute_word_ranges(rows, 51), strict=True)]
+    assert sorted((key(r.doc_id), r.n_passages, r.n_passage_bytes) for r in got) == sorted(passages) and max(passages, key=lambda x: x[2])[2] > 0
+    alone = suffix.removal_digest(docs, hot_bytes=hot, shard_bytes=4000).collect()
+    assert sorted((key(r.doc_id), *r[1:]) for r in alone) == [(*r, 0, 0) for r in brute_removed(rows, 400)]
     if hot > 600:
         cut = suffix.without_repeats(docs)
         assert cut.columns == docs.columns and cut.where("doc_id = 50 and text is null").count() == 1
@@ -486,7 +491,7 @@ def test_repeats_in_words(spark, rows, hot):
     rows = rows + more + [row(210, "s" + passage + " " + text(60)), row(211, text(9) + " " + passage + "s")]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     for n in (51, 12):
-        spans = suffix.repeated_spans(docs, words=n, hot_bytes=hot, shard_bytes=4000)
+        spans = suffix.repeated_spans(docs, length=0, words=n, hot_bytes=hot, shard_bytes=4000)
         keyed = docs.select("doc_id", "text", *[c.alias(k) for c, k in zip(suffix._keys("text"), ("k1", "k2"))])
         got = keyed.join(spans, ["k1", "k2"], "left").collect()
         found = sorted((x.doc_id or -1, x.text or "", sorted({b for a, e in suffix.merged(x.spans) for b in range(a, e)})) for x in got)
