@@ -518,8 +518,8 @@ def with_spans(df: DataFrame, text: str = "text", **how) -> DataFrame:
 def removal_digest(df: DataFrame, text: str = "text", **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of what is left, for each row, of strings of ``length`` bytes.
 
-    With ``words``, n_passages and n_passage_bytes count the maximal runs of strings of that many words that start
-    elsewhere too; a passage of a little over 50 words can be shorter than ``length`` bytes. They are zero without.
+    With ``words``, n_passages and n_passage_bytes follow: maximal runs of strings of that many words that start
+    elsewhere too, since a passage of a little over 50 words can be shorter than ``length`` bytes.
     """
 
     def run(cols: dict) -> dict:
@@ -536,7 +536,8 @@ def removal_digest(df: DataFrame, text: str = "text", **how) -> DataFrame:
         return out
 
     own = with_spans(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "text", **how)
-    return arrow_pass(own, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+    out = arrow_pass(own, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long")
+    return out if how.get("words") else out.drop("n_passages", "n_passage_bytes")
 
 
 def without_repeats(df: DataFrame, text: str = "text", **how) -> DataFrame:
