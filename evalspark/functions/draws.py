@@ -13,8 +13,8 @@ from evalspark.functions.text import bind
 PRIME = 2147483647  # 2^31 - 1: products of two residues fit a 64-bit integer
 
 
-def draw(seed: int, *keys: Column) -> Column:
-    """Pseudo-random integer in [0, PRIME) for the integer ``keys``."""
+def draw(seed: int | Column, *keys: Column) -> Column:
+    """Pseudo-random integer in [0, PRIME) for the integer ``keys``; ``seed`` may be the draw of earlier keys."""
     prime = F.lit(PRIME).cast("long")
     x = F.lit(seed).cast("long")
     for k in keys:

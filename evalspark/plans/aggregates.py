@@ -195,54 +195,62 @@ def all_correct(t: Tables):
 
 # --- bootstrap --------------------------------------------------------------------------------------
 
-ITERS, BLEU_ITERS = 1000, 100
-WEIGHT = "(" + " + ".join(f"(u >= {b})::INT" for b in S.poisson_bounds()) + ")"
+ITERS, PERPLEXITY_ITERS, BLEU_ITERS = 100_000, 1000, 100
 
 
-def boot_sql(src: str, key: str, cols: str, seed: int, iters: int = ITERS) -> str:
-    return f"""reps AS (SELECT {cols}, rep, {sql_draw(seed, key, 'rep')} AS u FROM {src}, range({iters}) r(rep)), wt AS (SELECT *, {WEIGHT} AS w FROM reps)"""
+def boot_sql(src: str, key: str, by: str, cols: str, seed: int, iters: int = ITERS) -> str:
+    """Classes of equal rows, the table of each count by its recursion, and an as-of join of draws with bounds."""
+    at = ", ".join(x for x in (by, cols) if x)
+    return f"""cls AS (SELECT {at}, count(*) AS n, min({key}) AS k FROM {src} GROUP BY {at}),
+  prt AS (SELECT *, least({S.PART}, n - part * {S.PART}) AS c FROM (SELECT *, unnest(range(0, (n - 1) // {S.PART} + 1)) AS part FROM cls)),
+  trm(c, i, q, cum) AS (SELECT DISTINCT c, greatest(0, floor(c - 8 * sqrt(c)) - 8)::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE FROM prt
+    UNION ALL SELECT c, i + 1, q * c::DOUBLE / (i + 1)::DOUBLE, cum + q * c::DOUBLE / (i + 1)::DOUBLE FROM trm WHERE i < ceil(c + 10 * sqrt(c))::BIGINT + 20),
+  bnd AS (SELECT c, floor(cum / max(cum) OVER (PARTITION BY c) * {PRIME})::BIGINT AS b, i + 1 AS w FROM trm),
+  tab AS (SELECT c, b, max(w) AS w FROM bnd GROUP BY c, b UNION ALL SELECT c, -1, min(w) - 1 FROM bnd GROUP BY c),
+  drw AS (SELECT prt.*, rep, {sql_draw(seed, 'k', 'part', 'rep')} AS u FROM prt, range({iters}) r(rep)),
+  wt AS (SELECT drw.*, tab.w FROM drw ASOF JOIN tab ON drw.c = tab.c AND drw.u >= tab.b)"""
 
 
 @query(
     "bootstrap_mean",
-    f"WITH {ARG_SQL}, {boot_sql('scored', 'doc_id', 'lang, acc', 7)} SELECT lang, round(stddev_samp(m), 6) AS stderr FROM (SELECT lang, rep, sum(acc * w) / sum(w) AS m FROM wt WHERE w > 0 GROUP BY ALL) GROUP BY lang HAVING count(*) > 1",
+    f"WITH RECURSIVE {ARG_SQL}, {boot_sql('scored', 'doc_id', 'lang', 'acc', 7)} SELECT lang, round(stddev_samp(m), 6) AS stderr FROM (SELECT lang, rep, sum(acc * w) / sum(w) AS m FROM wt WHERE w > 0 GROUP BY ALL) GROUP BY lang HAVING count(*) > 1",
 )
 def bootstrap_mean(t: Tables):
     s = C.choice_scores(choice_rows(t), ["doc_id", "lang"])
-    b = S.bootstrap_stderr(s, ["lang"], ["doc_id"], {"x": F.col("acc")}, lambda c: c["x"] / c["w"], ITERS, 7)
+    b = S.bootstrap_stderr(s, ["lang"], "doc_id", {"x": F.col("acc")}, lambda c: c["x"] / c["w"], ITERS, 7)
     return rnd(b.where(F.col("stderr").isNotNull()), "stderr")
 
 
 @query(
     "bootstrap_perplexity",
-    f"WITH {ARG_SQL}, ll AS (SELECT doc_id, max(loglik) AS ll FROM mc GROUP BY doc_id), {boot_sql('ll', 'doc_id', 'll', 11)} SELECT round(stddev_samp(m), 6) AS stderr FROM (SELECT rep, exp(-sum(ll * w) / sum(w)) AS m FROM wt WHERE w > 0 GROUP BY ALL)",
+    f"WITH RECURSIVE {ARG_SQL}, ll AS (SELECT doc_id, max(loglik) AS ll FROM mc GROUP BY doc_id), {boot_sql('ll', 'doc_id', '', 'll', 11, PERPLEXITY_ITERS)} SELECT round(stddev_samp(m), 6) AS stderr FROM (SELECT rep, exp(-sum(ll * w) / sum(w)) AS m FROM wt WHERE w > 0 GROUP BY ALL)",
 )
 def bootstrap_perplexity(t: Tables):
     s = choice_rows(t).groupBy("doc_id").agg(F.max("loglik").alias("ll"))
-    return rnd(S.bootstrap_stderr(s, [], ["doc_id"], {"x": F.col("ll")}, lambda c: F.exp(-c["x"] / c["w"]), ITERS, 11), "stderr")
+    return rnd(S.bootstrap_stderr(s, [], "doc_id", {"x": F.col("ll")}, lambda c: F.exp(-c["x"] / c["w"]), PERPLEXITY_ITERS, 11), "stderr")
 
 
 @query(
     "bootstrap_f1_mcc",
-    f"""WITH {BINARY_SQL}, {boot_sql('bin', 'doc_id', 'gold, pred', 3)}, s AS (SELECT rep, sum(w * gold * pred)::DOUBLE AS tp, sum(w * gold)::DOUBLE AS g, sum(w * pred)::DOUBLE AS p, sum(w)::DOUBLE AS n FROM wt WHERE w > 0 GROUP BY rep)
+    f"""WITH RECURSIVE {BINARY_SQL}, {boot_sql('bin', 'doc_id', '', 'gold * pred AS tp, gold, pred', 3).replace('GROUP BY gold * pred AS tp, gold, pred', 'GROUP BY ALL')}, s AS (SELECT rep, sum(w * gold * pred)::DOUBLE AS tp, sum(w * gold)::DOUBLE AS g, sum(w * pred)::DOUBLE AS p, sum(w)::DOUBLE AS n FROM wt WHERE w > 0 GROUP BY rep)
         SELECT round(stddev_samp(2 * tp / nullif(g + p, 0)), 6) AS f1_stderr, round(stddev_samp((n * tp - g * p) / nullif(sqrt(g * (n - g) * p * (n - p)), 0)), 6) AS mcc_stderr FROM s""",
 )
 def bootstrap_f1_mcc(t: Tables):
     sums = {"tp": F.col("gold") * F.col("pred"), "g": F.col("gold"), "p": F.col("pred")}
-    f1 = S.bootstrap_stderr(binary(t), [], ["doc_id"], sums, lambda c: F.try_divide(2.0 * c["tp"], c["g"] + c["p"]), ITERS, 3)
+    f1 = S.bootstrap_stderr(binary(t), [], "doc_id", sums, lambda c: F.try_divide(2.0 * c["tp"], c["g"] + c["p"]), ITERS, 3)
 
     def mcc(c):
         tp, g, p, n = (c[k].cast("double") for k in ("tp", "g", "p", "w"))
         return F.try_divide(n * tp - g * p, F.sqrt(g * (n - g) * p * (n - p)))
 
-    m = S.bootstrap_stderr(binary(t), [], ["doc_id"], sums, mcc, ITERS, 3).withColumnRenamed("stderr", "mcc_stderr")
+    m = S.bootstrap_stderr(binary(t), [], "doc_id", sums, mcc, ITERS, 3).withColumnRenamed("stderr", "mcc_stderr")
     both = f1.withColumn("j", F.lit(1)).join(m.withColumn("j", F.lit(1)), "j")
     return both.select(F.round("stderr", 6).alias("f1_stderr"), F.round("mcc_stderr", 6).alias("mcc_stderr"))
 
 
 @query(
     "bootstrap_bleu",
-    f"""WITH {bleu_sql()}, {boot_sql('bc', 'conv_id * 1000 + turn', 'c1, c2, c3, c4, t1, t2, t3, t4, sys_len, ref_len', 5, BLEU_ITERS)},
+    f"""WITH RECURSIVE {bleu_sql()}, {boot_sql('bc', 'conv_id * 1000 + turn', '', 'c1, c2, c3, c4, t1, t2, t3, t4, sys_len, ref_len', 5, BLEU_ITERS)},
       s AS (SELECT rep, {', '.join(f'sum(w * {x}{n})::DOUBLE AS {x}{n}' for x in 'ct' for n in range(1, 5))}, sum(w * sys_len)::DOUBLE AS sys_len, sum(w * ref_len)::DOUBLE AS ref_len FROM wt WHERE w > 0 GROUP BY rep),
       z AS (SELECT *, (c1 = 0)::INT AS z1, (c1 = 0)::INT + (c2 = 0)::INT AS z2, (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT AS z3, (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT + (c4 = 0)::INT AS z4 FROM s)
       SELECT round(stddev_samp(CASE WHEN t4 = 0 OR c1 + c2 + c3 + c4 = 0 THEN 0 ELSE (CASE WHEN sys_len >= ref_len THEN 1 ELSE exp(1 - ref_len / sys_len) END) *
@@ -251,7 +259,7 @@ def bootstrap_f1_mcc(t: Tables):
 def bootstrap_bleu(t: Tables):
     c = Q.pair_bleu_counts(t).withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
     names = [f"{x}{n}" for x in "ct" for n in range(1, 5)] + ["ref_len", "sys_len"]
-    b = S.bootstrap_stderr(c, [], ["k"], {n: F.col(n) for n in names}, O.bleu_score, BLEU_ITERS, 5)
+    b = S.bootstrap_stderr(c, [], "k", {n: F.col(n) for n in names}, O.bleu_score, BLEU_ITERS, 5)
     return rnd(b, "stderr", n=5)
 
 

@@ -215,11 +215,34 @@ def test_pooled_stderr_close_to_concatenated(spark):
 
 def test_bootstrap_near_closed_form(spark):
     s = spark.range(1000).select("id", (F.pmod(F.col("id") * 7919, F.lit(1000)) / 1000.0).alias("v"))
-    b = B.bootstrap_stderr(s, [], ["id"], {"x": F.col("v")}, lambda c: c["x"] / c["w"], iters=400, seed=1).first()[0]
+    b = B.bootstrap_stderr(s, [], "id", {"x": F.col("v")}, lambda c: c["x"] / c["w"], iters=400, seed=1).first()[0]
     closed = s.agg(A.mean_stderr(F.col("v"))).first()[0]
     assert b == pytest.approx(closed, rel=0.15)
 
 
+def test_poisson_table_inverts_the_distribution(spark):
+    for c, rows in {c: B.poisson_table(spark.createDataFrame([(c,)], "_c long")).orderBy("_at").collect() for c in (1, 50, 3000)}.items():
+        assert len(rows) == 1024
+        p = np.exp(-c + np.cumsum([0.0, *np.log(c / np.arange(1, 8 * c + 40))]))
+        cdf = dict(enumerate(np.cumsum(p)))
+        for r in rows:
+            for i, b in enumerate(r._bounds):  # from this draw on the weight is above low + i
+                k = r._low + i
+                assert b == B.PRIME or abs(b / B.PRIME - cdf.get(k, 1.0)) < 1e-8
+
+
+def test_bootstrap_weights_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(B, "PART", 64)
+    classes = spark.createDataFrame([(1, 1000, None), (2, 63, "a"), (3, 1, "b")], "k long, n long, tag string")
+    each = B.replicates(classes, "k", "n", 3000, 5).groupBy("k", "replicate").agg(F.sum("w").alias("w"))
+    w = each.groupBy("k").agg(F.sum("w").alias("s"), F.sum(F.col("w") ** 2).alias("q"), F.count("*").alias("r"))
+    for r in w.collect():
+        n = {1: 1000, 2: 63, 3: 1}[r.k]
+        mean = r.s / 3000
+        assert mean == pytest.approx(n, abs=5 * (n / 3000) ** 0.5) and r.q / 3000 - mean**2 == pytest.approx(n, rel=0.15)
+        assert r.r == 3000 or n == 1
+
+
 def test_single_row_group_has_no_stderr(spark):
     s = spark.createDataFrame([("a", 1.0)], "task string, value double")
     r = A.summarize(s, ["task"]).first()
