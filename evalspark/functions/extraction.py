@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.templates import letter_mark
 from evalspark.functions.text import bind, lstrip, strip
 
 INVALID = "[invalid]"
@@ -68,13 +69,13 @@ def choice_answer(
             c = F.lower(c)
         return F.regexp_replace(c, r"\p{P}", "") if ignore_punctuation else c
 
-    letters = F.transform(choices, lambda c, i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), i + 1, F.lit(1)))
+    letters = F.transform(choices, lambda c, i: letter_mark(i))
     texts = F.transform(choices, lambda c: ignored(strip(c)))
     by_pattern = _pick(_all_matches(text, pattern, re.compile(pattern).groups), group_select)
     found = _pick(F.regexp_extract_all(ignored(text), F.array_join(F.transform(texts, quote_pattern), "|"), F.lit(0)), group_select)
     last_at = F.size(texts) - F.array_position(F.reverse(texts), found) + 1
     by_text = F.when(F.array_contains(texts, found), F.concat(F.lit("("), F.element_at(letters, F.greatest(last_at, F.lit(1)).cast("int")), F.lit(")"))).otherwise(found)
-    letter = _pick(F.regexp_extract_all(text, F.concat(F.lit(r"(?U):[\s]*("), F.array_join(letters, "|"), F.lit(")")), F.lit(1)), group_select)
+    letter = _pick(F.regexp_extract_all(text, F.concat(F.lit(r"(?U):[\s]*("), F.array_join(F.reverse(letters), "|"), F.lit(")")), F.lit(1)), group_select)
     some = lambda c: F.nullif(c, F.lit(""))
     return F.coalesce(some(by_pattern), some(by_text), F.concat(F.lit("("), some(letter), F.lit(")")), F.lit(fallback))
 

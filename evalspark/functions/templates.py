@@ -8,12 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Option marks by position.
-NUMERALS = [str(i) for i in range(1, 27)]
-ROMAN = (
-    "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX XXI XXII XXIII XXIV XXV XXVI"
-).split()
+
+def roman(n: int) -> str:
+    """Roman numeral of a number below 100."""
+    tens = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"]
+    ones = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+    return tens[n // 10] + ones[n % 10]
+
+
+NUMERALS, ROMAN = [str(i) for i in range(1, 100)], [roman(i) for i in range(1, 100)]
+
+
+def letter_mark(i: Column, lower: bool = False) -> Column:
+    """A to Z by position, then AA, AB, …"""
+    first = ord("a" if lower else "A")
+    return F.concat(F.when(i < 26, "").otherwise(F.char(F.lit(first - 1) + F.floor(i / 26))), F.char(F.lit(first) + i % 26))
 
 
 def render(template: str, fields: list[str] | None = None) -> Column:
@@ -60,7 +69,8 @@ def as_list(text: Column) -> Column:
 
 
 def mark(values: list[str], i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+    """The mark of a position; beyond the list its number."""
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(v) for v in values]), i + 1), (i + 1).cast("string"))
 
 
 def render_options(options: Column, fmt: Column) -> Column:
@@ -71,8 +81,8 @@ def render_options(options: Column, fmt: Column) -> Column:
         for name, value in (
             ("{roman_numeral}", mark(ROMAN, i)),
             ("{numeral}", mark(NUMERALS, i)),
-            ("{letter}", F.substring(F.lit(UPPER), i + 1, F.lit(1))),
-            ("{lower_case_letter}", F.substring(F.lit(UPPER.lower()), i + 1, F.lit(1))),
+            ("{letter}", letter_mark(i)),
+            ("{lower_case_letter}", letter_mark(i, lower=True)),
             ("{option}", o),
         ):
             out = F.replace(out, F.lit(name), value)
@@ -107,7 +117,7 @@ GREEK_ANSWER = ".\n\nΑπάντηση:"
 
 def question_block(question: Column, choices: Column, passage: Column) -> Column:
     """Passage (when there is one), question, and lettered choices."""
-    listed = F.array_join(F.transform(choices, lambda c, i: F.concat(F.substring(F.lit(UPPER), i + 1, F.lit(1)), F.lit(". "), c)), "\n")
+    listed = F.array_join(F.transform(choices, lambda c, i: F.concat(letter_mark(i), F.lit(". "), c)), "\n")
     head = F.when(F.coalesce(passage, F.lit("")) != "", F.concat(F.lit(GREEK_PASSAGE), passage, F.lit("\n\n"))).otherwise("")
     return F.concat(head, F.lit(GREEK_QUESTION), question, F.lit("\n\n"), listed)
 
@@ -122,7 +132,7 @@ def greek_prompt(question: Column, choices: Column, passage: Column, shots: Colu
             F.lit("\n\n" + GREEK_FINAL), s["target"], F.lit("}"),
         ),
     )
-    letters = F.array_join(F.transform(choices, lambda c, i: F.substring(F.lit(UPPER), i + 1, F.lit(1))), ", ")
+    letters = F.array_join(F.transform(choices, lambda c, i: letter_mark(i)), ", ")
     with_shots = F.concat(F.array(F.lit(GREEK_EXAMPLES)), examples, F.array(F.lit(GREEK_NOW)))
     parts = F.concat(
         F.array(F.lit(GREEK_INSTRUCTION)),

@@ -197,13 +197,14 @@ def normal_sf(z: Column) -> Column:
 
 
 def z_test(a: DataFrame, b: DataFrame, on: list[str], alpha: float = 0.05) -> DataFrame:
-    """Two models' values per task: Z, two-sided p and a mark where p exceeds ``alpha``."""
+    """Two models' values per task: Z, two-sided p and a mark where p exceeds ``alpha``. A task of one row has no error
+    and so neither Z, p nor mark."""
     pick = lambda d, s: d.select(*on, F.col("value").alias(f"value_{s}"), F.col("stderr").alias(f"stderr_{s}"))
     j = pick(a, "a").join(pick(b, "b"), on)
     den = F.sqrt(F.col("stderr_a") * F.col("stderr_a") + F.col("stderr_b") * F.col("stderr_b"))
     z = F.when(den > 0, (F.col("value_a") - F.col("value_b")) / den)
     out = j.withColumn("z", z).withColumn("p", 2 * normal_sf(F.abs("z")))
-    return out.withColumn("same", F.when(F.col("p") > alpha, "✓").otherwise("×"))
+    return out.withColumn("same", F.when(den.isNotNull(), F.when(F.col("p") > alpha, "✓").otherwise("×")))
 
 
 def regression_table(base: DataFrame, branch: DataFrame, on: list[str]) -> DataFrame:

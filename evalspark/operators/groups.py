@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from evalspark.operators.ordering import top_per_group
 from evalspark.session import ensure_checkpoint_dir
 
-PATHS = """
-WITH RECURSIVE walk(ancestor, node, depth, path) AS (
-  SELECT parent, child, 1, concat(parent, ' > ', child) FROM {edges}
-  UNION ALL
-  SELECT w.ancestor, e.child, w.depth + 1, concat(w.path, ' > ', e.child) FROM walk w JOIN {edges} e ON w.node = e.parent
-)
-SELECT ancestor, node, depth, path FROM walk
-"""
-
-
 def descendants(edges: DataFrame) -> DataFrame:
-    """``(ancestor, node, depth, path)`` of every pair in a ``(parent, child)`` tree."""
+    """``(ancestor, node, depth, path)`` of every walk down a ``(parent, child)`` tree or graph without cycles.
+
+    Walks double: those of 2^k steps, followed by all that are not longer, give all up to 2^(k+1), each once. So a
+    chain of any depth takes about log2 of its depth rounds, without limits on depth or rows. A cycle, whose walks
+    would not end, is an error that names nodes on it.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
-    # Every level of the recursion reads the edges again: derive them once.
-    return edges.sparkSession.sql(PATHS, edges=edges.distinct().checkpoint())
+
+    def then(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.select(F.col("ancestor").alias("node"), F.col("node").alias("_end"), F.col("depth").alias("_more"), F.col("path").alias("_rest"))
+        tail = F.substr(F.col("_rest"), F.length("node") + 1)
+        return a.join(b, "node").select("ancestor", F.col("_end").alias("node"), (F.col("depth") + F.col("_more")).alias("depth"), F.concat("path", tail).alias("path"))
+
+    step = edges.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct()
+    walks = longest = step.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("depth"), F.concat_ws(" > ", "parent", "child").alias("path")).checkpoint()
+    while True:
+        closed = [r[0] for r in walks.where("ancestor = node").select("node").distinct().limit(5).collect()]
+        if closed:
+            raise ValueError(f"groups form a cycle through {', '.join(map(str, sorted(closed)))}")
+        if not longest.limit(1).count():
+            return walks
+        walks, longest = walks.unionByName(then(longest, walks)).checkpoint(), then(longest, longest).checkpoint()
 
 
 def leaf_pairs(edges: DataFrame) -> DataFrame:
@@ -57,19 +65,23 @@ def group_scores(results: DataFrame, pairs: DataFrame, by: list[str]) -> DataFra
 
 
 def combined_stderr(results: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Pairwise fold of sizes, means and variances in task order (one entry per subtask)."""
+    """Pairwise fold of sizes, means and variances in task order (one entry per subtask).
+
+    A task of one row has no error of its own and adds only its distance; a group of one row has none at all.
+    """
     item = F.struct("task", F.col("value"), F.col("stderr"), F.col("n").cast("double").alias("n"))
     g = pairs.join(results, "task").groupBy("group", *by).agg(F.array_sort(F.collect_list(item)).alias("xs"))
     first = F.element_at("xs", 1)
-    start = F.struct(first["value"].alias("m"), (first["stderr"] * first["stderr"]).alias("var"), first["n"].alias("n"))
+    start = F.struct(first["value"].alias("m"), F.coalesce(first["stderr"] * first["stderr"], F.lit(0.0)).alias("var"), first["n"].alias("n"))
 
     def fold(a: Column, x: Column) -> Column:
         n, mean = a["n"] + x["n"], (a["m"] * a["n"] + x["value"] * x["n"]) / (a["n"] + x["n"])
-        var = ((a["n"] - 1) * a["var"] + (x["n"] - 1) * x["stderr"] * x["stderr"]) / (n - 1) + a["n"] * x["n"] / (n * (n - 1)) * (mean - x["value"]) * (mean - x["value"])
+        var = ((a["n"] - 1) * a["var"] + (x["n"] - 1) * F.coalesce(x["stderr"] * x["stderr"], F.lit(0.0))) / (n - 1) + a["n"] * x["n"] / (n * (n - 1)) * (mean - x["value"]) * (mean - x["value"])
         return F.struct(mean.alias("m"), var.alias("var"), n.alias("n"))
 
     rest = F.slice(F.col("xs"), F.lit(2), F.size("xs"))
-    return g.select("group", *by, F.sqrt(F.aggregate(rest, start, fold)["var"]).alias("combined_stderr"))
+    whole = g.withColumn("_whole", F.aggregate(rest, start, fold))
+    return whole.select("group", *by, F.when(F.col("_whole.n") > 1, F.sqrt("_whole.var")).alias("combined_stderr"))
 
 
 def group_difference(results: DataFrame, pairs: DataFrame, by: list[str], order: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import byte_count, word_count
+from evalspark.operators.ordering import running_sum
 from evalspark.registry import METRICS
 
 
@@ -167,3 +168,34 @@ def best_true_and_false(scores: DataFrame, keys: list[str], metric: str) -> Data
 
 def union_long(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def abstention_summary(df: DataFrame, by: list[str] | None = None, threshold: float = 1.0) -> DataFrame:
+    """Scores in percent where a question may have no answer: rows of (by…, has_answer, answered, exact, f1, na_prob).
+
+    ``exact`` and ``f1`` are scores of the prediction itself; above the ``threshold`` of its no-answer probability a
+    row counts as unanswered. ``best_*`` is the highest value over all thresholds: rows are taken in as answered by
+    rising probability, rows of equal probability at once, since no threshold can part them. Beginning with all
+    unanswerable questions right, an answered row adds its score and an unanswerable one costs its answer. Parts
+    without rows are null. Counts per probability are summed over range partitions, so no order is made in one task.
+    """
+    by, names = by or [], ["exact", "f1"]
+    has, p = F.col("has_answer"), F.col("na_prob")
+    final = {n: F.when(p > threshold, F.when(has, 0.0).otherwise(1.0)).otherwise(F.col(n).cast("double")) for n in names}
+    totals = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~has).alias("_none"),
+        *[(100 * F.avg(final[n])).alias(n) for n in names],
+        *[(100 * F.avg(F.when(has, final[n]))).alias(f"has_ans_{n}") for n in names],
+        *[(100 * F.avg(F.when(~has, final[n]))).alias(f"no_ans_{n}") for n in names],
+    )
+    gain = lambda n: F.when(has, F.col(n).cast("double")).when(F.col("answered"), -1.0).otherwise(0.0)
+    steps = df.groupBy(*by, "na_prob").agg(*[F.sum(gain(n)).alias(f"_g_{n}") for n in names])
+    for n in names:
+        steps = running_sum(steps, [*by, "na_prob"], f"_g_{n}", f"_r_{n}")
+    # the sums run over all groups: what was there before a group's first row is taken off
+    tops = steps.groupBy(*by).agg(*[(F.max(f"_r_{n}") - F.min_by(F.col(f"_r_{n}") - F.col(f"_g_{n}"), "na_prob")).alias(f"_t_{n}") for n in names])
+    keyed = lambda d, *rest: d.select(F.struct(F.lit(0).alias("_"), *by).alias("_key"), *rest)  # noqa: E731  a null group stays a group
+    both = totals.withColumn("_key", F.struct(F.lit(0).alias("_"), *by)).join(keyed(tops, *[f"_t_{n}" for n in names]), "_key")
+    best = [(100 * (F.col("_none") + F.greatest(F.lit(0.0), F.col(f"_t_{n}"))) / F.col("n")).alias(f"best_{n}") for n in names]
+    return both.select(*by, "n", *names, *[f"{k}_ans_{n}" for k in ("has", "no") for n in names], *best)

@@ -301,23 +301,23 @@ def group_scores(t: Tables):
 
 @query(
     "group_scores_multi",
-    f"""WITH {LONG_SQL}, {EDGES_SQL} SELECT grp AS "group", metric, round(sum(value * n) / sum(n), 6) AS value, round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) AS stderr
-        FROM leafs JOIN results USING (task) WHERE n > 1 GROUP BY grp, metric""",
+    f"""WITH {LONG_SQL}, {EDGES_SQL} SELECT grp AS "group", metric, round(sum(value * n) / sum(n), 6) AS value, CASE WHEN count(stderr) = count(*) THEN round(sqrt(sum((n - 1) * stderr * stderr * n) / (sum(n) - count(*)) / sum(n)), 6) END AS stderr
+        FROM leafs JOIN results USING (task) GROUP BY grp, metric""",
 )
 def group_scores_multi(t: Tables):
-    r = results(t).where(F.col("n") > 1)
+    r = results(t)
     return rnd(H.group_scores(r, H.leaf_pairs(edges(t)), ["metric"]).select("group", "metric", "value", "stderr"), "value", "stderr")
 
 
 @query(
     "combined_stderr",
-    f"""WITH {LONG_SQL}, {EDGES_SQL} SELECT grp AS "group", metric, round(stddev_samp_of, 6) AS combined_stderr FROM (
-        SELECT grp, metric, list_reduce(list({{'m': value, 'v': stderr * stderr, 'n': n::DOUBLE}} ORDER BY task), lambda a, x: {{'m': (a.m * a.n + x.m * x.n) / (a.n + x.n),
+    f"""WITH {LONG_SQL}, {EDGES_SQL} SELECT grp AS "group", metric, CASE WHEN total > 1 THEN round(stddev_samp_of, 6) END AS combined_stderr FROM (
+        SELECT grp, metric, sum(n) AS total, list_reduce(list({{'m': value, 'v': coalesce(stderr * stderr, 0), 'n': n::DOUBLE}} ORDER BY task), lambda a, x: {{'m': (a.m * a.n + x.m * x.n) / (a.n + x.n),
           'v': ((a.n - 1) * a.v + (x.n - 1) * x.v) / (a.n + x.n - 1) + a.n * x.n / ((a.n + x.n) * (a.n + x.n - 1)) * ((a.m * a.n + x.m * x.n) / (a.n + x.n) - x.m) * ((a.m * a.n + x.m * x.n) / (a.n + x.n) - x.m), 'n': a.n + x.n}}).v ** 0.5 AS stddev_samp_of
-        FROM leafs JOIN results USING (task) WHERE n > 1 GROUP BY grp, metric)""",
+        FROM leafs JOIN results USING (task) GROUP BY grp, metric)""",
 )
 def combined_stderr(t: Tables):
-    r = results(t).where(F.col("n") > 1)
+    r = results(t)
     return rnd(H.combined_stderr(r, H.leaf_pairs(edges(t)), ["metric"]), "combined_stderr")
 
 
@@ -532,14 +532,14 @@ def pass_at_k(t: Tables):
     return rnd(t.lineitem.select("l_orderkey", F.col("l_linenumber").cast(L).alias("l_linenumber"), "l_partkey", A.pass_at_k(n, c, 3).alias("pass_at_3")), "pass_at_3")
 
 
-TWO_SQL = f"""{CHOICES_SQL}, sa AS (SELECT task, avg(is_greedy::INT) AS v, stddev_samp(is_greedy::INT) / sqrt(count(*)) AS se FROM mc GROUP BY task HAVING count(*) > 1),
- sb AS (SELECT task, avg(((doc_id * 37 + idx) % 3 = 0)::INT) AS v, stddev_samp(((doc_id * 37 + idx) % 3 = 0)::INT) / sqrt(count(*)) AS se FROM mc GROUP BY task HAVING count(*) > 1)"""
+TWO_SQL = f"""{CHOICES_SQL}, sa AS (SELECT task, avg(is_greedy::INT) AS v, stddev_samp(is_greedy::INT) / sqrt(count(*)) AS se FROM mc GROUP BY task),
+ sb AS (SELECT task, avg(((doc_id * 37 + idx) % 3 = 0)::INT) AS v, stddev_samp(((doc_id * 37 + idx) % 3 = 0)::INT) / sqrt(count(*)) AS se FROM mc GROUP BY task)"""
 
 
 def two_results(t: Tables):
     mc = choice_rows(t)
-    a = A.summarize(mc.withColumn("value", F.col("is_greedy").cast("double")), ["task"]).where("n > 1")
-    b = A.summarize(mc.withColumn("value", ((F.col("doc_id") * 37 + F.col("idx")) % 3 == 0).cast("double")), ["task"]).where("n > 1")
+    a = A.summarize(mc.withColumn("value", F.col("is_greedy").cast("double")), ["task"])
+    b = A.summarize(mc.withColumn("value", ((F.col("doc_id") * 37 + F.col("idx")) % 3 == 0).cast("double")), ["task"])
     return a, b
 
 
@@ -548,9 +548,9 @@ POLY = "(0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978
 
 @query(
     "z_test",
-    f"""WITH {TWO_SQL}, j AS (SELECT task, sa.v AS va, sb.v AS vb, CASE WHEN sqrt(sa.se * sa.se + sb.se * sb.se) > 0 THEN (sa.v - sb.v) / sqrt(sa.se * sa.se + sb.se * sb.se) END AS z FROM sa JOIN sb USING (task)),
+    f"""WITH {TWO_SQL}, j AS (SELECT task, sa.v AS va, sb.v AS vb, CASE WHEN sqrt(sa.se * sa.se + sb.se * sb.se) > 0 THEN (sa.v - sb.v) / sqrt(sa.se * sa.se + sb.se * sb.se) END AS z, sa.se + sb.se IS NOT NULL AS has FROM sa JOIN sb USING (task)),
       p AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM j), q AS (SELECT *, 2 * exp(-z * z / 2) / 2.5066282746310002 * t * {POLY} AS p FROM p)
-      SELECT task, round(va, 6) AS value_a, round(vb, 6) AS value_b, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN p > 0.05 THEN '✓' ELSE '×' END AS same FROM q""",
+      SELECT task, round(va, 6) AS value_a, round(vb, 6) AS value_b, round(z, 6) AS z, round(p, 6) AS p, CASE WHEN has THEN CASE WHEN p > 0.05 THEN '✓' ELSE '×' END END AS same FROM q""",
 )
 def z_test(t: Tables):
     return rnd(A.z_test(*two_results(t), ["task"]).select("task", "value_a", "value_b", "z", "p", "same"), "value_a", "value_b", "z", "p")

@@ -32,7 +32,7 @@ def normalize_text(t: Tables):
 @query(
     "ngram_generation",
     f"""SELECT doc_id, len(g)::BIGINT AS n_ngrams, len(list_distinct(g))::BIGINT AS n_distinct,
-        coalesce(g[1], '') AS first_ngram, coalesce(g[len(g)], '') AS last_ngram
+        coalesce(g[1], '') AS first_ngram, coalesce(g[len(g)], '') AS last_ngram, md5(array_to_string(g, chr(10))) AS all_ngrams
         FROM (SELECT doc_id, {sql_ngrams('toks', N)} AS g FROM
               (SELECT doc_id, {sql_tokens(sql_clean('text'))} AS toks FROM documents))""",
 )
@@ -44,6 +44,7 @@ def ngram_generation(t: Tables):
         F.size(F.array_distinct("g")).cast("long").alias("n_distinct"),
         F.coalesce(F.try_element_at("g", F.lit(1)), F.lit("")).alias("first_ngram"),
         F.coalesce(F.try_element_at("g", F.lit(-1)), F.lit("")).alias("last_ngram"),
+        F.md5(F.array_join("g", "\n").cast("binary")).alias("all_ngrams"),
     )
 
 

@@ -10,7 +10,6 @@ from evalspark.functions import text as T
 from evalspark.functions.ngrams import ngrams
 from evalspark.operators import overlap as O
 from evalspark.operators import scoring as C
-from evalspark.operators.ordering import running_sum
 from evalspark.plans.base import PUNCT, SPACE, Tables, query, sql_ngrams, sql_tokens
 from evalspark.plans.fixtures import CHOICES_SQL, EVAL_SQL, GENERATED_SQL, PAIRS_SQL, choice_rows, eval_docs, generated, text_pairs
 from evalspark.plans.prepare import sql_strip
@@ -480,31 +479,31 @@ def clean_lengths(t: Tables):
     return t.documents.select("doc_id", N.clean_length(F.col("text")).alias("n_words"))
 
 
-ABSTAIN_SQL = f"""{ARG_SQL}, na AS (SELECT doc_id, (doc_id * 37 % 101) / 101.0 AS na_prob, doc_id % 3 <> 0 AS has_answer, acc FROM scored),
- steps AS (SELECT doc_id, na_prob, sum(CASE WHEN has_answer THEN acc ELSE -1 END) OVER (ORDER BY na_prob, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM na),
- tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT has_answer) AS no_answer FROM na)"""
+ABSTAIN_SQL = f"""{ARG_SQL}, na AS (SELECT (doc_id * 37 % 101) / 101.0 AS p, doc_id % 3 <> 0 AS has, doc_id % 4 <> 0 AS said, acc, doc_id FROM scored),
+ raw AS (SELECT p, has, said, CASE WHEN has THEN CASE WHEN said THEN acc ELSE 0 END ELSE (NOT said)::INT END AS e,
+   CASE WHEN has THEN CASE WHEN said THEN greatest(acc, (doc_id % 7) / 7.0) ELSE 0 END ELSE (NOT said)::INT END AS f FROM na),
+ fin AS (SELECT has, CASE WHEN p > 0.9 THEN (NOT has)::INT ELSE e END AS e, CASE WHEN p > 0.9 THEN (NOT has)::INT ELSE f END AS f FROM raw),
+ steps AS (SELECT p, sum(CASE WHEN has THEN e WHEN said THEN -1 ELSE 0 END) AS e, sum(CASE WHEN has THEN f WHEN said THEN -1 ELSE 0 END) AS f FROM raw GROUP BY p),
+ run AS (SELECT sum(e) OVER w AS e, sum(f) OVER w AS f FROM steps WINDOW w AS (ORDER BY p ROWS UNBOUNDED PRECEDING)),
+ top AS (SELECT greatest(max(e), 0) AS e, greatest(max(f), 0) AS f FROM run)"""
 
 
 @query(
     "abstention_scores",
-    f"""WITH {ABSTAIN_SQL} SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN has_answer THEN acc ELSE 0 END) * 100, 6) AS exact, round(avg(acc) FILTER (WHERE has_answer) * 100, 6) AS has_ans_exact,
-        0.0::DOUBLE AS no_ans_exact, (SELECT round(100.0 * greatest(max(no_answer), max(no_answer) + max(run)) / max(n), 6)::DOUBLE FROM steps, tot) AS best_exact FROM na""",
+    f"""WITH {ABSTAIN_SQL} SELECT count(*)::BIGINT AS n, round(100 * avg(e), 6)::DOUBLE AS exact, round(100 * avg(f), 6)::DOUBLE AS f1,
+        round(100 * avg(e) FILTER (WHERE has), 6)::DOUBLE AS has_ans_exact, round(100 * avg(f) FILTER (WHERE has), 6)::DOUBLE AS has_ans_f1,
+        round(100 * avg(e) FILTER (WHERE NOT has), 6)::DOUBLE AS no_ans_exact, round(100 * avg(f) FILTER (WHERE NOT has), 6)::DOUBLE AS no_ans_f1,
+        round(100.0 * (count(*) FILTER (WHERE NOT has) + (SELECT e FROM top)) / count(*), 6)::DOUBLE AS best_exact,
+        round(100.0 * (count(*) FILTER (WHERE NOT has) + (SELECT f FROM top)) / count(*), 6)::DOUBLE AS best_f1 FROM fin""",
 )
 def abstention_scores(t: Tables):
-    """Scores with unanswerable questions, and the best over all no-answer thresholds."""
-    s = C.choice_scores(choice_rows(t), ["doc_id"]).select("doc_id", "acc", ((F.col("doc_id") * 37 % 101) / F.lit(101.0)).alias("na_prob"), (F.col("doc_id") % 3 != 0).alias("has_answer"))
-    gain = F.when(F.col("has_answer"), F.col("acc")).otherwise(-1.0)
-    best = running_sum(s.withColumn("gain", gain), ["na_prob", "doc_id"], "gain").agg(F.max("running").alias("top"))
-    own = F.when(F.col("has_answer"), F.col("acc"))
-    tot = s.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.coalesce(own, F.lit(0.0))) * 100, 6).alias("exact"),
-        F.round(F.avg(own) * 100, 6).alias("has_ans_exact"),
-        F.lit(0.0).alias("no_ans_exact"),
-        F.count(F.when(~F.col("has_answer"), 1)).alias("no_answer"),
-    )
-    both = tot.withColumn("j", F.lit(1)).join(best.withColumn("j", F.lit(1)), "j")
-    return both.select("n", "exact", "has_ans_exact", "no_ans_exact", F.round(100 * F.greatest(F.col("no_answer").cast("double"), F.col("no_answer") + F.col("top")) / F.col("n"), 6).alias("best_exact"))
+    """Scores with unanswerable questions, and the best over all no-answer thresholds; probabilities have ties."""
+    d = F.col("doc_id")
+    s = C.choice_scores(choice_rows(t), ["doc_id"]).select(d, "acc", ((d * 37 % 101) / F.lit(101.0)).alias("na_prob"), (d % 3 != 0).alias("has_answer"), (d % 4 != 0).alias("answered"))
+    score = lambda own: F.when(F.col("has_answer"), F.when(F.col("answered"), own).otherwise(0.0)).otherwise((~F.col("answered")).cast("double"))
+    rows = s.withColumn("exact", score(F.col("acc"))).withColumn("f1", score(F.greatest("acc", d % 7 / F.lit(7.0))))
+    out = C.abstention_summary(rows, threshold=0.9)
+    return rnd(out, *[c for c in out.columns if c != "n"])
 
 
 PARTS_SQL = f"""{EVAL_SQL}, parts AS (SELECT doc_id, lang, i, CASE WHEN (doc_id + i) % 4 = 0 THEN 1 WHEN (doc_id + i) % 3 = 0 THEN 0 ELSE 1 END::DOUBLE AS score FROM (SELECT *, unnest(range(len(choices))) AS i FROM eval_docs))"""

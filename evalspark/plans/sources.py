@@ -6,7 +6,6 @@ location and read it back.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,17 +150,17 @@ class _Streamed(Tables):
 @query("stream_progress", f"WITH {REQUESTS_LOG_SQL} SELECT task, finish_reason, count(DISTINCT request_hash)::BIGINT AS n FROM raw_log GROUP BY ALL")
 def stream_progress(t: Tables):
     log = response_log(_Streamed(t.spark, t.path))
-    name = "progress_" + uuid.uuid4().hex
-    X.run_to_table(X.progress(log, ["task", "finish_reason"]), name, S.scratch_path(t.spark, "ckpt"))
-    return t.spark.table(name)
+    out = S.scratch_path(t.spark, "progress")
+    X.run_to_table(X.progress(log, ["task", "finish_reason"]), out, S.scratch_path(t.spark, "ckpt"))
+    return X.latest(t.spark, out, ["task", "finish_reason"])
 
 
 @query("stream_progress_watermark", f"WITH {REQUESTS_LOG_SQL} SELECT task, count(DISTINCT request_hash)::BIGINT AS n FROM raw_log GROUP BY ALL")
 def stream_progress_watermark(t: Tables):
     log = response_log(_Streamed(t.spark, t.path))
-    name = "progress_" + uuid.uuid4().hex
-    X.run_to_table(X.progress(log, ["task"], watermark="60 days"), name, S.scratch_path(t.spark, "ckpt"))
-    return t.spark.table(name)
+    out = S.scratch_path(t.spark, "progress")
+    X.run_to_table(X.progress(log, ["task"], watermark="60 days"), out, S.scratch_path(t.spark, "ckpt"))
+    return X.latest(t.spark, out, ["task"])
 
 
 @query("stream_export", f"WITH {REQUESTS_LOG_SQL} SELECT request_hash, any_value(task) AS task, any_value(finish_reason) AS finish_reason FROM raw_log GROUP BY request_hash")

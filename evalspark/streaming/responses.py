@@ -28,13 +28,36 @@ def progress(log: DataFrame, by: list[str], watermark: str | None = None, time:
     return once.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process everything available into an in-memory table (reports, tests)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Process everything available into a table of counts at ``out``.
+
+    Each batch writes the groups whose count changed, with their new count, into a folder of its own number. A batch
+    that failed half-way is done again from the state of the one before and replaces its folder, so nothing is counted
+    twice and the driver holds no rows. ``latest`` reads the table, ``compact`` shortens it.
+    """
+    counts.sparkSession.createDataFrame([], counts.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def latest(spark: SparkSession, out: str, by: list[str], count: str = "n") -> DataFrame:
+    """The counts as of the last batch that touched each group."""
+    return spark.read.parquet(out).groupBy(*by).agg(F.max_by(count, "batch").alias(count))
+
+
+def compact(spark: SparkSession, out: str, into: str, by: list[str], count: str = "n") -> int:
+    """Write the latest counts as one folder of a new table at ``into``, numbered as the last batch it holds, and return
+    that number. Later batches written to ``into`` take over from it; ``out`` is left as it is."""
+    last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    latest(spark, out, by, count).write.mode("overwrite").parquet(f"{into}/batch={last}")
+    return last
+
+
 def export_once(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Exactly-once export: each batch overwrites its own folder, so a repeated batch after a crash
     replaces what it had written."""

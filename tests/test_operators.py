@@ -461,7 +461,85 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_progress_counts_once_after_a_failed_batch(spark, tmp_path):
+    src, out, short, ck = (str(tmp_path / x) for x in ("src", "out", "short", "ck"))
+    schema = T.StructType([T.StructField("request_hash", T.StringType()), T.StructField("task", T.StringType())])
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: Z.run_to_table(Z.progress(Z.read_log(spark, src, schema), ["task"]), out, ck)
+    read = lambda at: {r.task: r.n for r in Z.latest(spark, at, ["task"]).collect()}
+    add([("a", "x"), ("b", "x"), ("a", "x"), (None, "x"), ("", "y"), ("c", None)])
+    run()
+    assert read(out) == {"x": 2, None: 1}
+    add([("b", "x"), ("d", "x"), ("e", "y")])
+    run()
+    run()
+    want = {"x": 3, "y": 1, None: 1}
+    assert read(out) == want
+    # as after a crash between the write of the last batch and its commit
+    commits = tmp_path / "ck" / "commits"
+    last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
+    for f in (commits / str(last), commits / f".{last}.crc"):
+        f.unlink(missing_ok=True)
+    run()
+    assert read(out) == want and spark.read.parquet(out).where(F.col("batch") == last).count() == 2
+    assert Z.compact(spark, out, short, ["task"]) == last and read(short) == want
+    assert spark.read.parquet(short).count() == 3
+
+
 def test_needles_in_depth_order(spark):
     text = " ".join(f"S{i}." for i in range(10))
     got = one(spark, x=Y.hide_sentences(F.lit(text), F.array(F.lit("N1."), F.lit("N2."), F.lit("N3.")), F.array(F.lit(100), F.lit(0), F.lit(50)))).x
     assert got.split() == "N1. S0. S1. S2. S3. S4. N2. S5. S6. S7. S8. S9. N3.".split()
+
+
+def test_group_trees_have_no_limit_of_depth_and_cycles_are_named(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(300)]
+    walks = H.descendants(spark.createDataFrame([*chain, *chain[:3], (None, "x"), ("x", None)], "parent string, child string")).cache()
+    assert walks.count() == 300 * 301 // 2
+    far = walks.where("ancestor = 'n000' and node = 'n300'").first()
+    assert far.depth == 300 and far.path == " > ".join(f"n{i:03d}" for i in range(301))
+    assert H.descendants(spark.createDataFrame([], "parent string, child string")).count() == 0
+    two = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "parent string, child string")
+    assert sorted(r.path for r in H.descendants(two).where("ancestor = 'a' and node = 'e'").collect()) == ["a > b > d > e", "a > c > d > e"]
+    with pytest.raises(ValueError, match="a, b, c"):
+        H.descendants(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("z", "a")], "parent string, child string"))
+
+
+def test_one_row_tasks_stay_in_groups(spark):
+    res = spark.createDataFrame([("a", 1.0, None, 1), ("b", 0.5, 0.1, 10), ("c", 0.25, None, 1)], "task string, value double, stderr double, n long").withColumn("m", F.lit("x"))
+    pairs = spark.createDataFrame([("g", "a"), ("g", "b"), ("one", "c")], "group string, task string")
+    got = {r.group: r for r in H.combined_stderr(res, pairs, ["m"]).collect()}
+    assert got["one"].combined_stderr is None
+    assert got["g"].combined_stderr == pytest.approx(((9 * 0.01) / 10 + 10 / (11 * 10) * ((1 + 5) / 11 - 0.5) ** 2) ** 0.5)
+    assert {r.group: r.stderr for r in H.group_scores(res, pairs, ["m"]).collect()} == {"g": None, "one": None}
+
+
+def test_abstention_over_thresholds_with_ties(spark):
+
+
+    r = random.Random(3)
+    rows = [(g, r.random() < 0.6, r.random() < 0.7, r.choice([0.0, 1.0]), r.random(), r.choice([0.1, 0.2, 0.5, 0.9])) for g in ("a", "b", None) for _ in range(40)]
+    rows += [("none", False, True, 0.0, 0.0, 0.5), ("all", True, True, 1.0, 1.0, 0.5)]
+    kind = "g string, has_answer boolean, answered boolean, exact double, f1 double, na_prob double"
+    got = {x.g: x for x in C.abstention_summary(spark.createDataFrame(rows, kind).repartition(5), ["g"], 0.5).collect()}
+    for g in ("a", "b", None, "none", "all"):
+        own = [x[1:] for x in rows if x[0] == g]
+        for at, name in ((2, "exact"), (3, "f1")):
+            best = max(sum((x[at] if x[0] else not x[1]) if x[4] <= t else not x[0] for x in own) for t in (0.0, 0.1, 0.2, 0.5, 0.9))
+            assert got[g][f"best_{name}"] == pytest.approx(100 * best / len(own))
+            final = [(x[0], (not x[0]) if x[4] > 0.5 else x[at]) for x in own]
+            for has, prefix in ((True, "has_ans"), (False, "no_ans")):
+                part = [float(v) for h, v in final if h == has]
+                assert got[g][f"{prefix}_{name}"] == (pytest.approx(100 * sum(part) / len(part)) if part else None)
+
+
+def test_marks_beyond_the_alphabet(spark):
+    from evalspark.functions import templates
+    from evalspark.functions.extraction import choice_answer
+
+    options = [f"o{i}" for i in range(120)]
+    df = spark.createDataFrame([(options, "{letter}{lower_case_letter}{numeral}{roman_numeral};", "the answer: AB")], "c array<string>, f string, t string")
+    out = df.select(templates.render_options(F.col("c"), F.col("f")).alias("o"), choice_answer(F.col("t"), F.slice("c", 1, 40)).alias("a"), choice_answer(F.col("t"), F.slice("c", 1, 3)).alias("b")).first()
+    marks = out.o.split(";")
+    assert (marks[0], marks[25], marks[26], marks[53], marks[119]) == ("Aa1I", "Zz26XXVI", "AAaa27XXVII", "BBbb54LIV", "DPdp120120")
+    assert out.a == "(AB)" and out.b == "(A)"
