@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 
@@ -23,6 +24,10 @@ def build_session(master: str | None = None, app: str = "evalspark", shuffle_par
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
+        # Python workers of a local master find the package beside this file
+        here, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")
+        if here not in known.split(os.pathsep):
+            os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known]))
         b = b.master(master).config("spark.driver.memory", "16g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
