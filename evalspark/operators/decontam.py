@@ -1,21 +1,24 @@
 """Corpus decontamination: n-gram overlap between a corpus and benchmark texts.
 
 Corpus rows are ``(doc_id, text)`` with one row per document, so n-grams are made distinct inside
-the row before anything is exploded or shuffled. Corpus n-grams are compared as 8-byte hashes; only
-documents with a hash hit are looked at again, word by word.
+the row before anything is exploded or shuffled. Hashes of corpus n-grams are tested against a bit
+filter inside the row; only n-grams that pass leave it and meet the contaminants as words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.ngrams import ngram_hash, ngram_hashes, ngrams, windows
-from evalspark.functions.text import WHITESPACE, fold_clean, split_words
-from evalspark.session import broadcast_if_small, settle
+from evalspark.functions.text import WHITESPACE, bind, fold_clean, split_words
+from evalspark.session import broadcast_if_small, ensure_checkpoint_dir, settle
 
 #: Contaminants whose hashes may be broadcast: 16 MB at most.
 MAX_BROADCAST_NGRAMS = 1_000_000
+#: Pieces of a text whose lengths are summed as a block when offsets are looked up.
+OFFSET_BITS = 8
+OFFSET_BLOCK = 1 << OFFSET_BITS
 
 
 def clean_tokens(text: Column) -> Column:
@@ -29,9 +32,22 @@ def raw_tokens(text: Column) -> Column:
     return F.transform(split_words(text), fold_clean)
 
 
+def explode_once(values: Column) -> Column:
+    """Explode that keeps a null row where ``values`` is empty, to be dropped by the caller: for a plain explode the
+    optimizer adds a filter on the size of ``values``, which computes them a second time."""
+    return F.explode_outer(values)
+
+
+def known_contaminants(contaminants: DataFrame) -> DataFrame:
+    """The contaminants, computed once: the bit filter and the exact join read the same rows."""
+    ensure_checkpoint_dir(contaminants.sparkSession)
+    return contaminants.select("ngram").where(F.col("ngram").isNotNull()).checkpoint()
+
+
 def distinct_ngrams(docs: DataFrame, keys: list[str], n: int, text: str = "text", tokens=clean_tokens) -> DataFrame:
     """One row per (key, distinct n-gram): repeats inside a row are removed before the explode."""
-    return docs.select(*keys, F.explode(F.array_distinct(ngrams(tokens(F.col(text)), n))).alias("ngram"))
+    grams = F.array_distinct(ngrams(tokens(F.col(text)), n))
+    return docs.select(*keys, explode_once(grams).alias("ngram")).where(F.col("ngram").isNotNull())
 
 
 def contaminant_ngrams(benchmark: DataFrame, n: int, text: str = "text") -> DataFrame:
@@ -39,23 +55,50 @@ def contaminant_ngrams(benchmark: DataFrame, n: int, text: str = "text") -> Data
     return distinct_ngrams(benchmark, [], n, text).distinct()
 
 
+def bit_filter(contaminants: DataFrame) -> tuple[DataFrame, int]:
+    """One row ``(bits,)`` that tells most n-gram hashes which are no contaminant, and its number of slots.
+
+    A slot is set if the hash of a contaminant falls into it; 64 slots are a long. There are at least 16 slots for a
+    contaminant, up to 2 ** 27 (16 MB); with more contaminants more n-grams pass, and the exact join decides them.
+    """
+    n_slots = 1 << min(27, max(16, (16 * contaminants.count() - 1).bit_length()))
+    slot = ngram_hash(F.col("ngram")).bitwiseAND(F.lit(n_slots - 1))
+    set_ = contaminants.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
+    words = set_.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
+    filled = words.unionByName(contaminants.sparkSession.range(n_slots >> 6).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("word")))
+    filled = filled.groupBy("at").agg(F.bit_or("word").alias("word"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("bits")), n_slots
+
+
+def passing(hashes: Column, bits: Column, n_slots: int, n: int) -> Column:
+    """1-based starts of the windows of ``n`` word hashes whose slot is set."""
+
+    def start_if_set(h: Column, i: Column) -> Column:
+        word = F.get(bits, F.shiftright(h.bitwiseAND(F.lit(n_slots - 1)), 6).cast("int"))
+        bit = F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+        return F.when(bit == 1, i + 1)
+
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
+    windows_ = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, n)))
+    return F.filter(F.transform(windows_, start_if_set), lambda i: i.isNotNull())
+
+
 def corpus_hits(
-    corpus: DataFrame,
-    contaminants: DataFrame,
-    n: int,
-    tokens=clean_tokens,
-    max_broadcast: int = MAX_BROADCAST_NGRAMS,
+    corpus: DataFrame, contaminants: DataFrame, n: int, tokens=clean_tokens, max_broadcast: int = MAX_BROADCAST_NGRAMS
 ) -> DataFrame:
     """``(doc_id, ngram)`` of corpus n-grams that are contaminants.
 
-    One way for all sizes: 8-byte hashes of word hashes find the documents with a hit, and only those documents'
-    n-grams are built as words and decided exactly. The hashes of the contaminants are broadcast if they are few.
+    One pass: inside a row, windows of word hashes are tested against a bit filter, and only those that pass are put
+    together as words, leave the row and meet the contaminants, which are broadcast if they are few.
     """
-    hashes = corpus.select("doc_id", F.explode(F.array_distinct(ngram_hashes(tokens(F.col("text")), n))).alias("h"))
-    known = contaminants.select(ngram_hash(F.col("ngram")).alias("h")).distinct()
-    suspects = settle(hashes.join(broadcast_if_small(known, max_broadcast), "h", "left_semi").select("doc_id").distinct())
-    grams = distinct_ngrams(corpus.join(suspects, "doc_id", "left_semi"), ["doc_id"], n, tokens=tokens)
-    return grams.join(contaminants, "ngram", "left_semi")
+    known = known_contaminants(contaminants)
+    bits, n_slots = bit_filter(known)
+    grams = lambda t, b: F.transform(
+        bind(F.transform(t, lambda w: F.xxhash64(w)), lambda h: passing(h, b, n_slots, n)), lambda i: F.array_join(F.slice(t, i, n), " ")
+    )
+    own = bind(F.col("bits"), lambda b: bind(tokens(F.col("text")), lambda t: F.array_distinct(grams(t, b))))
+    found = corpus.select("doc_id", "text", bits.scalar().alias("bits")).select("doc_id", explode_once(own).alias("ngram")).where(F.col("ngram").isNotNull())
+    return found.join(broadcast_if_small(known, max_broadcast), "ngram", "left_semi")
 
 
 def contaminated_items(
@@ -114,14 +157,43 @@ def ngram_spans(docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def dirty_spans(corpus: DataFrame, contaminants: DataFrame, n: int = 13) -> DataFrame:
+def dirty_spans(corpus: DataFrame, contaminants: DataFrame, n: int = 13, max_broadcast: int = MAX_BROADCAST_NGRAMS) -> DataFrame:
     """``(doc_id, idx, start, stop)`` of every contaminated n-gram occurrence.
 
-    Offsets are computed only for the documents a first row-local pass found dirty.
+    One pass: pieces between single whitespace characters, word hashes and the bit filter are arrays of one row.
+    Offsets are put together only for windows that pass, from sums over blocks of pieces, so that a long text full of
+    hits costs no more than a block for each. A null text has no spans.
     """
-    suspects = settle(corpus_hits(corpus, contaminants, n, tokens=raw_tokens).select("doc_id").distinct())
-    spans = ngram_spans(corpus.join(suspects, "doc_id", "left_semi"), n)
-    return spans.join(contaminants, "ngram", "left_semi").select("doc_id", "idx", "start", "stop")
+    known = known_contaminants(contaminants)
+    bits, n_slots = bit_filter(known)
+    size_of = lambda pieces: F.aggregate(pieces, F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 1)
+    total = lambda sums: F.aggregate(sums, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def hits(p: Column, words: Column, at: Column) -> Column:
+        n_blocks = F.ceil(F.size(p) / OFFSET_BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: size_of(F.slice(p, j * OFFSET_BLOCK + 1, OFFSET_BLOCK)))
+        ahead = bind(sums, lambda s: F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: total(F.slice(s, F.lit(1), j))))
+
+        def place(i: Column, offsets: Column) -> Column:
+            block = F.shiftright(i, OFFSET_BITS)
+            return F.get(offsets, block) + size_of(F.slice(p, block * OFFSET_BLOCK + 1, i - block * OFFSET_BLOCK))
+
+        def span(i: Column, offsets: Column) -> Column:
+            last = F.get(words, i + n - 2)
+            gram = F.array_join(F.transform(F.slice(words, i, n), lambda x: fold_clean(x["w"])), " ")
+            start = place(F.get(words, i - 1)["i"], offsets)
+            return F.struct(i.alias("idx"), gram.alias("ngram"), start.alias("start"), (place(last["i"], offsets) + F.length(last["w"]) - 1).alias("stop"))
+
+        return F.when(F.size(at) > 0, bind(ahead, lambda o: F.transform(at, lambda i: span(i, o))))
+
+    def row(p: Column, b: Column) -> Column:
+        words = F.filter(F.transform(p, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"] != "")
+        hashed = lambda ws: F.transform(ws, lambda x: F.xxhash64(fold_clean(x["w"])))
+        return bind(words, lambda ws: bind(bind(hashed(ws), lambda h: passing(h, b, n_slots, n)), lambda at: hits(p, ws, at)))
+
+    spans = bind(F.col("bits"), lambda b: bind(F.split("text", WHITESPACE, -1), lambda p: row(p, b)))
+    found = corpus.select("doc_id", "text", bits.scalar().alias("bits")).select("doc_id", explode_once(spans).alias("s")).where(F.col("s").isNotNull()).select("doc_id", "s.*")
+    return found.join(broadcast_if_small(known, max_broadcast), "ngram", "left_semi").select("doc_id", "idx", "start", "stop")
 
 
 def clean_chunks(
@@ -187,7 +259,8 @@ def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pas
     grams = distinct_ngrams(corpus, ["doc_id"], n)
     if hash_pass:
         frequent = (
-            corpus.select(F.explode(F.array_distinct(ngram_hashes(clean_tokens(F.col("text")), n))).alias("h"))
+            corpus.select(explode_once(F.array_distinct(ngram_hashes(clean_tokens(F.col("text")), n))).alias("h"))
+            .where(F.col("h").isNotNull())
             .groupBy("h")
             .count()
             .where(F.col("count") > more_than)
@@ -197,6 +270,45 @@ def ngram_document_frequency(corpus: DataFrame, n: int, more_than: int, hash_pas
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
+def append_ngram_table(corpus: DataFrame, table: str, n: int, part: str, buckets: int = 64, path: str | None = None) -> None:
+    """Append a part of the corpus to the n-gram table ``(ngram, n_docs, n_occurrences, first_doc, part)``.
+
+    The table is bucketed and sorted by ``ngram``: rows are shuffled once, when they are written, with one file per
+    bucket and part. N-grams are counted before that shuffle, so one that a third of the documents share is one row of
+    its part. ``part`` names what was appended; a name that the table holds already is an error, since its counts would
+    be added twice. ``path`` keeps the files outside the warehouse. A null text has no n-grams. One writer at a time.
+    """
+    spark = corpus.sparkSession
+    if spark.catalog.tableExists(table) and not spark.table(table).where(F.col("part") == part).isEmpty():
+        raise ValueError(f"part {part} is in {table} already")
+    grams = ngrams(clean_tokens(F.col("text")), n)
+    # a repeat stands beside the n-gram before it once the array is sorted, so the row itself tells first from later
+    marked = bind(F.array_sort(grams), lambda g: F.transform(g, lambda x, i: F.struct(x.alias("ngram"), ((i == 0) | (F.get(g, i - 1) != x)).alias("new"))))
+    rows = corpus.select("doc_id", explode_once(marked).alias("g")).where(F.col("g").isNotNull()).select("doc_id", "g.*")
+    counted = rows.groupBy("ngram").agg(
+        F.sum(F.col("new").cast("long")).alias("n_docs"), F.count(F.lit(1)).alias("n_occurrences"), F.min("doc_id").alias("first_doc"), F.lit(part).alias("part")
+    )
+    writer = counted.repartition(buckets, "ngram").write.mode("append").format("parquet").bucketBy(buckets, "ngram").sortBy("ngram")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def ngram_table_counts(spark: SparkSession, table: str) -> DataFrame:
+    """``(ngram, n_docs, n_occurrences, first_doc)`` over all parts of the table, without an exchange.
+
+    Parts are disjoint sets of documents, so their counts add up.
+    """
+    sums = [F.sum("n_docs").alias("n_docs"), F.sum("n_occurrences").alias("n_occurrences"), F.min("first_doc").alias("first_doc")]
+    return spark.table(table).groupBy("ngram").agg(*sums)
+
+
+def ngram_table_overlap(spark: SparkSession, table: str, other: str) -> DataFrame:
+    """N-grams that both tables hold, with their counts in each. Tables with the same number of buckets meet bucket by
+    bucket, without an exchange; the merge hint keeps either side, whatever its size, from being broadcast."""
+    a = ngram_table_counts(spark, table)
+    b = ngram_table_counts(spark, other).select("ngram", F.col("n_docs").alias("other_docs"), F.col("n_occurrences").alias("other_occurrences"))
+    return a.join(b.hint("merge"), "ngram")
+
+
 def overlap_statistics(corpus: DataFrame, contaminants: DataFrame, n: int) -> DataFrame:
     """Totals over the corpus n-grams: occurrences, distinct, distinct matching and not matching.
 
@@ -205,7 +317,7 @@ def overlap_statistics(corpus: DataFrame, contaminants: DataFrame, n: int) -> Da
     words = lambda t: F.transform(t, lambda w: F.xxhash64(w))
     identity = lambda g: F.struct(F.xxhash64(g).alias("h1"), F.xxhash64(F.lit("second"), g).alias("h2"))
     grams = F.transform(windows(words(clean_tokens(F.col("text"))), n), identity)
-    counted = corpus.select(F.inline(grams)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"))
+    counted = corpus.select(explode_once(grams).alias("g")).where(F.col("g").isNotNull()).groupBy("g.h1", "g.h2").agg(F.count(F.lit(1)).alias("c"))
     known = contaminants.select(identity(words(F.split("ngram", " ", -1))).alias("i")).select("i.*", F.lit(True).alias("hit"))
     flagged = counted.join(broadcast_if_small(known, MAX_BROADCAST_NGRAMS), ["h1", "h2"], "left")
     return flagged.agg(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import fold_clean
 from evalspark.operators import decontam as D
 from evalspark.functions.ngrams import ngrams
 from evalspark.plans.base import Tables, query, sql_clean, sql_ngrams, sql_tokens, SPACE
+from evalspark.sources.corpus import scratch_path
 
 
 def doc_grams_sql(n: int, table: str = "documents", key: str = "doc_id") -> str:
@@ -165,6 +168,44 @@ def ngram_sort(t: Tables):
     return g.orderBy("ngram")
 
 
+TABLE_SQL = f"""
+WITH g AS (SELECT doc_id, unnest({sql_ngrams('toks', N)}) AS ngram FROM (SELECT doc_id, {sql_tokens(sql_clean('text'))} AS toks FROM documents)),
+     counted AS (SELECT ngram, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_occurrences, min(doc_id) AS first_doc
+                 FROM g GROUP BY ngram)
+"""
+
+
+def written_ngram_table(t: Tables) -> str:
+    """The 13-grams of all documents as a bucketed table, appended in two parts."""
+    name = f"ngrams_{uuid.uuid4().hex}"
+    path = scratch_path(t.spark, name)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part, rows in (("english", t.corpus.where(english)), ("others", t.corpus.where(~english))):
+        D.append_ngram_table(rows, name, N, part, path=path)
+    return name
+
+
+@query("ngram_table", TABLE_SQL + "SELECT * FROM counted")
+def ngram_table(t: Tables):
+    """Every 13-gram, counted from the written table."""
+    return D.ngram_table_counts(t.spark, written_ngram_table(t))
+
+
+@query(
+    "ngram_table_overlap",
+    TABLE_SQL
+    + f""", b AS (SELECT item_id, unnest({sql_ngrams('toks', N)}) AS ngram FROM (SELECT item_id, {sql_tokens(sql_clean('text'))} AS toks FROM benchmark)),
+      bc AS (SELECT ngram, count(DISTINCT item_id)::BIGINT AS other_docs, count(*)::BIGINT AS other_occurrences FROM b GROUP BY ngram)
+      SELECT * FROM counted JOIN bc USING (ngram)""",
+)
+def ngram_table_overlap(t: Tables):
+    """Corpus and benchmark as two tables that meet bucket by bucket."""
+    name = f"items_{uuid.uuid4().hex}"
+    items = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    D.append_ngram_table(items, name, N, "all", path=scratch_path(t.spark, name))
+    return D.ngram_table_overlap(t.spark, written_ngram_table(t), name)
+
+
 DF_SQL = f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(3)}) GROUP BY ngram HAVING count(*) > 10"
 
 
