@@ -16,7 +16,7 @@ from evalspark.session import broadcast_if_small
 REMEMBERED = 1_000_000
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 #: Measures and the least half-width of their band, in the measure's own unit.
-MEASURES = {"chars_per_token": 0.3, "fallback_share": 0.1, "token_entropy": 1.0}
+MEASURES = {"chars_per_token": 0.3, "letters_per_token": 0.3, "fallback_share": 0.1, "token_entropy": 1.0}
 
 
 class WordTokens:
@@ -174,7 +174,7 @@ def bands(rows: DataFrame, width: float = 6.0, grid: int = 200, least_rows: int
 def judged(rows: DataFrame, width: float = 6.0) -> DataFrame:
     """``measured`` rows with base_failed and kept.
 
-    Rejected: rows that fail the base rules, too few or too many characters a token, too much byte fallback, too little
+    Rejected: rows that fail the base rules, too few or too many characters or letters a token, too much byte fallback, too little
     token entropy, each against the band of the row's group (null is a group). The corpus-wide band stands in for
     groups without one; if there is none at all, nothing more is rejected.
     """
@@ -185,6 +185,8 @@ def judged(rows: DataFrame, width: float = 6.0) -> DataFrame:
     every = limits.where("__all").select(*[F.col(c).alias(f"__{c}") for c in names]).first() or {}
     out = rows.join(broadcast_if_small(own), F.col("band_group").eqNullSafe(F.col("__g")), "left").drop("__g")
     limit = lambda c: F.coalesce(F.col(c), F.lit(every[f"__{c}"] if every else None).cast("double"))
-    odd = (F.col("chars_per_token") < limit("chars_per_token_low")) | (F.col("chars_per_token") > limit("chars_per_token_high"))
+    odd = F.lit(False)
+    for m in ("chars_per_token", "letters_per_token"):
+        odd = odd | (F.col(m) < limit(f"{m}_low")) | (F.col(m) > limit(f"{m}_high"))
     odd = odd | (F.col("fallback_share") > limit("fallback_share_high")) | (F.col("token_entropy") < limit("token_entropy_low"))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~F.coalesce(odd, F.lit(False))).drop(*names)
