@@ -25,10 +25,55 @@ BODIES = {
 }
 
 
+WORDS = r"filter(split(x, '(?U)[\\s\\x1c-\\x1f]+', -1), v -> v <> '')"
+
+# Functions that return a table, for LATERAL. Each body is one generator over expressions of the arguments, so the planner
+# puts it on the scanned row: no join with the outer table and no exchange. A null or empty text has no rows.
+TABLES = {
+    # places (from 1) and n-grams of the words of x
+    "word_ngrams": (
+        "x STRING, n INT",
+        "place BIGINT, ngram STRING",
+        f"""inline(flatten(transform(array({WORDS}), w -> transform(if(size(w) >= n, sequence(1L, size(w) - n + 1L), array()),
+            i -> struct(i, array_join(slice(w, int(i), n), ' '))))))""",
+    ),
+    # windows of at most most words: every word is predicted once, after up to most words, of which context - 1 or more
+    # were in the window before; the first window starts with lead
+    "score_windows": (
+        "x STRING, most INT, context INT, lead STRING",
+        "window_no BIGINT, input ARRAY<STRING>, pred ARRAY<STRING>",
+        f"""inline(flatten(transform(array({WORDS}), w -> transform(
+            if(size(w) = 0, array(), concat(array(0), if(size(w) > most, sequence(most, size(w) - 1, most - context + 1), array()))),
+            (p, i) -> struct(bigint(i),
+              if(p = 0, concat(array(lead), slice(w, 1, least(most, size(w)) - 1)), slice(w, greatest(least(size(w), p + most - context + 1) - most, 1), most)),
+              slice(w, p + 1, if(p = 0, most, most - context + 1)))))))""",
+    ),
+    # what is left of x when spans and around characters on both sides are cut out; nothing beyond most_spans spans, and no
+    # piece of at most smallest characters
+    "clean_pieces": (
+        "x STRING, spans ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>, around INT, most_spans INT, smallest INT",
+        "chunk_no BIGINT, chunk STRING",
+        """inline(flatten(transform(
+            array(transform(array_sort(coalesce(spans, array())), v -> struct(greatest(0L, v.start - around) AS lo, least(bigint(length(x)), v.stop + around) AS hi))),
+            c -> transform(filter(concat(
+                transform(c, (v, i) -> if(v.lo - if(i > 0, get(c, i - 1).hi, 0L) > smallest,
+                  substring(x, int(if(i > 0, get(c, i - 1).hi, 0L)) + 1, int(v.lo - if(i > 0, get(c, i - 1).hi, 0L))), NULL)),
+                array(CASE WHEN size(c) = 0 THEN if(length(x) > smallest, x, NULL)
+                  WHEN get(c, size(c) - 1).hi < length(x) - smallest THEN substring(x, int(get(c, size(c) - 1).hi) + 2) END)),
+              z -> z IS NOT NULL AND size(c) <= most_spans), (z, i) -> struct(bigint(i), z)))))""",
+    ),
+}
+
+
 def register(spark, names: list[str] | None = None) -> list[str]:
+    """Create the temporary functions of ``names``, or all; returns the names created."""
     done = []
     for name, (args, result, body) in BODIES.items():
         if names is None or name in names:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
             done.append(name)
+    for name, (args, result, body) in TABLES.items():
+        if names is None or name in names:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE ({result}) RETURN SELECT {body}")
+            done.append(name)
     return done

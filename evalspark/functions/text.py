@@ -80,6 +80,26 @@ def answer_key(text: Column, lang: Column | str = "en") -> Column:
     return squeeze(drop_articles(strip_punctuation(F.lower(text)), lang))
 
 
+# The Arabic article, and the first and last character of the range that is cut into single characters.
+ARABIC_ARTICLE = "ال"
+HAN = "\\x{4e00}-\\x{9fa5}"
+UNICODE_PUNCTUATION = r"[\p{P}$+<=>^`|~]"
+
+
+def script_answer_key(text: Column, lang: Column | str) -> Column:
+    """Comparison form of an answer in any language: lower, no punctuation of any script, no articles, words with single
+    blanks between them. In Chinese every Han character is a word, and what lies between is split at whitespace; the
+    Arabic article goes wherever it stands. Other languages and a null ``lang`` keep all words; a null text stays null."""
+    lang = F.lit(lang) if isinstance(lang, str) else lang
+    bare = F.regexp_replace(F.lower(text), UNICODE_PUNCTUATION, "")
+    cut = (
+        F.when(lang == "zh", F.regexp_replace(bare, f"([{HAN}])", " $1 "))
+        .when(lang == "ar", F.regexp_replace(bare, ARABIC_ARTICLE, " "))
+        .otherwise(drop_articles(bare, F.when(lang.isin("en", "es", "de", "vi"), lang)))
+    )
+    return squeeze(cut)
+
+
 def word_count(text: Column) -> Column:
     """Pieces of a split on whitespace runs, edge blanks counted (the perplexity denominator)."""
     return F.size(F.split(text, WHITESPACE + "+", -1)).cast("long")

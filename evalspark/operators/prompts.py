@@ -7,10 +7,9 @@ Every document stays; one whose group has no pool has an empty list.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.draws import draw
@@ -81,48 +80,19 @@ def first_shots_shared(docs: DataFrame, pool: DataFrame, key: str, k: int) -> Da
     return docs.select(key, F.slice(ids, 1, k).alias("shot_ids"))
 
 
-def _needed(kept: list[tuple], p, link, k: int) -> bool:
-    """Whether some exclusion (one passage, one link) leaves fewer than k of ``kept`` besides (p, link)."""
-
-    def search(no_p, no_l) -> bool:
-        first = []
-        for _, q, m in kept:
-            if (no_p is None or q != no_p) and (no_l is None or m != no_l):
-                first.append((q, m))
-                if len(first) == k:
-                    break
-        if len(first) < k:
-            return True
-        if no_p is None and any(search(q, no_l) for q in {q for q, _ in first} if q != p):
-            return True
-        return no_l is None and any(search(no_p, m) for m in {m for _, m in first} if m != link)
-
-    return search(None, None)
-
-
 def exclusion_head(pool: DataFrame, key: str, passage: str, link: str, k: int, fields: list[str]) -> DataFrame:
     """The pool rows that can be among the first k after removing any one passage and any one link.
 
-    Their number is bounded by a polynomial in k alone, so every task reduces its own rows and one
-    last reduction sees only those survivors.
+    A row behind k others of its (passage, link) is never among them. Of what is left, a passage needs 2k rows, since one
+    link takes at most k of them, and a link likewise; with 2k rows of one passage and 2k of one link removed, k of the
+    first 5k remain. Each limit is applied inside the tasks before its shuffle, so a hot passage costs k rows a task.
+    Rows with a null key, passage or link are never selected.
     """
-    cols = [key, passage, link, *fields]
-
-    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple] = []
-        rows: list = []
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                p, m = row[1], row[2]
-                if _needed(kept, p, m, k):
-                    kept.append((row[0], p, m))
-                    rows.append(row)
-        if rows:
-            yield pd.DataFrame(rows, columns=cols)
-
-    frame = pool.select(*cols)
-    local = frame.sortWithinPartitions(key).mapInPandas(reduce, frame.schema)
-    return local.repartition(1).sortWithinPartitions(key).mapInPandas(reduce, frame.schema)
+    rows = pool.select(key, passage, link, *fields).dropna(subset=[key, passage, link])
+    for group, n in (([passage, link], k), ([passage], 2 * k), ([link], 2 * k)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(key, passage, link))
+        rows = rows.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+    return rows.orderBy(key, passage, link).limit(5 * k)
 
 
 def first_shots_excluding(docs: DataFrame, pool: DataFrame, key: str, passage: str, link: str, k: int) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import uuid
+from collections.abc import Callable
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.ngrams import bind
 from evalspark.operators.ordering import with_position
+from evalspark.session import broadcast_if_small, ensure_checkpoint_dir
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame, doc_keys: list[str], fields: list[str]) -> DataFrame:
@@ -140,33 +147,135 @@ def completeness(frozen: DataFrame, scored: DataFrame, raw: DataFrame, key: str)
     return all3.withColumn("defect", defect)
 
 
+def request_key(task, shots=0, rank=0, world=1, template="", tokenizer="") -> Column:
+    """Key of a set of requests: the digest of everything that shapes it. Arguments are columns or values."""
+    parts = ["requests-", task, "-", shots, "shot-rank", rank, "-world", world, "-", template, "-", tokenizer]
+    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.sha2(F.concat(*[c.cast("string") for c in cols]), 256)
+
+
 class RequestStore:
-    """Built request tables kept as parquet under a key of everything that shapes them."""
+    """Built request sets of many keys in one table, partitioned by key and build, under a manifest.
+
+    A build writes its rows as a new partition of each key and then appends one manifest row for each key, in one file:
+    that file is the commit. Rows of a build that failed before it are never read, and readers of the build before keep
+    their files. The newest manifest row of a key decides: ``live`` names its build, otherwise the key is deleted. Repeating
+    a failed write replaces its own partitions alone (dynamic overwrite). ``vacuum`` removes what no reader can reach.
 
-    def __init__(self, spark, root: str):
-        self.spark, self.root = spark, root
+    A key is any non-null string. All sets of a store have the columns of the first one, or ``schema`` where that is given
+    (needed only to read a store all of whose sets are empty); ``cache_key`` and ``build`` are the store's own columns. One
+    writer for a key at a time; of two, the later wins.
+    """
+
+    KEY, BUILD = "cache_key", "build"
+    MANIFEST = "cache_key string, build string, step long, n_rows long, live boolean"
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.rows_path, self.manifest_path = f"{self.root}/rows", f"{self.root}/manifest"
 
     @staticmethod
     def key(task: str, shots: int, rank: int, world: int, template: str = "", tokenizer: str = "") -> str:
-        import hashlib
-
+        """``request_key`` of plain values."""
         text = f"requests-{task}-{shots}shot-rank{rank}-world{world}-{template}-{tokenizer}"
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def _path(self, key: str) -> str:
-        return f"{self.root}/{key}"
+    def _file_system(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, path: str) -> bool:
+        p, fs = self._file_system(path)
+        return fs.exists(p)
+
+    def manifest(self) -> DataFrame:
+        """``cache_key, build, step, n_rows, live``: the newest row of each key, deleted keys included."""
+        if not self._there(self.manifest_path):
+            return self.spark.createDataFrame([], self.MANIFEST)
+        rows = self.spark.read.schema(self.MANIFEST).parquet(self.manifest_path)
+        last = F.max_by(F.struct("build", "step", "n_rows", "live"), F.struct("step", "build")).alias("last")
+        return rows.groupBy(self.KEY).agg(last).select(self.KEY, "last.*")
+
+    def keys(self) -> DataFrame:
+        """``cache_key, build, n_rows`` of the sets that can be read."""
+        return self.manifest().where("live").select(self.KEY, self.BUILD, "n_rows")
+
+    def _commit(self, entries: DataFrame) -> None:
+        """Append manifest rows (``cache_key, build, n_rows, live``) as one file, after all earlier ones."""
+        step = (self.manifest().agg(F.max("step")).first()[0] or 0) + 1
+        rows = entries.select(self.KEY, "build", F.lit(step).cast("long").alias("step"), "n_rows", "live")
+        rows.coalesce(1).write.mode("append").parquet(self.manifest_path)
+
+    def _stored(self, builds: DataFrame) -> DataFrame:
+        """Rows of the given ``cache_key, build`` pairs; the pairs prune partitions."""
+        schema = self.schema
+        if schema is None:
+            written = self.spark.read.parquet(self.rows_path).schema  # fails where nothing but empty sets was stored
+            schema = T.StructType([f for f in written if f.name not in (self.KEY, self.BUILD)])
+        whole = T.StructType([*schema, T.StructField(self.KEY, T.StringType()), T.StructField(self.BUILD, T.StringType())])
+        if not self._there(self.rows_path):
+            return self.spark.createDataFrame([], whole)
+        rows = self.spark.read.schema(whole).parquet(self.rows_path)
+        return rows.join(broadcast_if_small(builds), [self.KEY, self.BUILD])
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """``cache_key`` and the columns of the sets: all of them, or those of ``keys``."""
+        builds = self.keys().select(self.KEY, self.BUILD)
+        if keys is not None:
+            builds = builds.join(keys.select(self.KEY).distinct(), self.KEY, "left_semi")
+        return self._stored(builds).drop(self.BUILD)
+
+    def put(self, keys: DataFrame, rows: DataFrame) -> None:
+        """Store ``rows`` (with ``cache_key``) as the newest sets of ``keys``; a key without rows is an empty set. Rows of
+        other keys are left out. Hot keys are spread over several files, small ones share a task."""
+        build = f"b{uuid.uuid4().hex}"
+        keys = keys.select(self.KEY).distinct()
+        mine = rows.join(broadcast_if_small(keys), self.KEY, "left_semi").withColumn(self.BUILD, F.lit(build))
+        out = mine.hint("rebalance", F.col(self.KEY)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(self.KEY, self.BUILD).parquet(self.rows_path)
+        places = self.spark.read.schema(f"{self.KEY} string, {self.BUILD} string").parquet(self.rows_path)
+        counts = places.where(F.col(self.BUILD) == build).groupBy(self.KEY).agg(F.count(F.lit(1)).alias("n"))
+        n = F.coalesce("n", F.lit(0).cast("long")).alias("n_rows")
+        self._commit(keys.join(counts, self.KEY, "left").select(self.KEY, F.lit(build).alias("build"), n, F.lit(True).alias("live")))
+
+    def ensure(self, keys: DataFrame, build: Callable[[DataFrame], DataFrame], refresh: bool = False) -> DataFrame:
+        """The sets of ``keys``; ``build(missing keys)`` makes those that are not stored, or all of them on ``refresh``."""
+        missing = keys if refresh else keys.join(self.keys(), self.KEY, "left_anti")
+        if not missing.isEmpty():
+            ensure_checkpoint_dir(self.spark)
+            missing = missing.checkpoint()  # the manifest it was read from changes
+            self.put(missing, build(missing))
+        return self.read(keys)
+
+    def drop(self, keys: DataFrame) -> None:
+        """Delete the sets of ``keys``; their rows stay until ``vacuum``."""
+        gone = self.keys().join(keys.select(self.KEY).distinct(), self.KEY, "left_semi")
+        self._commit(gone.select(self.KEY, "build", "n_rows", F.lit(False).alias("live")))
+
+    def vacuum(self) -> int:
+        """Remove partitions that are not a live build; returns their number. Not beside a running build or reader."""
+        if not self._there(self.rows_path):
+            return 0
+        live = {(r[0], r[1]) for r in self.keys().select(self.KEY, self.BUILD).toLocalIterator()}
+        root, fs = self._file_system(self.rows_path)
+        gone = 0
+        for key in fs.listStatus(root):
+            for part in fs.listStatus(key.getPath()) if key.isDirectory() else []:
+                names = [p.getName().split("=", 1)[-1] for p in (key.getPath(), part.getPath())]
+                if (unquote(names[0]), names[1]) not in live:
+                    gone += fs.delete(part.getPath(), True)
+        return gone
+
+    # one key at a time
+
+    def _one(self, key: str) -> DataFrame:
+        return self.spark.range(1).select(F.lit(key).alias(self.KEY))
 
     def exists(self, key: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(key) + "/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return not self.keys().where(F.col(self.KEY) == key).isEmpty()
 
-    def load_or_build(self, key: str, build, refresh: bool = False) -> DataFrame:
-        if refresh or not self.exists(key):
-            build().write.mode("overwrite").parquet(self._path(key))
-        return self.spark.read.parquet(self._path(key))
+    def load_or_build(self, key: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+        return self.ensure(self._one(key), lambda keys: build().withColumn(self.KEY, F.lit(key)), refresh).drop(self.KEY)
 
     def delete(self, key: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(key))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.drop(self._one(key))

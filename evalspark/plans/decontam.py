@@ -10,6 +10,7 @@ from evalspark.functions.text import fold_clean
 from evalspark.operators import decontam as D
 from evalspark.functions.ngrams import ngrams
 from evalspark.plans.base import Tables, query, sql_clean, sql_ngrams, sql_tokens, SPACE
+from evalspark.registry import register_sql
 from evalspark.sources.corpus import scratch_path
 
 
@@ -135,10 +136,7 @@ def dirty_spans(t: Tables):
     return s.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
-@query(
-    "clean_chunks",
-    SPAN_SQL
-    + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k,
+CHUNK_SQL = SPAN_SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k,
                       count(*) OVER (PARTITION BY doc_id) AS n FROM dirty),
       cuts AS (SELECT r.doc_id, k, n, greatest(0, start - 200) AS lo, least(length(text), stop + 200) AS hi, text
                FROM ranked r JOIN documents USING (doc_id)),
@@ -151,13 +149,38 @@ def dirty_spans(t: Tables):
         WHERE e.hi < length(d.text) - 200
         UNION ALL
         SELECT doc_id, 1000000, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dirty) AND -1 < length(text) - 200)
-      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::BIGINT AS chunk_no, chunk FROM chunks""",
-)
+      SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::BIGINT AS chunk_no, chunk FROM chunks"""
+
+
+@query("clean_chunks", CHUNK_SQL)
 def clean_chunks(t: Tables):
     c = D.clean_chunks(t.corpus, D.contaminant_ngrams(t.benchmark, N), N)
     return c.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
+@query("sql_clean_chunks", CHUNK_SQL)
+def sql_clean_chunks(t: Tables):
+    """Chunks cut in SQL: a table function takes a document and its first spans."""
+    register_sql(t.spark, ["clean_pieces"])
+    t.corpus.createOrReplaceTempView("evalspark_chunk_documents")
+    D.dirty_spans(t.corpus, D.contaminant_ngrams(t.benchmark, N), N).createOrReplaceTempView("evalspark_spans")
+    return t.spark.sql("""
+        WITH few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM evalspark_spans) WHERE k <= 11),
+             cut AS (SELECT doc_id, collect_list(struct(bigint(start) AS start, bigint(stop) AS stop)) AS spans FROM few GROUP BY doc_id)
+        SELECT doc_id, c.chunk_no, c.chunk FROM evalspark_chunk_documents LEFT JOIN cut USING (doc_id), LATERAL clean_pieces(text, spans, 200, 10, 200) AS c""")
+
+
+@query(
+    "sql_ngrams",
+    f"SELECT doc_id, (i + 1)::BIGINT AS place, g AS ngram FROM (SELECT doc_id, unnest(range(greatest(len(t) - 4, 0))) AS i, unnest({sql_ngrams('t', 5)}) AS g FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents))",
+)
+def sql_ngrams_query(t: Tables):
+    """All 5-grams with their places, from SQL."""
+    register_sql(t.spark, ["word_ngrams"])
+    t.corpus.createOrReplaceTempView("evalspark_ngram_documents")
+    return t.spark.sql("SELECT doc_id, g.place, g.ngram FROM evalspark_ngram_documents, LATERAL word_ngrams(text, 5) AS g")
+
+
 @query(
     "ngram_sort",
     f"""SELECT ngram, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM ({doc_grams_sql(5)}) GROUP BY ngram ORDER BY ngram""",

@@ -9,6 +9,8 @@ from evalspark.operators import responses as J
 from evalspark.operators.requests import choice_requests
 from evalspark.plans.base import Tables, query, sql_tokens
 from evalspark.plans.fixtures import CHOICES_SQL, EVAL_SQL, REQUESTS_LOG_SQL, choice_rows, eval_docs, response_log
+from evalspark.registry import register_sql
+from evalspark.sources.corpus import scratch_path
 
 L = "long"
 CUT = "2024-01-15"
@@ -63,8 +65,58 @@ def extended_cache(t: Tables):
     f"""WITH {EVAL_SQL} SELECT task, sha256('requests-' || task || '-3shot-rank0-world1--') AS cache_key, count(*)::BIGINT AS n_docs FROM eval_docs GROUP BY task""",
 )
 def request_set_keys(t: Tables):
-    key = F.sha2(F.concat(F.lit("requests-"), "task", F.lit("-3shot-rank0-world1--")), 256)
-    return eval_docs(t).groupBy("task").agg(F.count(F.lit(1)).alias("n_docs")).select("task", key.alias("cache_key"), "n_docs")
+    return eval_docs(t).groupBy("task").agg(F.count(F.lit(1)).alias("n_docs")).select("task", J.request_key(F.col("task"), 3).alias("cache_key"), "n_docs")
+
+
+def store_sql(mark: str) -> str:
+    return f"""WITH {CHOICES_SQL} SELECT sha256('requests-' || task || '-3shot-rank0-world1--') AS cache_key, doc_id, idx, choice || {mark} AS continuation FROM mc"""
+
+
+def store_parts(t: Tables):
+    """A new store, the keys of all tasks with their language, and a maker of rows whose texts end in a mark."""
+    docs = eval_docs(t).withColumn("cache_key", J.request_key(F.col("task"), 3))
+    rows = docs.select("cache_key", "doc_id", F.posexplode("choices").alias("idx", "choice"))
+
+    def build(mark: str):
+        text = F.concat("choice", F.lit(mark)).alias("continuation")
+        return lambda keys: rows.join(keys.select("cache_key"), "cache_key", "left_semi").select("cache_key", "doc_id", F.col("idx").cast(L).alias("idx"), text)
+
+    return J.RequestStore(t.spark, scratch_path(t.spark, "requests")), docs.select("cache_key", "lang").distinct(), build
+
+
+@query("request_store_build", store_sql("''"))
+def request_store_build(t: Tables):
+    """All sets are built and read back."""
+    store, keys, build = store_parts(t)
+    return store.ensure(keys, build(""))
+
+
+@query("request_store_hit", store_sql("CASE WHEN lang IN ('en', 'de') THEN '' ELSE ' (2)' END"))
+def request_store_hit(t: Tables):
+    """Two languages are stored already; a second call makes the others alone."""
+    store, keys, build = store_parts(t)
+    store.ensure(keys.where("lang IN ('en', 'de')"), build(""))
+    return store.ensure(keys, build(" (2)"))
+
+
+@query("request_store_refresh", store_sql("CASE WHEN lang = 'en' THEN ' (2)' ELSE '' END"))
+def request_store_refresh(t: Tables):
+    """One language is built anew over stored sets, the others stay."""
+    store, keys, build = store_parts(t)
+    store.ensure(keys, build(""))
+    store.ensure(keys.where("lang = 'en'"), build(" (2)"), refresh=True)
+    return store.read()
+
+
+@query("request_store_delete", store_sql("CASE WHEN lang = 'en' THEN ' (3)' ELSE '' END") + " WHERE lang <> 'de'")
+def request_store_delete(t: Tables):
+    """Two languages are deleted and cleared; one of them is made again."""
+    store, keys, build = store_parts(t)
+    store.ensure(keys, build(""))
+    store.drop(keys.where("lang IN ('en', 'de')"))
+    store.vacuum()
+    store.ensure(keys.where("lang <> 'de'"), build(" (3)"))
+    return store.read()
 
 
 @query(
@@ -155,6 +207,21 @@ def rolling_windows(t: Tables):
     )
 
 
+@query(
+    "sql_score_windows",
+    f"""WITH {WINDOWS_SQL} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::BIGINT AS window_no,
+        array_to_string(inp, ' ') AS input, array_to_string(pred, ' ') AS pred FROM cut""",
+)
+def sql_score_windows(t: Tables):
+    """Windows from SQL: a table function beside each document."""
+    register_sql(t.spark, ["score_windows"])
+    t.corpus.createOrReplaceTempView("evalspark_window_documents")
+    return t.spark.sql(
+        "SELECT doc_id, w.window_no, array_join(w.input, ' ') AS input, array_join(w.pred, ' ') AS pred "
+        "FROM evalspark_window_documents, LATERAL score_windows(text, 64, 16, '<s>') AS w"
+    )
+
+
 @query(
     "disjoint_windows",
     f"""WITH {WINDOWS_SQL}, d AS (SELECT doc_id, list_slice(inp, 1, len(inp) - (len(pred) - 1)) AS ctx, pred FROM cut)

@@ -199,6 +199,40 @@ def answer_keys(t: Tables):
     return t.documents.select("doc_id", F.sha2(T.answer_key(F.col("text"), F.col("lang")), 256).alias("key_hash"))
 
 
+# Texts in several scripts: a third becomes Chinese (some letters stand for Han characters, blanks before them go), a third
+# Arabic with articles and Arabic marks, the rest keep their letters under German or Spanish rules.
+SCRIPTS = ("abcdefgh.,", "中文的字是一个人。、", "aeinorst.,", "ابتنورسل؟،")
+SCRIPT_SQL = f"""CASE k WHEN 0 THEN translate(replace(x, ' a', 'a'), '{SCRIPTS[0]}', '{SCRIPTS[1]}')
+   WHEN 1 THEN 'ال' || replace(translate(x, '{SCRIPTS[2]}', '{SCRIPTS[3]}'), ' ', ' ال') WHEN 2 THEN 'Der ' || replace(x, ' ', ' ein „') ELSE replace(x, ' ', ' ¿La ') END"""
+LANG_SQL = "CASE k WHEN 0 THEN 'zh' WHEN 1 THEN 'ar' WHEN 2 THEN 'de' ELSE 'es' END"
+
+
+def scripted(x, k):
+    """The text of ``SCRIPT_SQL`` for text ``x`` and language number ``k``."""
+    zh = F.translate(F.replace(x, F.lit(" a"), F.lit("a")), SCRIPTS[0], SCRIPTS[1])
+    ar = F.concat(F.lit("ال"), F.replace(F.translate(x, SCRIPTS[2], SCRIPTS[3]), F.lit(" "), F.lit(" ال")))
+    de = F.concat(F.lit("Der "), F.replace(x, F.lit(" "), F.lit(" ein „")))
+    return F.when(k == 0, zh).when(k == 1, ar).when(k == 2, de).otherwise(F.replace(x, F.lit(" "), F.lit(" ¿La ")))
+
+
+def language(k):
+    return F.when(k == 0, "zh").when(k == 1, "ar").when(k == 2, "de").otherwise("es")
+
+
+def sql_script_key(text: str) -> str:
+    bare = rf"regexp_replace(lower({text}), '[\p{{P}}$+<=>^`|~]', '', 'g')"
+    words = lambda v: ", ".join(f"'{w}'" for w in T.ARTICLES[v].split("|"))
+    cut = rf"CASE k WHEN 0 THEN regexp_replace({bare}, '([\x{{4e00}}-\x{{9fa5}}])', ' \1 ', 'g') WHEN 1 THEN replace({bare}, 'ال', ' ') ELSE {bare} END"
+    return f"array_to_string(list_filter({sql_tokens(cut)}, lambda w: NOT (k = 2 AND w IN ({words('de')}) OR k = 3 AND w IN ({words('es')}))), ' ')"
+
+
+@query("answer_keys_by_script", f"WITH s AS (SELECT doc_id, doc_id % 4 AS k, text AS x FROM documents), y AS (SELECT doc_id, k, {SCRIPT_SQL} AS t FROM s) SELECT doc_id, {LANG_SQL} AS lang, sha256({sql_script_key('t')}) AS key_hash FROM y")
+def answer_keys_by_script(t: Tables):
+    """Answer forms of texts in Chinese, Arabic, German and Spanish."""
+    k = F.col("doc_id") % 4
+    return t.documents.select("doc_id", language(k).alias("lang"), F.sha2(T.script_answer_key(scripted(F.col("text"), k), language(k)), 256).alias("key_hash"))
+
+
 def sql_overlap(src: str, keys: str, orders, gram=sql_ngrams) -> str:
     """CTEs ending in ``ov(keys, n, n_pred, n_ref, n_common)`` from ``src(keys, p, r)`` token lists."""
     parts = " UNION ALL ".join(f"SELECT {keys}, {n} AS n, {s} AS side, unnest({gram(c, n)}) AS g FROM {src}" for n in orders for s, c in enumerate("pr"))
@@ -210,6 +244,20 @@ BAG_SQL = f"""{PAIRS_SQL}, tok AS (SELECT conv_id, turn, {sql_tokens(sql_key('pr
  {sql_overlap('tok', 'conv_id, turn', [1])}"""
 
 
+SCRIPT_F1_SQL = f"""{PAIRS_SQL}, s AS (SELECT conv_id, turn, turn // 2 % 4 AS k, prediction AS x, reference FROM pairs),
+ y AS (SELECT conv_id, turn, k, {SCRIPT_SQL} AS t, reference FROM s), z AS (SELECT conv_id, turn, k, t, reference AS x FROM y), u AS (SELECT conv_id, turn, k, t, {SCRIPT_SQL} AS v FROM z),
+ tok AS (SELECT conv_id, turn, {sql_tokens(sql_script_key('t'))} AS p, {sql_tokens(sql_script_key('v'))} AS r FROM u), {sql_overlap('tok', 'conv_id, turn', [1])}"""
+
+
+@query("token_f1_by_script", f"WITH {SCRIPT_F1_SQL} SELECT conv_id, turn, round(coalesce(2.0 * n_common / (n_pred + n_ref), 0), 6)::DOUBLE AS f1 FROM tok LEFT JOIN ov USING (conv_id, turn)")
+def token_f1_by_script(t: Tables):
+    """Token F1 over words of four languages; a Han character is a word."""
+    k = F.floor(F.col("turn") / 2) % 4
+    words = lambda c: T.split_words(T.script_answer_key(scripted(F.col(c), k), language(k)))
+    pairs = text_pairs(t).withColumns({"pt": words("prediction"), "rt": words("reference")})
+    return rnd(O.bag_f1(pairs, PAIR, F.col("pt"), F.col("rt")), "f1")
+
+
 def keyed_pairs(t: Tables):
     return text_pairs(t).withColumns({"pt": T.split_words(T.answer_key(F.col("prediction"))), "rt": T.split_words(T.answer_key(F.col("reference")))})
 

@@ -190,8 +190,9 @@ def scored_requests(t: Tables):
 def custom_aggregate(t: Tables):
     """A user's root mean square as partial states."""
     update = lambda s, rows: [s[0] + float((rows["gold_num"] ** 2).sum()), s[1] + len(rows)]
-    merge = lambda states: (sum(s[0] for s in states) / sum(s[1] for s in states)) ** 0.5
-    return rnd(K.custom_aggregate(generated(t).select("lang", "gold_num"), ["lang"], update, merge, [0.0, 0.0]), "value")
+    merge = lambda a, b: [a[0] + b[0], a[1] + b[1]]
+    finish = lambda s: (s[0] / s[1]) ** 0.5
+    return rnd(K.custom_aggregate(generated(t).select("lang", "gold_num"), ["lang"], update, merge, finish, [0.0, 0.0]), "value")
 
 
 # --- synthetic tables -------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions import alignment as G
 from evalspark.functions import extraction as X
+from evalspark.functions import text as N
 from evalspark.operators import aggregates as A
 from evalspark.operators import bootstrap as B
 from evalspark.operators import filters as S
@@ -346,12 +347,70 @@ def test_request_store(spark, tmp_path):
     assert not store.exists(key)
 
 
+def test_request_store_commits_with_its_manifest(spark, tmp_path, monkeypatch):
+    """A build that dies before its manifest row is never read; a reader keeps its files through a refresh; empty sets hit."""
+    schema = T.StructType([T.StructField("v", T.LongType())])
+    store = J.RequestStore(spark, str(tmp_path), schema)
+    keys = spark.createDataFrame([("a",), ("12e5",), ("x/y=%",), ("none",)], "cache_key string")
+    build = lambda v: lambda k: k.where("cache_key <> 'none'").withColumn("v", F.lit(v).cast("long"))
+    rows = lambda df: sorted((r.cache_key, r.v) for r in df.collect())
+    assert rows(store.read()) == [] and store.vacuum() == 0
+    first = store.ensure(keys, build(1))
+    assert rows(first) == [("12e5", 1), ("a", 1), ("x/y=%", 1)]
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda entries: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            store.ensure(keys, build(2), refresh=True)
+    assert rows(store.read()) == [("12e5", 1), ("a", 1), ("x/y=%", 1)]
+    assert rows(store.ensure(keys.where("cache_key = 'a'"), build(3), refresh=True)) == [("a", 3)]
+    assert rows(first) == [("12e5", 1), ("a", 1), ("x/y=%", 1)]
+    store.drop(keys.where("cache_key = '12e5'"))
+    assert rows(store.read()) == [("a", 3), ("x/y=%", 1)]
+    assert store.vacuum() == 5  # three of the lost build, the first of a, the deleted one
+    assert rows(store.read()) == [("a", 3), ("x/y=%", 1)] and store.exists("none") and not store.exists("12e5")
+    never = lambda k: pytest.fail("all are stored")
+    assert rows(store.ensure(keys.where("cache_key <> '12e5'"), never)) == [("a", 3), ("x/y=%", 1)]
+    got = spark.range(1).select(J.request_key("t", 3).alias("a"), J.request_key(F.lit("t"), 3, 0, 1, "p", "q").alias("b")).first()
+    assert (got.a, got.b) == (store.key("t", 3, 0, 1), store.key("t", 3, 0, 1, "p", "q"))
+
+
 def test_scorer_and_custom_aggregate(spark):
     df = spark.createDataFrame([("a", "xy"), ("b", "xyz")], "g string, continuation string")
     got = {r.g: (r.loglik, r.is_greedy) for r in K.score_requests(df, K.length_likelihood, K.LIKELIHOOD).collect()}
     assert got == {"a": (-0.2, True), "b": (-0.3, False)}
-    agg = K.custom_aggregate(df, ["g"], lambda s, r: [s[0] + len(r)], lambda xs: sum(x[0] for x in xs), [0.0])
-    assert {r.g: r.value for r in agg.collect()} == {"a": 1.0, "b": 1.0}
+    count = lambda d, by: K.custom_aggregate(d, by, lambda s, r: [s[0] + len(r)], lambda a, b: [a[0] + b[0]], lambda s: s[0], [0.0])
+    assert {r.g: r.value for r in count(df, ["g"]).collect()} == {"a": 1.0, "b": 1.0}
+    assert count(df.where("false"), ["g"]).count() == 0
+
+
+def test_custom_aggregate_is_the_same_for_any_partitioning(spark):
+    """A hot group lies in all tasks; null and NaN keys are groups; long keys beside nulls stay exact; many small groups."""
+    big = 2**60 + 1
+    keys = [(big, 1.5)] * 700 + [(None, 1.5)] * 300 + [(big - 1, float("nan"))] * 300 + [(big - 1, None)] * 30 + [(i, 0.5) for i in range(6000)]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(keys)], "a long, b double, v long")
+    update = lambda s, r: [s[0] + len(r), s[1] + float(r["v"].sum()), max(s[2], float(r["v"].max()))]
+    merge = lambda a, b: [a[0] + b[0], a[1] + b[1], max(a[2], b[2])]
+    finish = lambda s: s[0] * 1e9 + s[1] + s[2]
+    runs = []
+    for n in (1, 7, 300):
+        got = K.custom_aggregate(df.repartition(n), ["a", "b"], update, merge, finish, [0.0, 0.0, -1.0]).collect()
+        runs.append({(r.a, str(r.b)): r.value for r in got})
+        assert len(got) == len(runs[-1]) == 6004
+    assert runs[0] == runs[1] == runs[2]
+    assert runs[0][(big, "1.5")] == 700 * 1e9 + sum(range(700)) + 699 and runs[0][(None, "1.5")] == 300 * 1e9 + sum(range(700, 1000)) + 999
+
+
+def test_exclusion_head_is_bounded_and_whole(spark):
+    """Hot passages and links, nulls and repeated ids: the same rows as a look at the whole pool, from 5k of them."""
+    rows = [(i, "hot" if i % 3 else f"p{i % 11}", f"l{i % 7}" if i % 5 else "hot") for i in range(400)] + [(5, None, "x"), (7, "q", None), (9, "q", "y"), (9, "q", "y")]
+    df = spark.createDataFrame(rows, "id long, p string, l string")
+    k = 3
+    head = R.exclusion_head(df, "id", "p", "l", k + 1, [])
+    assert head.count() <= 5 * (k + 1)
+    got = sorted((r.id, *r.shot_ids) for r in R.first_shots_excluding(df, df, "id", "p", "l", k).collect())
+    pool = sorted(r for r in rows if None not in r)
+    shots = lambda i, p, l: [] if None in (p, l) else [j for j, q, m in pool if j != i and q != p and m != l][:k]
+    assert got == sorted((r[0], *shots(*r)) for r in rows)
 
 
 def test_majority_vote_ties_go_to_the_first_seen(spark):
@@ -543,3 +602,22 @@ def test_marks_beyond_the_alphabet(spark):
     marks = out.o.split(";")
     assert (marks[0], marks[25], marks[26], marks[53], marks[119]) == ("Aa1I", "Zz26XXVI", "AAaa27XXVII", "BBbb54LIV", "DPdp120120")
     assert out.a == "(AB)" and out.b == "(A)"
+
+
+def test_answer_key_by_script(spark):
+    cases = [
+        ("zh", "他说：「Hello World！」今天，OK吗", "他 说 hello world 今 天 ok 吗"),
+        ("zh", "  12 年a b。", "12 年 a b"),
+        ("ar", "الكتاب، والقلم؟", "كتاب و قلم"),
+        ("de", "„Das“ Haus – die Tür!", "haus tür"),
+        ("vi", "Con mèo của tôi là", "con mèo tôi"),
+        ("hi", "यह घर है।", "यह घर है"),
+        ("en", "The cat’s a hat", "cats hat"),
+        ("xx", "the A $5", "the a 5"),
+        (None, "The  A", "the a"),
+        ("zh", "", ""),
+        ("ar", None, None),
+    ]
+    df = spark.createDataFrame(cases, "lang string, x string, want string")
+    for r in df.withColumn("got", N.script_answer_key(F.col("x"), F.col("lang"))).collect():
+        assert r.got == r.want, r
