@@ -43,7 +43,7 @@ TABLES = {
         "x STRING, most INT, context INT, lead STRING",
         "window_no BIGINT, input ARRAY<STRING>, pred ARRAY<STRING>",
         f"""inline(flatten(transform(array({WORDS}), w -> transform(
-            if(size(w) = 0, array(), concat(array(0), if(size(w) > most, sequence(most, size(w) - 1, most - context + 1), array()))),
+            if(size(w) > 0, concat(array(0), if(size(w) > most, sequence(most, size(w) - 1, most - context + 1), array())), array()),
             (p, i) -> struct(bigint(i),
               if(p = 0, concat(array(lead), slice(w, 1, least(most, size(w)) - 1)), slice(w, greatest(least(size(w), p + most - context + 1) - most, 1), most)),
               slice(w, p + 1, if(p = 0, most, most - context + 1)))))))""",

@@ -22,7 +22,7 @@ from evalspark.operators import responses as J
 from evalspark.operators import scorers as K
 from evalspark.operators import scoring as C
 from evalspark.operators import synth as Y
-from evalspark.registry import FILTERS
+from evalspark.registry import FILTERS, register_sql
 from evalspark.sources import corpus as W
 from evalspark.sources import results as L
 from evalspark.streaming import responses as Z
@@ -621,3 +621,25 @@ def test_answer_key_by_script(spark):
     df = spark.createDataFrame(cases, "lang string, x string, want string")
     for r in df.withColumn("got", N.script_answer_key(F.col("x"), F.col("lang"))).collect():
         assert r.got == r.want, r
+
+
+def test_table_functions_in_sql(spark):
+    """Null, empty and short texts have no rows; no exchange beside the outer table; lateral pieces as the operators give them."""
+    assert {"word_ngrams", "score_windows", "clean_pieces"} <= set(register_sql(spark))
+    words = " ".join(f"w{i}" for i in range(23))
+    spark.createDataFrame([(1, None), (2, ""), (3, " a\tb "), (4, words)], "id long, x string").createOrReplaceTempView("table_function_rows")
+    grams = spark.sql("SELECT id, g.place, g.ngram FROM table_function_rows, LATERAL word_ngrams(x, 2) AS g")
+    assert "Exchange" not in grams._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, r.place, r.ngram) for r in grams.orderBy("id", "place").collect()]
+    assert got == [(3, 1, "a b")] + [(4, i + 1, f"w{i} w{i + 1}") for i in range(22)]
+    out = spark.sql("SELECT id, w.* FROM table_function_rows, LATERAL score_windows(x, 8, 3, '<s>') AS w ORDER BY id, window_no").collect()
+    assert [(r.id, list(r.input), list(r.pred)) for r in out if r.id < 4] == [(3, ["<s>", "a"], ["a", "b"])]
+    assert [(list(r.input), list(r.pred)) for r in out if r.id == 4] == windows(words.split(), "<s>", 8, 3)
+    text = "".join(chr(97 + i % 26) for i in range(100))
+    spans = lambda *s: "array(" + ", ".join(f"struct({a}L AS start, {b}L AS stop)" for a, b in s) + ")"
+    cut = lambda x, s, most=10: [(r.chunk_no, r.chunk) for r in spark.sql(f"SELECT c.* FROM (SELECT {x} AS x), LATERAL clean_pieces(x, {s}, 5, {most}, 8) AS c ORDER BY 1").collect()]
+    whole = f"'{text}'"
+    assert cut(whole, "NULL") == [(0, text)] and cut("'short'", "NULL") == [] and cut("CAST(NULL AS STRING)", "NULL") == []
+    assert cut(whole, spans((60, 62), (20, 25))) == [(0, text[:15]), (1, text[30:55]), (2, text[68:])]
+    assert cut(whole, spans((60, 62), (20, 25)), 1) == []
+    assert cut(whole, spans((3, 4), (90, 99))) == [(0, text[9:85])]
