@@ -11,6 +11,7 @@ from evalspark.operators import decontam as D
 from evalspark.functions.ngrams import ngrams
 from evalspark.plans.base import Tables, query, sql_clean, sql_ngrams, sql_tokens, SPACE
 from evalspark.registry import register_sql
+from evalspark.session import settle
 from evalspark.sources.corpus import scratch_path
 
 
@@ -164,10 +165,13 @@ def sql_clean_chunks(t: Tables):
     register_sql(t.spark, ["clean_pieces"])
     t.corpus.createOrReplaceTempView("evalspark_chunk_documents")
     D.dirty_spans(t.corpus, D.contaminant_ngrams(t.benchmark, N), N).createOrReplaceTempView("evalspark_spans")
+    few = t.spark.sql("""
+        SELECT doc_id, collect_list(struct(bigint(start) AS start, bigint(stop) AS stop)) AS spans
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM evalspark_spans) WHERE k <= 11 GROUP BY doc_id""")
+    settle(few).createOrReplaceTempView("evalspark_few_spans")  # whole texts stay where they are
     return t.spark.sql("""
-        WITH few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM evalspark_spans) WHERE k <= 11),
-             cut AS (SELECT doc_id, collect_list(struct(bigint(start) AS start, bigint(stop) AS stop)) AS spans FROM few GROUP BY doc_id)
-        SELECT doc_id, c.chunk_no, c.chunk FROM evalspark_chunk_documents LEFT JOIN cut USING (doc_id), LATERAL clean_pieces(text, spans, 200, 10, 200) AS c""")
+        SELECT doc_id, c.chunk_no, c.chunk FROM evalspark_chunk_documents LEFT JOIN evalspark_few_spans USING (doc_id),
+            LATERAL clean_pieces(text, spans, 200, 10, 200) AS c""")
 
 
 @query(
