@@ -182,6 +182,20 @@ def preview(text: Column, maximum: int) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """``%.{digits}f`` with exact ties rounded to the even digit (fractions of powers of two)."""
+    """``%.{digits}f`` of the exact binary value, as C has it; an exact tie goes to the even digit, null stays null.
+
+    The format of the JVM rounds the shortest decimal text half up, so 0.01875, which lies above its tie or below, always
+    went up. Here twice the scaled value is compared with an odd number without an error: ``x`` is split into 26 bits and
+    the rest, whose products are exact.
+    """
+    unit = 10**digits
+    size = F.abs(x)
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    below = F.floor(size * float(unit))
+    beyond = (high * (2.0 * unit) - (2 * below + 1)) + (size - high) * (2.0 * unit)
+    up = (beyond > 0) | ((beyond == 0) & (below % 2 == 1))
+    near = F.format_string(f"%.{digits}f", (below + F.when(up, 1).otherwise(0)) / F.lit(float(unit)))
     scaled = x * float(1 << 20)
-    return F.format_string(f"%.{digits}f", F.when(scaled == F.floor(scaled), F.bround(x, digits)).otherwise(x))
+    far = F.format_string(f"%.{digits}f", F.when(scaled == F.floor(scaled), F.bround(x, digits)).otherwise(x))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(x.isNotNull(), F.when(size < 1e14 / unit, F.concat(sign, near)).otherwise(far))
