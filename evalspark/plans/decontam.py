@@ -202,20 +202,20 @@ WITH g AS (SELECT doc_id, unnest({sql_ngrams('toks', N)}) AS ngram FROM (SELECT
 """
 
 
-def written_ngram_table(t: Tables) -> str:
+def written_ngram_table(t: Tables, buckets: int) -> str:
     """The 13-grams of all documents as a bucketed table, appended in two parts."""
     name = f"ngrams_{uuid.uuid4().hex}"
     path = scratch_path(t.spark, name)
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for part, rows in (("english", t.corpus.where(english)), ("others", t.corpus.where(~english))):
-        D.append_ngram_table(rows, name, N, part, path=path)
+        D.append_ngram_table(rows, name, N, part, buckets, path)
     return name
 
 
 @query("ngram_table", TABLE_SQL + "SELECT * FROM counted")
 def ngram_table(t: Tables):
     """Every 13-gram, counted from the written table."""
-    return D.ngram_table_counts(t.spark, written_ngram_table(t))
+    return D.ngram_table_counts(t.spark, written_ngram_table(t, D.buckets_for(t.documents)))
 
 
 @query(
@@ -229,8 +229,9 @@ def ngram_table_overlap(t: Tables):
     """Corpus and benchmark as two tables that meet bucket by bucket."""
     name = f"items_{uuid.uuid4().hex}"
     items = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
-    D.append_ngram_table(items, name, N, "all", path=scratch_path(t.spark, name))
-    return D.ngram_table_overlap(t.spark, written_ngram_table(t), name)
+    buckets = D.buckets_for(t.documents)
+    D.append_ngram_table(items, name, N, "all", buckets, scratch_path(t.spark, name))
+    return D.ngram_table_overlap(t.spark, written_ngram_table(t, buckets), name)
 
 
 DF_SQL = f"SELECT ngram, count(*)::BIGINT AS n_docs FROM ({doc_grams_sql(3)}) GROUP BY ngram HAVING count(*) > 10"
