@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -269,3 +270,25 @@ def character_gram_counts(order: int):
         return pd.Series([[dict(zip(names, row)) for row in gram_counts(p or "", r or "", order)] for p, r in zip(pred, ref)])
 
     return run
+
+
+def token_gram_counts(orders: tuple[int, ...], rows: int = 256):
+    """``(n, n_pred, n_ref, n_common)`` per order of two token arrays; a few rows at a time leave Arrow."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("n", "n_pred", "n_ref", "n_common")]))
+
+    def counts(p: list, r: list) -> list[dict]:
+        out = []
+        for n in orders:
+            a, b = (Counter(zip(*[t[i:] for i in range(n)])) for t in (p, r))
+            small, large = (a, b) if len(a) <= len(b) else (b, a)
+            common = sum(min(c, large[g]) for g, c in small.items() if g in large)
+            out.append({"n": n, "n_pred": max(len(p) - n + 1, 0), "n_ref": max(len(r) - n + 1, 0), "n_common": common})
+        return out
+
+    @F.arrow_udf(GRAM_COUNTS)
+    def run(pred: pa.Array, ref: pa.Array) -> pa.Array:
+        part = lambda x, i: x.slice(i, rows).to_pylist()
+        done = [pa.array([counts(p or [], r or []) for p, r in zip(part(pred, i), part(ref, i))], kind) for i in range(0, len(pred), rows)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
+
+    return run
