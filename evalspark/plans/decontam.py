@@ -191,8 +191,7 @@ def sql_ngrams_query(t: Tables):
 )
 def ngram_sort(t: Tables):
     """Range-partitioned global sort of all n-grams (the bucket-and-sort stage)."""
-    g = D.distinct_ngrams(t.corpus, ["doc_id"], 5).groupBy("ngram").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    return g.orderBy("ngram")
+    return D.sorted_ngrams(t.corpus, 5)
 
 
 TABLE_SQL = f"""
