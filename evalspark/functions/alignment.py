@@ -82,14 +82,24 @@ def edit_ratio(a: str, b: str) -> float:
     return round(200.0 * lcs_length(a, b) / total) / 100 if total else 0.0
 
 
-def _edits(hyp: np.ndarray, ref: np.ndarray) -> int:
-    """Word edit distance, one vectorised row at a time."""
-    steps = np.arange(len(ref) + 1)
-    row = steps.copy()
-    for i, w in enumerate(hyp, 1):
-        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (ref != w))))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
+def _edit_rows(masks: dict[int, int], m: int, words: list[int], state: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """States of the word edit distance to a reference of ``m`` words after each further word, ``state`` first.
+
+    Bit-parallel: a state holds where the row of the table rises and where it falls, and its last entry, which is the
+    distance. ``masks`` has the places of each word in the reference.
+    """
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, d = state
+    states = [state]
+    for w in words:
+        same = masks.get(w, 0)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        d += 1 if right & last else -1 if left & last else 0
+        right, left = (right << 1) | 1, left << 1
+        up, down = (left | ~(diagonal | right)) & full, right & diagonal & full
+        states.append((up, down, d))
+    return states
 
 
 # Bounds of the block-shift search of the published translation edit rate.
@@ -98,13 +108,13 @@ MAX_SHIFT_DISTANCE = 50
 MAX_SHIFT_CANDIDATES = 1000
 
 
-def _shifts(hyp: np.ndarray, ref: np.ndarray):
+def _shifts(hyp: list[int], ref: list[int]):
     """Blocks of the hypothesis that occur in the reference at another place, and where they can go."""
     at: dict[int, list[int]] = {}
     for j, w in enumerate(ref):
-        at.setdefault(int(w), []).append(j)
+        at.setdefault(w, []).append(j)
     for i in range(len(hyp)):
-        for j in at.get(int(hyp[i]), ()):
+        for j in at.get(hyp[i], ()):
             if i == j or abs(i - j) > MAX_SHIFT_DISTANCE:
                 continue
             size = 0
@@ -116,16 +126,20 @@ def _shifts(hyp: np.ndarray, ref: np.ndarray):
 def translation_edits(pred: str, ref: str) -> int:
     """Edits to turn the prediction into the reference where moving a block counts as one edit.
 
-    Greedy: as long as some move lowers the edit distance, the one that lowers it most is made.
+    Greedy: as long as some move lowers the edit distance, the one that lowers it most is made. A move leaves the words
+    before it as they are, so its distance goes on from their state.
     """
     words = {w: k for k, w in enumerate(dict.fromkeys((pred + " " + ref).split()))}
-    h = np.array([words[w] for w in pred.split()], dtype=np.int64)
-    r = np.array([words[w] for w in ref.split()], dtype=np.int64)
-    if not len(r):
+    h, r = [words[w] for w in pred.split()], [words[w] for w in ref.split()]
+    if not r:
         return len(h)
-    if not len(h):
+    if not h:
         return len(r)
-    moved, best = 0, _edits(h, r)
+    masks: dict[int, int] = {}
+    for j, w in enumerate(r):
+        masks[w] = masks.get(w, 0) | (1 << j)
+    rows = _edit_rows(masks, len(r), h, ((1 << len(r)) - 1, 0, len(r)))
+    moved, best = 0, rows[-1][2]
     tried = 0
     while best and tried < MAX_SHIFT_CANDIDATES:
         choice = None
@@ -133,15 +147,18 @@ def translation_edits(pred: str, ref: str) -> int:
             tried += 1
             if tried > MAX_SHIFT_CANDIDATES:
                 break
-            block, rest = h[i : i + size], np.delete(h, np.s_[i : i + size])
-            new = np.insert(rest, min(j, len(rest)), block)
-            d = _edits(new, r)
+            rest = h[:i] + h[i + size :]
+            new = rest[:j] + h[i : i + size] + rest[j:]
+            kept = min(i, j)
+            d = _edit_rows(masks, len(r), new[kept:], rows[kept])[-1][2]
             key = (best - d, size, -i)
             if d < best and (choice is None or key > choice[0]):
-                choice = (key, new, d)
+                choice = (key, new)
         if choice is None:
             break
-        h, best, moved = choice[1], choice[2], moved + 1
+        h = choice[1]
+        rows = _edit_rows(masks, len(r), h, rows[0])
+        best, moved = rows[-1][2], moved + 1
     return best + moved
 
 

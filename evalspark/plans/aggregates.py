@@ -21,6 +21,7 @@ from evalspark.plans.filters import PICK
 from evalspark.plans.fixtures import CHOICES_SQL, GENERATED_SQL, PAIRS_SQL, choice_rows, eval_docs, generated, text_pairs
 from evalspark.plans.prepare import VARIANTS_SQL, order_variants
 from evalspark.plans.scoring import ARG_SQL, PAIR, ROLLING_SQL, SOFT_SQL, SUBST_SQL, bleu_sql, rnd, sql_overlap
+from evalspark.session import distribute
 
 L = "long"
 METRICS = ["acc", "acc_norm", "acc_mutual_info", "exact_match"]
@@ -166,7 +167,7 @@ def corpus_chrf(t: Tables):
 @query("corpus_ter")
 def corpus_ter(t: Tables):
     """Translation edit rate with block moves (alignment in Arrow batches); see the brute-force test."""
-    p = text_pairs(t).select(F.lower("prediction").alias("p"), F.lower("reference").alias("r"))
+    p = distribute(text_pairs(t), *PAIR).select(F.lower("prediction").alias("p"), F.lower("reference").alias("r"))
     s = p.select(G.translation_edits_col("p", "r").alias("edits"), F.size(F.filter(F.split("r", r"\s+"), lambda w: w != "")).alias("n_ref"))
     return s.agg(F.round(100.0 * F.sum("edits") / F.sum("n_ref"), 4).alias("ter"))
 

@@ -151,6 +151,18 @@ def test_translation_edits():
         assert G.translation_edits(" ".join(a), " ".join(b)) <= levenshtein(a, b)
 
 
+def test_translation_edits_go_on_from_a_prefix():
+    """Distances row by row are those of the plain table, from the start and from any prefix, beyond 64 words as well."""
+    rnd = random.Random(6)
+    for k in (3, 9, 70, 150):
+        a, b = (rnd.choices(range(12), k=rnd.randint(1, k)) for _ in range(2))
+        masks = {w: sum(1 << j for j, x in enumerate(b) if x == w) for w in a}
+        rows = G._edit_rows(masks, len(b), a, ((1 << len(b)) - 1, 0, len(b)))
+        assert [d for _, _, d in rows] == [levenshtein(a[:i], b) for i in range(len(a) + 1)]
+        at = rnd.randint(0, len(a))
+        assert G._edit_rows(masks, len(b), a[at:], rows[at]) == rows[at:]
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for n, m in [(1, 1), (2, 3), (4, 2), (4, 4), (3, 5)]:
