@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalspark.operators.decontam import distinct_ngrams
+from evalspark.session import distribute
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -78,8 +79,9 @@ def exported(spark: SparkSession, out: str, order: str) -> DataFrame:
 
 
 def ngram_stream(docs: DataFrame, n: int, out: str, checkpoint: str) -> StreamingQuery:
-    """Resumable n-gram generation: the checkpoint remembers which files are done."""
-    grams = distinct_ngrams(docs, ["doc_id"], n)
+    """Resumable n-gram generation: the checkpoint remembers which files are done. Texts of a batch are spread over all
+    tasks first, however few files they lie in."""
+    grams = distinct_ngrams(distribute(docs, "doc_id"), ["doc_id"], n)
     q = grams.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
