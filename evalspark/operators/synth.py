@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.rows import frequent_word_rows
 from evalspark.functions.text import bind, split_words, strip
 from evalspark.operators.ordering import top_per_group
 from evalspark.operators.prompts import draw_shots
+from evalspark.session import settle
 
 # Fixed value: the sentence that is hidden in a text.
 NEEDLE = "One of the special magic {type} for {key} is: {value}."
@@ -41,10 +43,16 @@ def hide_sentences(text: Column, needles: Column, depths: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """The k most frequent words of each document (alphabetical on ties) with their counts."""
-    words = docs.select(key, F.explode(split_words(F.lower(text))).alias("word"))
+    """The k most frequent words of each document (alphabetical on ties) with their counts.
+
+    A document is counted inside its row. Only keys that have several rows have their words shuffled.
+    """
+    several = settle(docs.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select(F.col(key).alias("_several")))
+    same = F.col(key).eqNullSafe(F.col("_several"))
+    own = frequent_word_rows(docs.join(several, same, "left_anti"), key, F.lower(text), k)
+    words = docs.join(several, same, "left_semi").select(key, F.explode(split_words(F.lower(text))).alias("word"))
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return top_per_group(counts, [key], [F.col("n").desc(), F.col("word")], k, "rank")
+    return own.unionByName(top_per_group(counts, [key], [F.col("n").desc(), F.col("word")], k, "rank"))
 
 
 def numbered_words(text: Column) -> Column:

@@ -696,3 +696,13 @@ def test_gram_counts_stay_in_the_row(spark):
             if n < 3:
                 assert scores[k][f"rouge{n}"] == pytest.approx(2 * common / (len(a) + len(b)) if common else 0.0)
         assert (got[k].sys_len, got[k].ref_len) == (len(p.split()), len(r.split()))
+
+
+def test_frequent_words_are_counted_in_their_row(spark):
+    """Only keys with several rows, a null key too, have their words dealt; ties go by code point."""
+    rows = [(1, "b B a\u3000c c c"), (2, "x"), (2, "Y x"), (3, None), (4, ""), (None, "q"), (None, "q r"), (5, "\U0001f600 \uffff")]
+    got = Y.frequent_words(spark.createDataFrame(rows, "k long, t string"), "k", "t", 2)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r["k"] or 0, r["rank"], r["word"], r["n"]) for r in got.collect())) == [
+        (0, 1, "q", 2), (0, 2, "r", 1), (1, 1, "c", 3), (1, 2, "b", 2), (2, 1, "x", 2), (2, 2, "y", 1), (5, 1, "\uffff", 1), (5, 2, "\U0001f600", 1)
+    ]
