@@ -100,8 +100,8 @@ RULES = {
     "change_case:capital_word_frequency": lambda v, a: _relation(
         F.size(F.filter(F.regexp_extract_all(v, F.lit(r"[\p{L}\p{N}'-]+"), F.lit(0)), lambda w: (F.upper(w) == w) & (F.lower(w) != w))), a
     ),
-    "change_case:english_capital": lambda v, a: (F.upper(v) == v) & (F.lower(v) != v),
-    "change_case:english_lowercase": lambda v, a: (F.lower(v) == v) & (F.upper(v) != v),
+    "change_case:english_capital": lambda v, a: ~v.rlike("[a-z]") & (F.upper(v) == v) & (F.lower(v) != v),  # most texts are told by their first letter
+    "change_case:english_lowercase": lambda v, a: ~v.rlike("[A-Z]") & (F.lower(v) == v) & (F.upper(v) != v),
     "punctuation:no_comma": lambda v, a: ~F.contains(v, F.lit(",")),
 }
 

@@ -706,3 +706,23 @@ def test_frequent_words_are_counted_in_their_row(spark):
     assert sorted(((r["k"] or 0, r["rank"], r["word"], r["n"]) for r in got.collect())) == [
         (0, 1, "q", 2), (0, 2, "r", 1), (1, 1, "c", 3), (1, 2, "b", 2), (2, 1, "x", 2), (2, 2, "y", 1), (5, 1, "\uffff", 1), (5, 2, "\U0001f600", 1)
     ]
+
+
+def test_variants_are_looked_at_where_the_response_fails(spark):
+    """No array of all variants' verdicts is kept beside the strict one; rows without rules have no verdict, and the open
+    language rule stays null."""
+    from evalspark.operators.instructions import check_rules
+
+    schema = "k int, t string, rules array<struct<rule: string, args: struct<n: int, m: int, relation: string, words: array<string>, text: string>>>"
+    args = (1, 0, "", ["b"], "x")
+    rule = lambda name: (name, args)
+    both = [rule("punctuation:no_comma"), rule("language:response_language"), rule("keywords:existence")]
+    rows = [(1, "a, c\nb", both), (2, "a, c", []), (3, "", both), (4, "a", None), (5, "a,", both)]
+    got = check_rules(spark.createDataFrame(rows, schema), ["k"], "t", "rules")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(c#" not in plan
+    assert {(r["k"], r["rule"].split(":")[1]): (r["strict"], r["loose"]) for r in got.collect()} == {
+        (1, "no_comma"): (False, True), (1, "response_language"): (None, None), (1, "existence"): (True, True),
+        (3, "no_comma"): (False, False), (3, "response_language"): (False, False), (3, "existence"): (False, False),
+        (5, "no_comma"): (False, False), (5, "response_language"): (None, None), (5, "existence"): (False, False),
+    }
