@@ -11,6 +11,8 @@ from evalspark.llm.queries import vocabulary
 
 #: A passage of just over 50 words is a repeat, however few bytes it has; so is one of suffix.LENGTH bytes.
 PASSAGE_WORDS = 51
+#: The stages share their executors' memory, so a worker remembers fewer units of the tokenizer than where it packs alone.
+REMEMBERED = 300_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids and their places in windows of 2048."""
     small_batches(spark)
-    return packing.pack(packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), keep_ids=False))
+    return packing.pack(packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), keep_ids=False, remembered=REMEMBERED))
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", one_of_each), ("repeats", cut_repeats), ("mixing", mix_sources), ("packing", pack_windows)]

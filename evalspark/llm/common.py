@@ -42,14 +42,34 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with ``fn`` from the columns of a batch (lists of Python values) to columns of the result."""
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` returns, made once in a worker process and kept there for later tasks."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Frees what earlier passes keep in this worker process, which outlives them."""
+    _kept.clear()
+
+
+def arrow_pass(df: DataFrame, fn: Callable[[dict], dict | None], schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with ``fn`` from the columns of a batch (lists of Python values) to columns of the result.
+
+    Only a pass that ``keeps`` leaves what is kept in its worker processes in place.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         for b in batches:
             if b.num_rows:
                 out = fn(b.to_pydict())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import Memory, arrow_pass, blocks, cut_lineage
+from evalspark.llm.common import Memory, arrow_pass, blocks, cut_lineage, kept
 from evalspark.operators.ordering import with_position
 
 EOS = 1
@@ -29,13 +29,13 @@ class UnitTokenizer:
     go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.first, self.spaced = Memory(REMEMBERED // 5), Memory(REMEMBERED)
+        self.first, self.spaced = Memory(remembered // 5), Memory(remembered)
         self.feed = self._whole("\n")
         self.stops = {c: self._whole(c) for c in ",."}  # a token of their own after a letter
         self.feed_id = int.from_bytes(self.feed, "little")
@@ -91,29 +91,25 @@ class UnitTokenizer:
         return b"".join(parts[1:])
 
 
-_loaded: dict[str, UnitTokenizer] = {}
+def tokenizer(path: str, remembered: int = REMEMBERED) -> UnitTokenizer:
+    """One tokenizer per worker process, until a pass without one runs there."""
+    return kept(("tokenizer", path, remembered), lambda: UnitTokenizer(path, remembered))
 
 
-def tokenizer(path: str) -> UnitTokenizer:
-    """One tokenizer per worker process."""
-    if path not in _loaded:
-        _loaded[path] = UnitTokenizer(path)
-    return _loaded[path]
-
-
-def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, text: str = "text", keep_ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of every text's ids, of ``window`` ids and a last shorter one: doc_id, start, length, ids_crc32,
     doc_tokens and, with ``keep_ids``, the ids themselves.
 
     The ids of a text are followed by the end id; so an empty or null text has one piece of one id, and no document
-    is without a piece. Repeated rows give repeated pieces.
+    is without a piece. Repeated rows give repeated pieces. Each worker remembers ids of at most ``remembered`` units,
+    about 230 bytes each; with fewer it learns units again, with the same ids.
     """
 
     def cut(cols: dict) -> dict:
         doc, start, length, crc, total, kept = [], [], [], [], [], []
         end = np.array([EOS], dtype="<u4").tobytes()
         texts = [t or "" for t in cols["text"]]
-        for d, raw in zip(cols["doc_id"], tokenizer(vocabulary).ids(texts), strict=True):
+        for d, raw in zip(cols["doc_id"], tokenizer(vocabulary, remembered).ids(texts), strict=True):
             raw += end
             n = len(raw) // 4
             for at in range(0, n, window):
@@ -129,7 +125,7 @@ def token_pieces(df: DataFrame, vocabulary: str, window: int = 2048, text: str =
         return out | {"ids": pa.array(kept, pa.list_(pa.int32()))} if keep_ids else out
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return arrow_pass(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), cut, schema)
+    return arrow_pass(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), cut, schema, keeps=True)
 
 
 class OpenWindows:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, blocks, cut_lineage, hash_words, mix
+from evalspark.llm.common import arrow_pass, blocks, cut_lineage, hash_words, let_go, mix
 from evalspark.llm.mixing import draw
 
 BITS = 21
@@ -139,6 +139,7 @@ def fit(sample: DataFrame) -> Ordinal:
     """The model of a bounded sample, fitted in one task; only the weights of active cells and thresholds reach the driver."""
 
     def train(t: pa.Table) -> pa.Table:
+        let_go()
         t = t.sort_by("doc_id")
         m = fit_ordinal([(x or "").encode() for x in t["text"].to_pylist()], t["grade"].to_numpy())
         cells = np.flatnonzero(m.w)

@@ -115,3 +115,23 @@ def test_shared_passage_of_51_words_is_cut(spark):
     docs = [(i, f"{w(f'a{i}x', 30)} {passage} {w(f'b{i}x', 30)} {short} {w(f'c{i}x', 9)}") for i in range(3)] + [(9, w("z", 90))]
     out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long")), SF)
     assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(d, t.replace(passage, ""), len(t.replace(passage, ""))) for d, t in docs]
+
+
+def test_packing_remembers_few_units_and_lets_go(spark):
+    """Memory of a worker: bounded by what the stage passes, and freed by the next pass without a tokenizer."""
+    from tokenizers import Tokenizer
+
+    from evalspark.llm import common, packing
+
+    tok, model = packing.UnitTokenizer(BPE, remembered=1000), Tokenizer.from_file(BPE)
+    for part in range(40):
+        text = " ".join(f"w{part}x{i % 150}" for i in range(300))
+        assert np.frombuffer(tok.ids([text])[0], "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+        assert len(tok.spaced) + len(tok.spaced.old) <= 1000
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(8)], "doc_id long, text string").coalesce(1)
+    packing.token_pieces(docs, BPE, remembered=corpus_pipeline.REMEMBERED).count()
+    held = lambda cols: {"n": [len(common._kept)]}
+    assert corpus_pipeline.REMEMBERED <= packing.REMEMBERED // 4 and common.arrow_pass(docs, held, "n long").first().n == 0
+    assert packing.tokenizer(BPE, 1000) is packing.tokenizer(BPE, 1000) and common._kept
+    common.let_go()
+    assert not common._kept
