@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import arrow_pass, cut_lineage, hash_words, mix, with_filter
+from evalspark.llm.common import arrow_pass, blocks, cut_lineage, hash_words, mix, with_filter
 from evalspark.session import broadcast_if_small
 
 LENGTH, GRAM = 400, 32
@@ -19,8 +19,14 @@ WORD_GRAM = 5
 SMALL = 200_000
 SHARD_BYTES, HOT_BYTES = 1 << 20, 8 << 20
 _CHUNK = 1 << 22
+#: Bytes of short texts that are read together.
+_BLOCK = 1 << 17
 _LOW = np.uint64(0xFFFFFF)
 _ODD = np.random.default_rng(41).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Columns of a piece.
+PIECE = ("start", "size", "at", "anchor", "d1", "d2")
+#: Parts of the distance between a string's start and its anchor, see _candidates.
+_PARTS = 8
 #: Separates pieces in a shard; no byte of UTF-8 text has this value.
 _GAP = 0xFF
 
@@ -218,32 +224,41 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
 # --- pieces ----------------------------------------------------------------------------------------
 
 
-def pieces_of(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, anchor) of pieces of a text, such that each string of ``length`` bytes lies whole in one piece and
-    equal strings lie in pieces with one anchor, wherever they are.
+def pieces_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, start, size, where the anchor is in the piece, anchor) of pieces of texts, such that each string of
+    ``length`` bytes lies whole in one piece and equal strings lie in pieces with one anchor, wherever they are.
 
     The anchor of a string is its ``gram`` bytes with the least hash, the first of equals; strings next to each other
-    with the same anchor make up a piece.
+    with the same anchor make up a piece. Short texts are read together.
     """
-    if len(text) < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    starts, sizes, anchors = [], [], []
+    out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
     width = length - gram + 1
-    for at in range(0, len(text) - length + 1, _CHUNK):
-        part = text[at : at + _CHUNK + length - 1]
-        n = len(part) - gram + 1
-        words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
-        h = np.zeros(n, np.uint64)
-        for j, odd in enumerate(_ODD):
-            h += words[8 * j : 8 * j + n] * odd
-            h ^= h >> np.uint64(29)
-        h = mix(h)
-        least = _least(h, width)
-        first = np.flatnonzero(np.diff(least, prepend=-1))
-        starts.append(first + at)
-        sizes.append(np.diff(first, append=len(least)) + length - 1)
-        anchors.append(h[least[first]])
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
+    for lo, hi in blocks(texts, _BLOCK):
+        joined = b"".join(texts[lo:hi])
+        end = np.cumsum([len(t) for t in texts[lo:hi]])
+        begin = np.append(0, end[:-1])
+        for at in range(0, len(joined) - length + 1, _CHUNK):
+            part = joined[at : at + _CHUNK + length - 1]
+            n = len(part) - gram + 1
+            words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+            h = np.zeros(n, np.uint64)
+            for j, odd in enumerate(_ODD):
+                h += words[8 * j : 8 * j + n] * odd
+                h ^= h >> np.uint64(29)
+            h = mix(h)
+            least = _least(h, width)
+            first, many, own = _runs(least, begin - at, end - at, length)
+            out.append((own + lo, first + at - begin[own], many + length - 1, least[first] - first, h[least[first]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _runs(least: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, number, text) of runs of windows with one place in ``least``, of those that lie in one text."""
+    cuts = np.concatenate([np.flatnonzero(np.diff(least, prepend=-1)), begin, end - length + 1])
+    cuts = np.unique(cuts[(cuts >= 0) & (cuts < len(least))])
+    own = np.searchsorted(end, cuts, side="right")
+    whole = cuts + length <= end[own]
+    return cuts[whole], np.diff(cuts, append=len(least))[whole], own[whole]
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -259,30 +274,26 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(suffix[:m], prefix[width - 1 : width - 1 + m]) & _LOW).astype(np.int64)
 
 
-def word_pieces_of(text: bytes, words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for strings of ``words`` words: (first byte, size in bytes, anchor) of pieces that begin and end with
-    a word. The anchor is the least hash of ``gram`` words in a row, so space between words has no part in it."""
-    h, first_byte, size = hash_words(text)
+def word_pieces_of(texts: list[bytes], words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """The same for strings of ``words`` words: (text, first byte, size in bytes, -1, anchor) of pieces that begin and
+    end with a word. The anchor is the least hash of ``gram`` words in a row, so space between words has no part in it."""
+    out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
     gram = min(gram, words)
-    if len(h) < words:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    grams = np.zeros(len(h) - gram + 1, np.uint64)
-    for j in range(gram):
-        grams = mix(grams + h[j : j + len(grams)])
-    end_byte = first_byte + size
-    starts, sizes, anchors = [], [], []
-    for at in range(0, len(h) - words + 1, _CHUNK):
-        part = grams[at : at + _CHUNK + words - gram]
-        least = _least(part, words - gram + 1)
-        first = np.flatnonzero(np.diff(least, prepend=-1))
-        last = np.append(first[1:], len(least)) + words - 2
-        starts.append(first_byte[first + at])
-        sizes.append(end_byte[last + at] - starts[-1])
-        anchors.append(part[least[first]])
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(anchors)
-
-
-_TIMES = np.random.default_rng(43).integers(1, 2**62, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for lo, hi in blocks(texts, _BLOCK):
+        h, first_byte, size = hash_words(b" ".join(texts[lo:hi]))
+        begin_byte = np.cumsum([0, *[len(t) + 1 for t in texts[lo:hi]]])
+        begin = np.searchsorted(first_byte, begin_byte)
+        grams = np.zeros(max(len(h) - gram + 1, 0), np.uint64)
+        for j in range(gram):
+            grams = mix(grams + h[j : j + len(grams)])
+        end_byte = first_byte + size
+        for at in range(0, len(h) - words + 1, _CHUNK):
+            part = grams[at : at + _CHUNK + words - gram]
+            least = _least(part, words - gram + 1)
+            first, many, own = _runs(least, begin[:-1] - at, begin[1:] - at, words)
+            start = first_byte[first + at]
+            out.append((own + lo, start - begin_byte[own], end_byte[first + many + at + words - 2] - start, np.full(len(first), -1), part[least[first]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def word_strings(pieces: list[bytes], words: int) -> dict[str, np.ndarray]:
@@ -292,11 +303,18 @@ def word_strings(pieces: list[bytes], words: int) -> dict[str, np.ndarray]:
     owner = np.searchsorted(begin, start, side="right") - 1
     m = max(len(h) - words + 1, 0)
     out = {}
-    for name, x, times in zip(("w1", "w2"), (h, mix(h + _ODD[0])), _TIMES, strict=True):
-        w = np.zeros(m, np.uint64)
-        for j in range(words):
-            w = (w ^ (w >> np.uint64(29))) * times + x[j : j + m]
-        out[name] = mix(w).view(np.int64)
+    for name, x, odd in zip(("w1", "w2"), (h, mix(h + _ODD[0])), _ODD[1:], strict=False):
+        # strings of 1, 2, 4 ... words, of which those in the binary digits of ``words`` follow each other
+        w, done, step = np.zeros(m, np.uint64), 0, 1
+        while True:
+            if words & step:
+                w = mix(w * odd + x[done : done + m])
+                done += step
+            if 2 * step > words:
+                break
+            x = mix(x[:-step] * odd + x[step:])
+            step *= 2
+        out[name] = w.view(np.int64)
     whole = np.flatnonzero(owner[:m] == owner[len(h) - m :])
     last = whole + words - 1
     base = begin[owner[whole]]
@@ -310,34 +328,29 @@ def _keys(text: str) -> tuple[F.Column, F.Column]:
 
 
 def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
-    """(doc_id, k1, k2, pieces) of each row: hashes of its text and its pieces (start, size, anchor, digest d1 d2, w).
+    """(doc_id, k1, k2) of each row, hashes of its text, and its pieces as arrays: start, size, anchor, digest d1 d2,
+    and at, where the anchor is in the piece.
 
-    One reading of a text gives its pieces for strings of ``length`` bytes and, with ``w``, for strings of ``words``
-    words; 0 leaves a kind out. Digests and anchors of the two kinds are apart.
+    One reading of a text gives its pieces for strings of ``length`` bytes and, with an ``at`` of -1, for strings of
+    ``words`` words; 0 leaves a kind out. Digests and anchors of the two kinds are apart.
     """
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("w", pa.bool_())]))
-    ways = [(False, lambda raw: pieces_of(raw, length))] * (length > 0) + [(True, lambda raw: word_pieces_of(raw, words))] * (words > 0)
+    ways = [lambda texts: pieces_of(texts, length)] * (length > 0) + [lambda texts: word_pieces_of(texts, words)] * (words > 0)
 
     def run(cols: dict) -> dict:
-        offsets, parts, digests = [0], [], []
-        for t in cols["text"]:
-            raw = (t or "").encode()
-            view, many = memoryview(raw), 0
-            for w, pieces in ways:
-                start, size, anchor = pieces(raw)
-                mark = b"w" * w
-                digests += [hashlib.blake2b(view[a : a + n], digest_size=16, key=mark).digest() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-                parts.append((start, size, (mix(anchor) if w else anchor).view(np.int64), np.full(len(start), w)))
-                many += len(start)
-            offsets.append(offsets[-1] + many)
-        start, size, anchor, which = (np.concatenate(x) for x in zip(*parts, strict=True))
-        d = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        flat = pa.StructArray.from_arrays([pa.array(x) for x in (start, size, anchor, np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), which)], fields=list(kind.value_type))
-        return {"doc_id": cols["doc_id"], "k1": cols["k1"], "k2": cols["k2"], "pieces": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
+        texts = [(t or "").encode() for t in cols["text"]]
+        own, start, size, at, anchor = (np.concatenate(x) for x in zip(*[way(texts) for way in ways], strict=True))
+        order = np.argsort(own, kind="stable")
+        own, start, size, at, anchor = (x[order] for x in (own, start, size, at, anchor))
+        digest = lambda t, a, n, w: hashlib.blake2b(memoryview(texts[t])[a : a + n], digest_size=16, key=b"w" * w).digest()
+        d = np.frombuffer(b"".join(map(digest, own.tolist(), start.tolist(), size.tolist(), (at < 0).tolist())), dtype="<i8").reshape(-1, 2)
+        flat = (*[x.astype(np.int32) for x in (start, size, at)], np.where(at < 0, mix(anchor), anchor).view(np.int64), *[np.ascontiguousarray(d[:, i]) for i in (0, 1)])
+        ends = pa.array(np.searchsorted(own, np.arange(len(texts) + 1)), pa.int32())
+        return {c: cols[c] for c in ("doc_id", "k1", "k2")} | {c: pa.ListArray.from_arrays(ends, pa.array(x)) for c, x in zip(PIECE, flat, strict=True)}
 
     k1, k2 = _keys(text)
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, pieces array<struct<start:long,size:long,anchor:long,d1:long,d2:long,w:boolean>>")
+    kinds = ["int"] * 3 + ["long"] * 3
+    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, " + ", ".join(f"{c} array<{k}>" for c, k in zip(PIECE, kinds, strict=True)))
 
 
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
@@ -354,16 +367,16 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     marked ``w``; in a shard they are counted by 128-bit hash. A ``length`` of 0 leaves strings of bytes out.
     """
     table = cut_lineage(piece_table(df, text, length, words))
-    occ = table.select("doc_id", "k1", "k2", F.inline("pieces"))
+    occ = table.select("doc_id", "k1", "k2", F.inline(F.arrays_zip(*PIECE)))
     anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)])
     mixed = (F.col("min_d1") != F.col("max_d1")) | (F.col("min_d2") != F.col("max_d2"))
     anchors = cut_lineage(anchors.where("n > 1").select("anchor", mixed.alias("mixed")))
     seen = cut_lineage(occ.join(anchors, "anchor"))
     kinds = seen.groupBy("anchor", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("w").alias("w"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
+        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("at").alias("at"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
     )
     kinds = cut_lineage(kinds)
-    whole = kinds.where("n > 1").select("d1", "d2", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
+    whole = kinds.where("n > 1").select("d1", "d2", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
     asked = kinds.where("mixed").withColumn("many", F.col("n") > 1)
     weight = asked.groupBy("anchor").agg(F.sum("size").alias("bytes"))
     total = weight.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -371,7 +384,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     hot = weight.where(F.col("bytes") > hot_bytes).select("anchor", F.lit(True).alias("hot"))
     asked = asked.join(broadcast_if_small(hot, SMALL), "anchor", "left")
     wanted = asked.select(
-        "rep.nil", F.coalesce("rep.doc_id", F.lit(-1)).alias("id"), "rep.k1", "rep.k2", F.struct("rep.start", "size", "d1", "d2", "many", "w", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("ask")
+        "rep.nil", F.coalesce("rep.doc_id", F.lit(-1)).alias("id"), "rep.k1", "rep.k2", F.struct("rep.start", "size", "at", "anchor", "d1", "d2", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("ask")
     )
     wanted = cut_lineage(wanted.groupBy("nil", "id", "k1", "k2").agg(F.collect_list("ask").alias("asks")))
     k1, k2 = _keys(text)
@@ -380,16 +393,16 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     shown = with_filter(docs, wanted, "k1").where("__maybe").join(wanted, ["nil", "id", "k1", "k2"]).select("text", "asks")
 
     def cut(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "w", "piece")}
+        out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "at", "anchor", "piece")}
         for t, asks in zip(cols["text"], cols["asks"], strict=True):
             raw = t.encode()
             for a in asks:
-                for c in ("shard", "hot", "d1", "d2", "many", "w"):
+                for c in ("shard", "hot", "d1", "d2", "many", "at", "anchor"):
                     out[c].append(a[c])
                 out["piece"].append(raw[a["start"] : a["start"] + a["size"]])
         return out
 
-    pieces = arrow_pass(shown, cut, "shard long, hot boolean, d1 long, d2 long, many boolean, w boolean, piece binary")
+    pieces = arrow_pass(shown, cut, "shard long, hot boolean, d1 long, d2 long, many boolean, at int, anchor long, piece binary")
     some_hot = hot.limit(1).count() > 0
     if some_hot:
         pieces = cut_lineage(pieces)
@@ -397,13 +410,16 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, known, out = None, ({}, {}), set(), []
-        ranges = lambda: _ranges(held[0], known, lambda pieces: _byte_hits(pieces, length)) + _ranges(held[1], known, lambda pieces: _word_hits(pieces, words))
+        ranges = lambda: _ranges(_candidates(held[0], length), known, lambda pieces: _byte_hits(pieces, length)) + _ranges(held[1], known, lambda pieces: _word_hits(pieces, words))
         for b in batches:
-            for s, d1, d2, many, w, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "w", "piece")], strict=True):
+            for s, d1, d2, many, at, anchor, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "at", "anchor", "piece")], strict=True):
                 if s != shard:
                     out += ranges()
                     shard, held, known = s, ({}, {}), set()
-                held[w][d1, d2] = piece
+                if at < 0:
+                    held[1][d1, d2] = piece
+                else:
+                    held[0][d1, d2] = (anchor, at, piece)
                 if many:
                     known.add((d1, d2))
             if out:
@@ -417,10 +433,10 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     if some_hot:
         for kind, size in ((False, length), (True, words)):
             if size:
-                found = found.unionByName(_counted(pieces.where("hot").where(F.col("w") == kind), length, words * kind))
+                found = found.unionByName(_counted(pieces.where("hot").where((F.col("at") < 0) == kind), length, words * kind))
     # one row for a piece with all its ranges meets one row for a text with all places of that piece
     flagged = cut_lineage(whole.unionByName(found).groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
-    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"), F.max("w").alias("w"))
+    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"), (F.max("at") < 0).alias("w"))
     at = lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b"), F.col("w").alias("w")))
     spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.flatten(F.transform("starts", at)).alias("spans"))
     return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -429,6 +445,28 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
 _RANGE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+def _candidates(held: dict[tuple[int, int], tuple[int, int, bytes]], length: int, gram: int = GRAM) -> dict[tuple[int, int], bytes]:
+    """The pieces of ``held`` (anchor, its place, bytes) that can have a string of ``length`` bytes in common.
+
+    Equal strings have their anchor at the same place. Wherever a string starts before it, from ``k`` to ``k + 1`` parts
+    of the greatest distance, it covers all bytes from ``k`` parts before the anchor up to what is left of its length
+    after ``k + 1`` parts; so two pieces with the string have these bytes in common for some ``k``.
+    """
+    room = length - gram
+    part = max(1, -(-room // _PARTS))
+    first: dict[tuple, tuple[int, int]] = {}
+    able = set()
+    for name, (anchor, at, piece) in held.items():
+        for before in range(0, room + 1, part):
+            end = at + gram + max(0, room - before - part)
+            if at < before or end > len(piece):
+                continue
+            other = first.setdefault((anchor, before, piece[at - before : end]), name)
+            if other is not name:
+                able |= {other, name}
+    return {name: x[2] for name, x in held.items() if name in able}
+
+
 def _ranges(held: dict[tuple[int, int], bytes], known: set, hits) -> list[dict]:
     """Byte ranges of the pieces of one shard that strings found elsewhere in the shard cover, as ``hits`` has them for
     each piece; pieces in ``known`` are repeated from end to end and give none."""

@@ -514,3 +514,24 @@ def test_two_long_near_copies_have_one_link(spark, monkeypatch):
         w = [f"w{r.randrange(10**6)}" for _ in range(200)]
         docs = spark.createDataFrame([row(1, " ".join(w)), row(2, " ".join([*w, "end"]))], DOCS)
         assert sorted((x.doc_id, x.class_id, x.n_links) for x in neardup.near_duplicates(docs).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_sorted_pieces_are_those_that_can_share_a_string():
+    """Pieces with one anchor and nothing else in common are not sorted; those with a string in common are, wherever it starts."""
+    r = random.Random(8)
+    rand = lambda n: bytes(r.randrange(97, 123) for _ in range(n))
+    anchor = rand(suffix.GRAM)
+    for left in range(0, suffix.LENGTH - suffix.GRAM + 1):
+        shared = rand(left) + anchor + rand(suffix.LENGTH - suffix.GRAM - left)
+        held = {(i, 0): (5, left + i, rand(i) + shared + rand(9)) for i in (3, 20)} | {(7, 7): (5, 368, rand(368) + anchor + rand(368)), (8, 8): (6, left, shared)}
+        assert set(suffix._candidates(held, suffix.LENGTH)) == {(3, 0), (20, 0)}
+
+
+def test_short_texts_are_read_together(monkeypatch):
+    r = random.Random(9)
+    texts = [b"", b"x", b" "] + [b" ".join(r.choice([b"ab", b"c", b"\xc3\xa9f"]) + b"%d" % r.randrange(50) for _ in range(r.randrange(400))) for _ in range(30)]
+    for f in (lambda t: suffix.pieces_of(t, 60, 32), lambda t: suffix.word_pieces_of(t, 9)):
+        whole = [x.tolist() for x in f(texts)]
+        alone = [f([t]) for t in texts]
+        assert whole[0] == [i for i, x in enumerate(alone) for _ in x[0]]
+        assert whole[1:] == [np.concatenate([x[k] for x in alone]).tolist() for k in range(1, 5)]
