@@ -10,7 +10,7 @@ from evalspark.llm.common import cut_lineage, small_batches, table
 from evalspark.llm.queries import vocabulary
 
 #: A passage of just over 50 words is a repeat, however few bytes it has; so is one of suffix.LENGTH bytes.
-PASSAGE_WORDS = 51
+PASSAGE_WORDS = suffix.PASSAGE_WORDS
 #: The stages share their executors' memory, so a worker remembers fewer units of the tokenizer than where it packs alone.
 REMEMBERED = 300_000
 

@@ -98,7 +98,7 @@ def op7(spark, sf_dir):
 @query("op8_suffix")
 def op8(spark, sf_dir):
     small_batches(spark)
-    return suffix.removal_digest(table(spark, sf_dir, "documents"))
+    return suffix.removal_digest(table(spark, sf_dir, "documents"), words=suffix.PASSAGE_WORDS)
 
 
 @query(

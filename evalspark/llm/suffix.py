@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import arrow_pass, blocks, cut_lineage, hash_words, mix, with_filter
 from evalspark.session import broadcast_if_small
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 64
+#: A passage of just over 50 words is a repeat, however few bytes it has.
+PASSAGE_WORDS = 51
 #: Words whose hash is an anchor where strings are counted in words.
-WORD_GRAM = 5
+WORD_GRAM = 8
 SMALL = 200_000
 SHARD_BYTES, HOT_BYTES = 1 << 20, 8 << 20
 _CHUNK = 1 << 22
@@ -23,8 +25,8 @@ _CHUNK = 1 << 22
 _BLOCK = 1 << 17
 _LOW = np.uint64(0xFFFFFF)
 _ODD = np.random.default_rng(41).integers(1, 2**63, GRAM // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Columns of a piece.
-PIECE = ("start", "size", "at", "anchor", "d1", "d2")
+#: Columns of a piece, 8 bytes each: its place (see _place), its anchor and its digest. Anchor and digest tell pieces apart.
+PIECE = ("place", "anchor", "digest")
 #: Parts of the distance between a string's start and its anchor, see _candidates.
 _PARTS = 8
 #: Separates pieces in a shard; no byte of UTF-8 text has this value.
@@ -242,7 +244,7 @@ def pieces_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
             n = len(part) - gram + 1
             words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
             h = np.zeros(n, np.uint64)
-            for j, odd in enumerate(_ODD):
+            for j, odd in enumerate(_ODD[: gram // 8]):
                 h += words[8 * j : 8 * j + n] * odd
                 h ^= h >> np.uint64(29)
             h = mix(h)
@@ -328,10 +330,9 @@ def _keys(text: str) -> tuple[F.Column, F.Column]:
 
 
 def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
-    """(doc_id, k1, k2) of each row, hashes of its text, and its pieces as arrays: start, size, anchor, digest d1 d2,
-    and at, where the anchor is in the piece.
+    """(doc_id, k1, k2) of each row, hashes of its text, and its pieces as arrays: place, anchor and digest.
 
-    One reading of a text gives its pieces for strings of ``length`` bytes and, with an ``at`` of -1, for strings of
+    One reading of a text gives its pieces for strings of ``length`` bytes and, with a negative place, for strings of
     ``words`` words; 0 leaves a kind out. Digests and anchors of the two kinds are apart.
     """
     ways = [lambda texts: pieces_of(texts, length)] * (length > 0) + [lambda texts: word_pieces_of(texts, words)] * (words > 0)
@@ -341,16 +342,23 @@ def piece_table(df: DataFrame, text: str = "text", length: int = LENGTH, words:
         own, start, size, at, anchor = (np.concatenate(x) for x in zip(*[way(texts) for way in ways], strict=True))
         order = np.argsort(own, kind="stable")
         own, start, size, at, anchor = (x[order] for x in (own, start, size, at, anchor))
-        digest = lambda t, a, n, w: hashlib.blake2b(memoryview(texts[t])[a : a + n], digest_size=16, key=b"w" * w).digest()
-        d = np.frombuffer(b"".join(map(digest, own.tolist(), start.tolist(), size.tolist(), (at < 0).tolist())), dtype="<i8").reshape(-1, 2)
-        flat = (*[x.astype(np.int32) for x in (start, size, at)], np.where(at < 0, mix(anchor), anchor).view(np.int64), *[np.ascontiguousarray(d[:, i]) for i in (0, 1)])
+        digest = lambda t, a, n, w: hashlib.blake2b(memoryview(texts[t])[a : a + n], digest_size=8, key=b"w" * w).digest()
+        d = np.frombuffer(b"".join(map(digest, own.tolist(), start.tolist(), size.tolist(), (at < 0).tolist())), dtype="<i8")
+        place = start << 32 | size
+        flat = (np.where(at < 0, ~place, place), np.where(at < 0, mix(anchor), anchor).view(np.int64), d)
         ends = pa.array(np.searchsorted(own, np.arange(len(texts) + 1)), pa.int32())
         return {c: cols[c] for c in ("doc_id", "k1", "k2")} | {c: pa.ListArray.from_arrays(ends, pa.array(x)) for c, x in zip(PIECE, flat, strict=True)}
 
     k1, k2 = _keys(text)
     own = df.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    kinds = ["int"] * 3 + ["long"] * 3
-    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, " + ", ".join(f"{c} array<{k}>" for c, k in zip(PIECE, kinds, strict=True)))
+    return arrow_pass(own, run, "doc_id long, k1 long, k2 long, " + ", ".join(f"{c} array<long>" for c in PIECE))
+
+
+def _place(place: str) -> tuple[F.Column, F.Column, F.Column]:
+    """(start, size, whether it is in words) of a piece: the start in the upper and the size in the lower 32 bits, all
+    inverted for strings of words."""
+    value = F.when(F.col(place) < 0, F.bitwise_not(F.col(place))).otherwise(F.col(place))
+    return F.shiftright(value, 32), value.bitwiseAND(F.lit(0xFFFFFFFF)), F.col(place) < 0
 
 
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES, shard_bytes: int = SHARD_BYTES, words: int = 0) -> DataFrame:
@@ -367,61 +375,64 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
     marked ``w``; in a shard they are counted by 128-bit hash. A ``length`` of 0 leaves strings of bytes out.
     """
     table = cut_lineage(piece_table(df, text, length, words))
-    occ = table.select("doc_id", "k1", "k2", F.inline(F.arrays_zip(*PIECE)))
-    anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)])
-    mixed = (F.col("min_d1") != F.col("max_d1")) | (F.col("min_d2") != F.col("max_d2"))
-    anchors = cut_lineage(anchors.where("n > 1").select("anchor", mixed.alias("mixed")))
+    occ = table.select("k1", "k2", F.inline(F.arrays_zip(*PIECE)))
+    anchors = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    anchors = cut_lineage(anchors.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     seen = cut_lineage(occ.join(anchors, "anchor"))
-    kinds = seen.groupBy("anchor", "d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.max("at").alias("at"), F.max("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "k1", "k2", "start")).alias("rep")
-    )
-    kinds = cut_lineage(kinds)
-    whole = kinds.where("n > 1").select("d1", "d2", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
+    kinds = seen.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("k1", "k2", "place")).alias("rep"))
+    start, size, in_words = _place("rep.place")
+    kinds = cut_lineage(kinds.select("anchor", "digest", "n", "mixed", "rep.k1", "rep.k2", start.alias("start"), size.alias("size"), in_words.alias("w")))
+    whole = kinds.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
     asked = kinds.where("mixed").withColumn("many", F.col("n") > 1)
     weight = asked.groupBy("anchor").agg(F.sum("size").alias("bytes"))
     total = weight.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     hot = weight.where(F.col("bytes") > hot_bytes).select("anchor", F.lit(True).alias("hot"))
     asked = asked.join(broadcast_if_small(hot, SMALL), "anchor", "left")
-    wanted = asked.select(
-        "rep.nil", F.coalesce("rep.doc_id", F.lit(-1)).alias("id"), "rep.k1", "rep.k2", F.struct("rep.start", "size", "at", "anchor", "d1", "d2", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).alias("ask")
-    )
-    wanted = cut_lineage(wanted.groupBy("nil", "id", "k1", "k2").agg(F.collect_list("ask").alias("asks")))
+    ask = F.struct("start", "size", "w", "anchor", "digest", "many", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    # of equal texts the row with the least id shows the pieces
+    first = table.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(-1)).alias("id"))).alias("row"))
+    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(ask).alias("asks")).join(first, ["k1", "k2"])
+    wanted = cut_lineage(wanted.select("row.nil", "row.id", "k1", "k2", "asks"))
     k1, k2 = _keys(text)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     docs = docs.select(F.col("doc_id").isNull().alias("nil"), F.coalesce("doc_id", F.lit(-1)).alias("id"), "k1", "k2", "text")
     shown = with_filter(docs, wanted, "k1").where("__maybe").join(wanted, ["nil", "id", "k1", "k2"]).select("text", "asks")
 
     def cut(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("shard", "hot", "d1", "d2", "many", "at", "anchor", "piece")}
+        out: dict[str, list] = {c: [] for c in ("shard", "hot", "anchor", "digest", "many", "w", "piece")}
         for t, asks in zip(cols["text"], cols["asks"], strict=True):
             raw = t.encode()
             for a in asks:
-                for c in ("shard", "hot", "d1", "d2", "many", "at", "anchor"):
+                for c in ("shard", "hot", "anchor", "digest", "many", "w"):
                     out[c].append(a[c])
                 out["piece"].append(raw[a["start"] : a["start"] + a["size"]])
+        # a piece by itself is one piece again, so its anchor is found where it was
+        out["at"] = np.full(len(out["w"]), -1)
+        in_bytes = [i for i, w in enumerate(out["w"]) if not w]
+        out["at"][in_bytes] = pieces_of([out["piece"][i] for i in in_bytes], length)[3] if in_bytes else []
         return out
 
-    pieces = arrow_pass(shown, cut, "shard long, hot boolean, d1 long, d2 long, many boolean, at int, anchor long, piece binary")
+    pieces = arrow_pass(shown, cut, "shard long, hot boolean, anchor long, digest long, many boolean, at int, piece binary")
     some_hot = hot.limit(1).count() > 0
     if some_hot:
         pieces = cut_lineage(pieces)
-    sorted_in = pieces.where("not hot").repartition("shard").sortWithinPartitions("shard", "d1", "d2")
+    sorted_in = pieces.where("not hot").repartition("shard").sortWithinPartitions("shard", "anchor", "digest")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, known, out = None, ({}, {}), set(), []
         ranges = lambda: _ranges(_candidates(held[0], length), known, lambda pieces: _byte_hits(pieces, length)) + _ranges(held[1], known, lambda pieces: _word_hits(pieces, words))
         for b in batches:
-            for s, d1, d2, many, at, anchor, piece in zip(*[b[c].to_pylist() for c in ("shard", "d1", "d2", "many", "at", "anchor", "piece")], strict=True):
+            for s, anchor, digest, many, at, piece in zip(*[b[c].to_pylist() for c in ("shard", "anchor", "digest", "many", "at", "piece")], strict=True):
                 if s != shard:
                     out += ranges()
                     shard, held, known = s, ({}, {}), set()
                 if at < 0:
-                    held[1][d1, d2] = piece
+                    held[1][anchor, digest] = piece
                 else:
-                    held[0][d1, d2] = (anchor, at, piece)
+                    held[0][anchor, digest] = (anchor, at, piece)
                 if many:
-                    known.add((d1, d2))
+                    known.add((anchor, digest))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
                 out = []
@@ -429,20 +440,21 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, hot_
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_RANGE)
 
-    found = sorted_in.mapInArrow(search, "d1 long, d2 long, a long, b long")
+    found = sorted_in.mapInArrow(search, "anchor long, digest long, a long, b long")
     if some_hot:
         for kind, size in ((False, length), (True, words)):
             if size:
                 found = found.unionByName(_counted(pieces.where("hot").where((F.col("at") < 0) == kind), length, words * kind))
     # one row for a piece with all its ranges meets one row for a text with all places of that piece
-    flagged = cut_lineage(whole.unionByName(found).groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
-    places = seen.groupBy("k1", "k2", "d1", "d2").agg(F.collect_set("start").alias("starts"), (F.max("at") < 0).alias("w"))
+    flagged = cut_lineage(whole.unionByName(found).groupBy("anchor", "digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    start, _, in_words = _place("place")
+    places = seen.groupBy("k1", "k2", "anchor", "digest").agg(F.collect_set(start).alias("starts"), F.max(in_words).alias("w"))
     at = lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b"), F.col("w").alias("w")))
-    spans = places.join(flagged, ["d1", "d2"]).select("k1", "k2", F.flatten(F.transform("starts", at)).alias("spans"))
+    spans = places.join(flagged, ["anchor", "digest"]).select("k1", "k2", F.flatten(F.transform("starts", at)).alias("spans"))
     return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-_RANGE = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_RANGE = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _candidates(held: dict[tuple[int, int], tuple[int, int, bytes]], length: int, gram: int = GRAM) -> dict[tuple[int, int], bytes]:
@@ -473,7 +485,7 @@ def _ranges(held: dict[tuple[int, int], bytes], known: set, hits) -> list[dict]:
     if len(held) < 2 or held.keys() <= known:
         return []
     names = list(held)
-    return [{"d1": names[p][0], "d2": names[p][1], "a": a, "b": b} for p, a, b in hits(list(held.values())) if names[p] not in known]
+    return [{"anchor": names[p][0], "digest": names[p][1], "a": a, "b": b} for p, a, b in hits(list(held.values())) if names[p] not in known]
 
 
 def _byte_hits(pieces: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
@@ -500,33 +512,33 @@ def _counted(pieces: DataFrame, length: int, words: int = 0) -> DataFrame:
     """Ranges of the different pieces of hot anchors, from counts of their strings by 128-bit hash."""
 
     def strings(cols: dict) -> dict:
-        out: dict[str, list] = {c: [] for c in ("w1", "w2", "d1", "d2", "many", "a")}
-        for d1, d2, many, piece in {(a, b): (a, b, m, p) for a, b, m, p in zip(cols["d1"], cols["d2"], cols["many"], cols["piece"], strict=True)}.values():
+        out: dict[str, list] = {c: [] for c in ("w1", "w2", "anchor", "digest", "many", "a")}
+        for anchor, digest, many, piece in {(a, b): (a, b, m, p) for a, b, m, p in zip(cols["anchor"], cols["digest"], cols["many"], cols["piece"], strict=True)}.values():
             for a in range(len(piece) - length + 1):
                 w = hashlib.blake2b(piece[a : a + length], digest_size=16).digest()
-                for c, v in zip(out, (int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), d1, d2, many, a), strict=True):
+                for c, v in zip(out, (int.from_bytes(w[:8], "little", signed=True), int.from_bytes(w[8:], "little", signed=True), anchor, digest, many, a), strict=True):
                     out[c].append(v)
         return out
 
     def in_words(cols: dict) -> dict:
-        held = {(a, b): (m, p) for a, b, m, p in zip(cols["d1"], cols["d2"], cols["many"], cols["piece"], strict=True)}
+        held = {(a, b): (m, p) for a, b, m, p in zip(cols["anchor"], cols["digest"], cols["many"], cols["piece"], strict=True)}
         s, names = word_strings([p for _, p in held.values()], words), np.array(list(held))
-        return s | {"d1": names[s["piece"], 0], "d2": names[s["piece"], 1], "many": np.array([m for m, _ in held.values()])[s["piece"]]}
+        return s | {"anchor": names[s["piece"], 0], "digest": names[s["piece"], 1], "many": np.array([m for m, _ in held.values()])[s["piece"]]}
 
     if words:
-        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), in_words, "w1 long, w2 long, d1 long, d2 long, many boolean, i long, a long, b long")
+        every = arrow_pass(pieces.dropDuplicates(["anchor", "digest"]), in_words, "w1 long, w2 long, anchor long, digest long, many boolean, i long, a long, b long")
     else:
-        every = arrow_pass(pieces.dropDuplicates(["d1", "d2"]), strings, "w1 long, w2 long, d1 long, d2 long, many boolean, a long")
+        every = arrow_pass(pieces.dropDuplicates(["anchor", "digest"]), strings, "w1 long, w2 long, anchor long, digest long, many boolean, a long")
     every = cut_lineage(every)
     twice = every.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hits = every.where("not many").join(twice, ["w1", "w2"])
     if words:
-        run = F.col("i") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("i"))
-        return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
-    hits = hits.select("d1", "d2", "a").distinct()
+        run = F.col("i") - F.row_number().over(Window.partitionBy("anchor", "digest").orderBy("i"))
+        return hits.withColumn("run", run).groupBy("anchor", "digest", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+    hits = hits.select("anchor", "digest", "a").distinct()
     # starts in a row make one range
-    run = F.col("a") - F.row_number().over(Window.partitionBy("d1", "d2").orderBy("a"))
-    return hits.withColumn("run", run).groupBy("d1", "d2", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
+    run = F.col("a") - F.row_number().over(Window.partitionBy("anchor", "digest").orderBy("a"))
+    return hits.withColumn("run", run).groupBy("anchor", "digest", "run").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).drop("run")
 
 
 def merged(spans: list[dict] | None, w: bool | None = None) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, common, fertility, langid, lattice, mixing, neardup, packing, quality, suffix, topk
+from evalspark.llm import chat, common, fertility, langid, lattice, mixing, neardup, packing, quality, queries, suffix, topk
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, class_id long, span string"
@@ -176,6 +176,31 @@ def test_suffix_dedup(docs, rows, none, hot):
         assert suffix.removal_digest(none).count() == 0
 
 
+def test_query_shows_passages_shorter_than_its_strings(spark, tmp_path):
+    """Two texts share 51 words of fewer than 400 bytes, two share 50 words: the digest leaves all, the passage columns tell."""
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(4, 6))) for _ in range(n))
+    long, short = text(51), text(50)
+    assert len(long) < suffix.LENGTH
+    rows = [row(i, text(40) + " " + (long if i < 2 else short) + " " + text(40)) for i in range(4)] + [row(4, text(120)), row(5, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.QUERIES["op8_suffix"](spark, str(tmp_path)).collect())
+    assert [(x.doc_id, *x[1:5]) for x in got] == brute_removed(rows, suffix.LENGTH)
+    assert [x.n_removed for x in got] == [0] * 6
+    assert [(x.n_passages, x.n_passage_bytes) for x in got] == [(1, len(long))] * 2 + [(0, 0)] * 4
+
+
+@pytest.mark.parametrize("words", [0, 9])
+def test_pieces_alone_have_their_anchor_where_it_was(words):
+    """Rows of pieces hold no place of the anchor; it is found again in the piece by itself. Places are read back whole."""
+    r = random.Random(13)
+    texts = [bytes(r.choice(b"ab c") for _ in range(r.randrange(900))) for _ in range(40)]
+    own, start, size, at, anchor = suffix.word_pieces_of(texts, words) if words else suffix.pieces_of(texts, 90)
+    cut = [texts[t][a : a + n] for t, a, n in zip(own, start, size)]
+    again = suffix.word_pieces_of(cut, words) if words else suffix.pieces_of(cut, 90)
+    assert len(own) and [x.tolist() for x in again] == [list(range(len(cut))), [0] * len(cut), size.tolist(), at.tolist(), anchor.tolist()]
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
