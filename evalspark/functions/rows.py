@@ -6,6 +6,7 @@ A task turns each batch of texts into rows of its own; Spark deals, counts and j
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,9 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.text import bind
+
 #: Rows that leave a task in one batch, about, and words whose windows are hashed together.
 BATCH = 1 << 16
 BLOCK = 1 << 18
+#: Bytes of runs of n-grams that a task holds until it deals them, and n-grams that are sorted together where they arrive.
+HELD = 1 << 25
+SORTED = 1 << 20
 
 
 def _map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -63,6 +69,183 @@ def ngram_rows(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFr
     return _map(joined, rows, ", ".join([*_columns(df, keys), "ngram string"]))
 
 
+def _coded(texts: pa.StringArray, n: int) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts as numbers, the words they stand for, sizes of the texts in words; text and first word of each n-gram.
+    Words are parted by single blanks; a null text has none."""
+    words = pc.split_pattern(texts, " ")
+    sizes, coded = _sizes(words), words.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    return codes, coded.dictionary, sizes, *_places(sizes, n)
+
+
+def _places(sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.flatnonzero(np.arange(len(owner)) + n <= np.cumsum(sizes)[owner])
+    return owner[starts], starts
+
+
+def _keys(codes: np.ndarray, starts: np.ndarray, n: int, n_words: int) -> list[np.ndarray]:
+    """N-grams as a few numbers each, equal for equal n-grams only: as many words in a number as fit."""
+    bits = max(1, n_words.bit_length())
+    per = 63 // bits
+    return [sum(codes[starts + k].astype(np.int64) << (bits * (k - lo)) for k in range(lo, min(n, lo + per))) for lo in range(0, n, per)]
+
+
+def _part(codes: np.ndarray, starts: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """One of ``parts`` for each n-gram, the same for equal ones."""
+    if parts == 1:
+        return np.zeros(len(starts), np.uint64)
+    return _mix(sum(_mix(codes[starts + k].astype(np.uint64) + np.uint64(k << 32)) for k in range(n))) % np.uint64(parts)
+
+
+def _heads(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Places in ``order``, which sorts ``keys``, where other keys begin."""
+    new = np.arange(len(order)) == 0
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return np.flatnonzero(new)
+
+
+def _runs(texts: pa.StringArray, sizes: np.ndarray, lengths: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: int, *same: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """N-grams of texts as runs of neighbours with equal values of ``same``, and the first n-gram of each; ``lengths`` has
+    the bytes of each word."""
+    new = np.arange(len(starts)) == 0
+    new[1:] |= np.diff(starts) != 1
+    for x in (owner, *same):
+        new[1:] |= np.diff(x) != 0
+    at = np.flatnonzero(new)
+    ends = np.cumsum(lengths + 1)  # with the blank after each word
+    begins = np.append(0, ends)[np.cumsum(sizes) - sizes]
+    moved = (np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts)] - begins)[owner[at]]
+    lo = (ends - lengths - 1)[starts[at]] + moved
+    size = ends[starts[np.append(at, len(starts))[1:] - 1] + n - 1] - 1 + moved - lo
+    to = np.append(0, np.cumsum(size))
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[np.repeat(lo - to[:-1], size) + np.arange(to[-1])]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data)), at
+
+
+def _text_blocks(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about as many bytes of text in column ``at`` as BLOCK words have; a longer text is alone."""
+    held, first = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(held):
+        end = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + 8 * BLOCK, "right")))
+        yield b.slice(first, end - first)
+        first = end
+
+
+def ngram_runs(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
+    """``(keys…, words)``: the distinct n-grams of each row as runs of neighbours, ``words`` joined by blanks: ``k`` words
+    hold ``k - n + 1`` n-grams. A run ends where the row has an n-gram again, so words stand about once and not ``n`` times.
+    """
+    joined = df.select(*keys, bind(tokens, lambda t: F.when(F.size(t) >= n, F.array_join(t, " "))).alias("__words"))
+
+    def rows(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in _text_blocks(whole, len(keys)):
+            texts = b.column(len(keys))
+            codes, words, sizes, owner, starts = _coded(texts, n)
+            if not len(starts):
+                continue
+            grams = [*_keys(codes, starts, n, len(words)), owner]
+            order = np.lexsort(grams)  # equal n-grams stay in order of place
+            new = np.sort(order[_heads(grams, order)])
+            lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            runs, first = _runs(texts, sizes, lengths, owner[new], starts[new], n)
+            own = [b.column(i).take(pa.array(owner[new][first])) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, runs], names=[*keys, "words"])
+
+    return _map(joined, rows, ", ".join([*_columns(df, keys), "words string"]))
+
+
+def packed_runs(runs: DataFrame, n: int, buckets: int, most_held: int = HELD) -> DataFrame:
+    """``(bucket, copies, runs)``: rows of ``ngram_runs`` cut where the anchor changes, for counting in buckets.
+
+    The anchor of an n-gram is its longest word (of equally long ones that of the least hash), so equal n-grams have equal
+    anchors, neighbours mostly share theirs, and frequent short words seldom are one. The different runs of a few thousand
+    texts that go to one bucket travel as one compressed row for each number of ``copies``.
+    """
+
+    def cut(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        codes, words, sizes, owner, starts = _coded(texts, n)
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, at = words.buffers()[2], np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+        hashes = np.fromiter((zlib.crc32(data[lo:hi]) for lo, hi in zip(at, at[1:])), np.int64, len(words))
+        rank = (((1 << 30) - lengths << 32) | hashes)[codes]
+        anchor = rank[starts]
+        for k in range(1, n):
+            np.minimum(anchor, rank[starts + k], out=anchor)
+        runs, first = _runs(texts, sizes, lengths[codes], owner, starts, n, anchor)
+        return runs, anchor[first]
+
+    def packed(parts: list[tuple[pa.StringArray, np.ndarray]]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        anchor, copies = np.zeros(len(coded.dictionary), np.int64), np.bincount(at)
+        anchor[at] = np.concatenate([p[1] for p in parts])
+        bucket = ((_mix(anchor.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.lexsort((anchor, copies, bucket))
+        cuts = _heads([bucket, copies], order)
+        lines = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), coded.dictionary.take(pa.array(order)))
+        zstd = pa.Codec("zstd", compression_level=3)
+        rows = [zstd.compress(x.as_buffer(), asbytes=True) for x in pc.binary_join(lines, "\n")]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]].astype(np.int32)), pa.array(copies[order[cuts]]), pa.array(rows, pa.binary())], names=["bucket", "copies", "runs"])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for whole in batches:
+            for b in _text_blocks(whole, 0):
+                parts.append(cut(b.column(0)))
+                held += parts[-1][0].nbytes
+                if held > most_held:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if held:
+            yield packed(parts)
+
+    return runs.select("words").mapInArrow(deal, "bucket int, copies long, runs binary")
+
+
+def ngram_run_counts(runs: DataFrame, n: int, buckets: int, at_once: int = SORTED) -> DataFrame:
+    """``(ngram, n_docs)``: each n-gram of the rows of ``ngram_runs``, and in how many rows before them it was.
+
+    N-grams are told apart by their words. They are sorted and written out where their runs arrive, about
+    ``at_once`` of them at a time.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, starts, times, held = [], [], [], 0
+        for b in batches:
+            for copies, row in zip(b.column(1).to_pylist(), b.column(2)):
+                text = pa.input_stream(row.as_buffer(), compression="zstd").read_buffer()
+                lines = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, text.size], np.int32)), text)
+                words = pc.split_pattern(pc.split_pattern(lines, "\n").flatten(), " ")
+                chunks.append(words.flatten().dictionary_encode())
+                starts.append(_places(_sizes(words), n)[1] + held)
+                times.append(np.full(len(starts[-1]), copies, np.int32))
+                held += len(chunks[-1])
+        if not held:
+            return
+        coded = pa.chunked_array(chunks).unify_dictionaries()
+        vocabulary, codes = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])
+        starts, times = np.concatenate(starts), np.concatenate(times)
+        del chunks, coded
+        parts = len(starts) // at_once + 1
+        for i in range(parts):
+            # equal n-grams are in one part
+            mine = np.concatenate([lo + np.flatnonzero(_part(codes, starts[lo : lo + at_once], n, parts) == i) for lo in range(0, len(starts), at_once)])
+            if not len(mine):
+                continue
+            own = starts[mine]
+            grams = _keys(codes, own, n, len(vocabulary))
+            order = np.lexsort(grams)
+            at = _heads(grams, order)
+            n_docs, own = np.add.reduceat(times[mine[order]].astype(np.int64), at), own[order[at]]
+            for lo in range(0, len(own), BATCH):
+                texts = [vocabulary.take(pa.array(codes[own[lo : lo + BATCH] + k])) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*texts, " "), pa.array(n_docs[lo : lo + BATCH])], names=["ngram", "n_docs"])
+
+    return packed_runs(runs, n, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(count, "ngram string, n_docs long")
+
+
 _DRAWS = np.random.default_rng(29).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from evalspark.functions.text import split_words
 from evalspark.operators import scorers as K
 from evalspark.operators import synth as Y
-from evalspark.operators.decontam import buckets_for
 from evalspark.operators.requests import choice_requests
 from evalspark.plans.aggregates import LONG_SQL, results
 from evalspark.plans.base import SPACE, Tables, query, sql_clean, sql_ngrams, sql_tokens
@@ -176,7 +175,7 @@ def stream_export(t: Tables):
 def stream_ngrams(t: Tables):
     out = S.scratch_path(t.spark, "ngrams")
     X.ngram_stream(stream(t, "documents").select("doc_id", "text"), 5, out, S.scratch_path(t.spark, "ckpt"))
-    return t.spark.read.parquet(out).select("ngram").repartition(buckets_for(t.documents), "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("n_docs"))
+    return X.ngram_counts(t.spark, out, 5)
 
 
 # --- scorer plug-ins --------------------------------------------------------------------------------

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from evalspark.operators.decontam import distinct_ngrams
-from evalspark.session import distribute
+from evalspark.functions.rows import ngram_run_counts, ngram_runs
+from evalspark.operators.decontam import buckets_for, clean_tokens
+from evalspark.session import spread
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -79,9 +80,23 @@ def exported(spark: SparkSession, out: str, order: str) -> DataFrame:
 
 
 def ngram_stream(docs: DataFrame, n: int, out: str, checkpoint: str) -> StreamingQuery:
-    """Resumable n-gram generation: the checkpoint remembers which files are done. Texts of a batch are spread over all
-    tasks first, however few files they lie in."""
-    grams = distinct_ngrams(distribute(docs, "doc_id"), ["doc_id"], n)
-    q = grams.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Resumable n-gram generation: the checkpoint remembers which files are done, and a batch that is done again replaces
+    its folder.
+
+    The table holds the distinct n-grams of each document as runs of neighbours (``ngram_runs``). Texts are spread over all
+    tasks if a batch has fewer parts than that. ``ngram_counts`` reads the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        runs = ngram_runs(spread(batch, "doc_id"), ["doc_id"], clean_tokens(F.col("text")), n)
+        runs.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={batch_id}")
+
+    q = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def ngram_counts(spark: SparkSession, out: str, n: int) -> DataFrame:
+    """``(ngram, n_docs)`` over all batches of ``ngram_stream``."""
+    runs = spark.read.parquet(out)
+    return ngram_run_counts(runs, n, buckets_for(runs.select(F.col("words").alias("text"))))
